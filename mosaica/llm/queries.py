@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, decontaminate, embedding_dedup, langid, sharding, simhash
+from mosaica.llm import bpe, decontaminate, embedding_dedup, langid, quality, sharding, simhash, toxicity
 from mosaica.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), profiles)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.learn(docs.where("not held_out").join(labels, "doc_id"))
+    return model.score(docs.select("doc_id", "held_out", "text")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
