@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, decontaminate, embedding_dedup, langid, quality, sharding, simhash, toxicity
+from mosaica.llm import bpe, chat, decontaminate, embedding_dedup, langid, quality, sharding, simhash, toxicity
 from mosaica.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs.select("doc_id", "held_out", "text")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.read_back(*chat.prefix_tree(rows.unionByName(more)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
