@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, chat, decontaminate, embedding_dedup, langid, quality, sharding, simhash, toxicity
+from mosaica.llm import bpe, chat, decontaminate, embedding_dedup, langid, quality, sharding, simhash, substring, toxicity
 from mosaica.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> F.Column:
     """Rows that nothing is learnt from: crc32 of the id as text leaves 1 when divided by 3. A null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
