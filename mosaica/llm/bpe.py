@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import map_batches, ready
+from mosaica.llm.common import Memo, map_batches, ready
 
 #: Pieces and pairs that a worker remembers; when full, it starts again. A matter of speed alone.
-MEMO = 200_000
+MEMO = 400_000
+#: Pieces up to SHORT bytes share one store of prefixes, so a word is only worked on from where it leaves all words before.
+SHORT, PREFIXES = 48, 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,11 +50,11 @@ class PrefixTable:
 
     def _fill(self, start: int, stop: int) -> None:
         data, last, longest = bytes(self.data), self.last, self.bpe.longest
-        ids, fits = self.bpe.ids, self.bpe.fits
-        for i in range(start, stop):
-            for k in range(max(0, i + 1 - longest), i + 1):
-                t = ids.get(data[k : i + 1])
-                if t is not None and (fits(-1, t) if k == 0 else fits(last[k - 1], t)):
+        ids, pairs = self.bpe.ids.get, self.bpe._pairs
+        for i in range(start + 1, stop + 1):
+            for k in range(max(0, i - longest), i):
+                t = ids(data[k:i])
+                if t is not None and (k == 0 or pairs[last[k - 1], t]):
                     last.append(t)
                     break
             else:
@@ -87,33 +89,71 @@ class PrefixBPE:
         self.ids = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._fits: dict[tuple[int, int], bool] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """BPE by its definition, for strings of two tokens at most: merge the lowest-ranked pair until none is left."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranked = [(self.ids.get(a + b, len(self.ids) + 1 << 20), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            rank, i = min(ranked)
-            if parts[i] + parts[i + 1] not in self.ids:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids[p] for p in parts]
+        self._pairs = Memo(self._fits, MEMO)
+        self._parts: dict[int, tuple[int, int] | None] = {}
+        self.last: dict[bytes, int] = {}
+
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one when BPE runs on its bytes; None for a byte."""
+        if token not in self._parts:
+            piece = self.bytes_of[token]
+            p = [piece[i : i + 1] for i in range(len(piece))]
+            while len(p) > 2:
+                ranks = [self.ids.get(a + b, 1 << 40) for a, b in zip(p, p[1:], strict=False)]
+                i = ranks.index(min(ranks))
+                p[i : i + 2] = [p[i] + p[i + 1]]
+            self._parts[token] = (self.ids[p[0]], self.ids[p[1]]) if len(p) == 2 else None
+        return self._parts[token]
+
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """Tokens that stand at an edge (0: left, 1: right) while this one is built, and the merge that ends each."""
+        out, until = [], 1 << 40
+        while token is not None:
+            out.append((self.bytes_of[token], until))
+            until, token = token, (self.parts(token) or (None, None))[side]
+        return out
+
+    def _fits(self, pair: tuple[int, int]) -> bool:
+        """BPE keeps the border between two tokens iff no token at its left edge merges with one at its right before
+        both are used up; of merges with one rank the left goes first."""
+        a, b = pair
+        right = self.edge(b, 0)
+        for x, until_x in self.edge(a, 1):
+            for y, until_y in right:
+                m = self.ids.get(x + y)
+                if m is not None and m < until_x and m <= until_y:
+                    return False
+        return True
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a (-1: nothing) followed by token b as these two tokens."""
-        got = self._fits.get((a, b))
-        if got is None:
-            if len(self._fits) > MEMO:
-                self._fits.clear()
-            both = (b"" if a < 0 else self.bytes_of[a]) + self.bytes_of[b]
-            got = self._fits[a, b] = self.merge(both) == ([b] if a < 0 else [a, b])
-        return got
+        return a < 0 or self._pairs[a, b]
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
         t = self.ids.get(piece)
-        return [t] if t is not None and self.fits(-1, t) else PrefixTable(self, piece).tokens()
+        if t is not None:
+            return [t]
+        if len(piece) > SHORT:
+            return PrefixTable(self, piece).tokens()
+        if len(self.last) > PREFIXES:
+            self.last.clear()
+        last, ids, pairs = self.last, self.ids.get, self._pairs
+        n = known = len(piece)
+        while known and piece[:known] not in last:
+            known -= 1
+        for i in range(known + 1, n + 1):
+            for k in range(i):
+                t = ids(piece[k:i])
+                if t is not None and (k == 0 or pairs[last[piece[:k]], t]):
+                    last[piece[:i]] = t
+                    break
+        out = []
+        while n:
+            t = last[piece[:n]]
+            out.append(t)
+            n -= len(self.bytes_of[t])
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -123,15 +163,12 @@ class Tokenizer:
     """Texts to ids and back: each match of the pattern is a piece of its own; no special tokens."""
 
     def __init__(self, path: str, pattern: str):
-        self.bpe, self.pattern, self.memo = PrefixBPE(load_ranks(path)), regex.compile(pattern), {}
+        self.bpe, self.pattern = PrefixBPE(load_ranks(path)), regex.compile(pattern)
+        self.memo = Memo(lambda p: tuple(self.bpe.encode(p.encode("utf-8", "surrogatepass"))), MEMO)
+        self.text_of = {i: str(i) for i in self.bpe.bytes_of}
 
     def encode(self, text: str) -> list[int]:
-        memo, pieces = self.memo, self.pattern.findall(text)
-        if len(memo) > MEMO:
-            memo.clear()
-        for p in set(pieces).difference(memo):
-            memo[p] = tuple(self.bpe.encode(p.encode("utf-8", "surrogatepass")))
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids) -> bytes:
         return self.bpe.decode(ids)
@@ -188,7 +225,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
         for x in batch.column(1):
             ids = t.encode(x.as_py() or "")
             n.append(len(ids))
-            ids_hex.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            ids_hex.append(hashlib.sha256(" ".join(map(t.text_of.__getitem__, ids)).encode()).hexdigest())
             text_hex.append(hashlib.sha256(t.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],

@@ -57,6 +57,20 @@ def skew_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inn
     return rows.withColumn("_mark", mark).join(groups.withColumn("_mark", mark), ["_mark", *on], how).drop("_mark")
 
 
+class Memo(dict):
+    """make(key) for each key, remembered; when `most` keys are held, it starts again. memo.__getitem__ is quick to map."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """df through fn, one Arrow batch at a time; fn may return a dict of columns."""
 

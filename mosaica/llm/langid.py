@@ -105,11 +105,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     docs = docs.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("lang", "text")
 
     def count_letters(batch: pa.RecordBatch) -> dict:
-        n = np.zeros(0x110000, np.int64)
-        for t in batch.column(1):
-            n += np.bincount(lowered(t.as_py()), minlength=0x110000)
-        i = np.flatnonzero(n)
-        return {"letter": pa.array(i), "n": pa.array(n[i])}
+        i, n = np.unique(np.concatenate([lowered(t.as_py()) for t in batch.column(1)]), return_counts=True)
+        return {"letter": pa.array(i.astype(np.int64)), "n": pa.array(n)}
 
     def count_grams(batch: pa.RecordBatch) -> dict:
         by: dict[str, np.ndarray] = {}
