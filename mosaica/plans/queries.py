@@ -317,7 +317,7 @@ POINTS = """pt AS (SELECT l_orderkey % 400 AS tile, l_returnflag AS side, CAST(l
  n AS (SELECT tile, dim, count(*) FILTER (WHERE side = 'A') AS na, count(*) FILTER (WHERE side = 'N') AS nb FROM q GROUP BY ALL),
  padded AS (SELECT tile, dim, side, p FROM q UNION ALL SELECT tile, dim, 'A', 0.0 FROM n CROSS JOIN range(2000) r(i) WHERE i < nb - na UNION ALL SELECT tile, dim, 'N', 0.0 FROM n CROSS JOIN range(2000) r(i) WHERE i < na - nb),
  o AS (SELECT *, row_number() OVER (PARTITION BY tile, dim, side ORDER BY p) AS k FROM padded),
- dist AS (SELECT a.tile, sum(abs(a.p - b.p)) AS d FROM o a JOIN o b ON a.tile = b.tile AND a.dim = b.dim AND a.k = b.k AND a.side = 'A' AND b.side = 'N' GROUP BY a.tile)"""
+ dist AS (SELECT a.tile, sum(abs(a.p - b.p)) AS d FROM o a JOIN o b ON a.tile = b.tile AND a.dim = b.dim AND a.k = b.k AND a.side = 'A' AND b.side = 'N' WHERE a.tile IN (SELECT tile FROM pt GROUP BY tile HAVING count(DISTINCT side) = 2) GROUP BY a.tile)"""
 
 
 def point_pairs(spark, d):
