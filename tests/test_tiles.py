@@ -77,7 +77,9 @@ def test_assignment_is_the_best():
 
 def test_support_needs_enough_tiles(spark):
     rows = spark.createDataFrame([("a", 0.60, 512), ("b", 0.52, 512), ("c", 1.0, 4)], "marker string, confirm_auroc double, n_tiles long")
-    rows = rows.selectExpr("*", "'x' AS vectors", "'g' AS field_a", "'g' AS field_b", "1 AS downsample", "'0' AS dims", "'auto' AS projection", "1 AS place")
+    # five candidates in each marker, as many as the figures are for
+    rows = rows.selectExpr("*", "explode(sequence(1, 5)) AS place")
+    rows = rows.selectExpr("*", "'x' AS vectors", "'g' AS field_a", "'g' AS field_b", "1 AS downsample", "'0' AS dims", "'auto' AS projection")
     got = {r["marker"]: r["supported"] for r in scoring.decided(rows).collect()}
     assert got == {"a": True, "b": False, "c": False}
 
