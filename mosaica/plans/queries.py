@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.functions import optics
-from mosaica.operators import pairing, persistence, registration, scoring, stains, tiling
+from mosaica.operators import pairing, persistence, registration, reports, scoring, stains, sweep, tiling
+from mosaica.sources import images
 from mosaica.sources.fixtures import duck, fixture
 
 KEY = ["vec_id", "domain"]
@@ -450,3 +451,129 @@ def x01(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("tile"))
     out = tiling.translate(e, "tile", lambda: lambda x: 0.5 * x + 0.1)
     return out.select("vec_id", F.round(F.aggregate("out", F.lit(0.0), lambda s, x: s + x) / F.size("out"), 5).alias("mean_out"))
+
+
+# ---- reports over diagrams
+
+
+def listed(a: str, b: str) -> str:
+    """DuckDB: distance of two lists of values, the shorter padded with zeros before both are sorted."""
+    pad = lambda x, y: f"list_sort(list_concat(coalesce({x}, []), list_resize([]::DOUBLE[], greatest(0, len(coalesce({y}, [])) - len(coalesce({x}, []))), 0.0)))"
+    return f"coalesce(list_sum(list_transform(list_zip({pad(a, b)}, {pad(b, a)}), lambda z: abs(z[1] - z[2]))), 0.0)"
+
+
+PACKED = """pk AS (SELECT tile, side, list(death - birth) FILTER (WHERE dim = 0) AS p0, list(birth) FILTER (WHERE dim = 1) AS p1 FROM pt GROUP BY ALL)"""
+POINT_ROWS = POINTS.split(",\n q AS")[0] + ", " + PACKED
+
+
+def point_diagrams(spark, d):
+    """(tile, side, g): packed diagrams of both sides."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag IN ('A', 'N')")
+    pts = li.selectExpr("l_orderkey % 400 AS tile", "l_returnflag AS side", "CAST(l_linenumber % 2 AS INT) AS dim", "CAST(l_discount AS DOUBLE) AS birth", "CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01D AS death")
+    return persistence.packed(pts, ["tile", "side"]).select("tile", "side", F.struct("p0", "p1").alias("g"))
+
+
+def side(p, s, name):
+    return p.where(F.col("side") == s).select("tile", F.col("g").alias(name))
+
+
+@query("a21_inspected_pairs", duck(f"""SELECT a.tile, round({listed('a.p0', 'b.p0')}, 6) AS d0, round({listed('a.p1', 'b.p1')}, 6) AS d1, CAST(len(coalesce(a.p0, [])) AS INT) AS points0_a, CAST(len(coalesce(b.p1, [])) AS INT) AS points1_b
+  FROM pk a JOIN pk b ON a.tile = b.tile AND a.side = 'A' AND b.side = 'N'""", before=POINT_ROWS))
+def a21(spark, d):
+    p = point_diagrams(spark, d)
+    return reports.inspected(side(p, "A", "a").join(side(p, "N", "b"), "tile")).select("tile", r6("d0").alias("d0"), r6("d1").alias("d1"), "points0_a", "points1_b")
+
+
+@query("a21_inspection_summary", duck(f"""SELECT a.tile % 3 AS marker, count(*) AS n, round(avg({listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')}), 6) AS mean_total, round(min({listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')}), 6) AS min_total,
+  round(max({listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')}), 6) AS max_total FROM pk a JOIN pk b ON a.tile = b.tile AND a.side = 'A' AND b.side = 'N' GROUP BY ALL""", before=POINT_ROWS))
+def a21_summary(spark, d):
+    p = point_diagrams(spark, d)
+    rows = reports.inspected(side(p, "A", "a").join(side(p, "N", "b"), "tile")).withColumn("marker", F.col("tile") % 3)
+    return reports.inspection_summary(rows, ["marker"]).select("marker", "n", *[r6(c).alias(c) for c in ("mean_total", "min_total", "max_total")])
+
+
+def costs(spark, d):
+    p = point_diagrams(spark, d)
+    left, right = (side(p, s, x).withColumn("batch", F.col("tile") % 40).withColumnRenamed("tile", f"tile_{x}") for s, x in (("A", "a"), ("N", "b")))
+    return reports.cost_matrix(left, right, "batch")
+
+
+@query("j12_cost_matrix", duck(f"""SELECT a.tile % 40 AS batch, a.tile AS tile_a, b.tile AS tile_b, round({listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')}, 6) AS cost
+  FROM pk a JOIN pk b ON a.tile % 40 = b.tile % 40 AND a.side = 'A' AND b.side = 'N'""", before=POINT_ROWS))
+def j12(spark, d):
+    return costs(spark, d).select("batch", "tile_a", "tile_b", r6("cost").alias("cost"))
+
+
+@query("a14_matched_loss")
+def a14(spark, d):
+    return reports.matched_loss(costs(spark, d), "batch", "tile_a", "tile_b").select("batch", "matched", r6("mean_loss").alias("mean_loss"), r6("sum_loss").alias("sum_loss"))
+
+
+ROLE = "element_at(array('real_A', 'rec_A', 'fake_B', 'real_B', 'rec_B', 'fake_A'), CAST(1 + l_linenumber % 6 AS INT))"
+ROLED = """pt AS (SELECT l_returnflag AS run, l_orderkey % 100 AS tile, list_extract(['real_A', 'rec_A', 'fake_B', 'real_B', 'rec_B', 'fake_A'], 1 + l_linenumber % 6) AS role, l_suppkey % 2 AS dim,
+  CAST(l_discount AS DOUBLE) AS birth, CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01 AS death FROM lineitem),
+ pk AS (SELECT run, tile, role, list(death - birth) FILTER (WHERE dim = 0) AS p0, list(birth) FILTER (WHERE dim = 1) AS p1 FROM pt GROUP BY ALL),
+ whole AS (SELECT run, tile, count(*) = 6 AS ok FROM pk GROUP BY ALL),
+ """ + f"""term AS (SELECT a.run, n.name, avg({listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')}) AS d FROM
+  (VALUES ('cyc_h', 'real_A', 'rec_A'), ('cyc_i', 'real_B', 'rec_B'), ('trans_h', 'real_A', 'fake_B'), ('trans_i', 'real_B', 'fake_A')) n(name, x, y)
+  JOIN pk a ON a.role = n.x JOIN pk b ON b.role = n.y AND a.run = b.run AND a.tile = b.tile JOIN whole w ON w.ok AND w.run = a.run AND w.tile = a.tile GROUP BY ALL)"""
+
+
+@query("a15_topology_report", duck("""SELECT w.run, round(t.h, 6) AS cyc_h, round(t.i, 6) AS cyc_i, round(t.th, 6) AS trans_h, round(t.ti, 6) AS trans_i, w.n_tiles, w.incomplete, round(0.1 * (10 * (t.h + t.i) + (t.th + t.ti)), 6) AS total FROM
+  (SELECT run, count(*) FILTER (WHERE ok) AS n_tiles, count(*) FILTER (WHERE NOT ok) AS incomplete FROM whole GROUP BY run) w LEFT JOIN
+  (SELECT run, max(d) FILTER (WHERE name = 'cyc_h') AS h, max(d) FILTER (WHERE name = 'cyc_i') AS i, max(d) FILTER (WHERE name = 'trans_h') AS th, max(d) FILTER (WHERE name = 'trans_i') AS ti FROM term GROUP BY run) t USING (run)""", before=ROLED))
+def a15(spark, d):
+    pts = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_returnflag AS run", "l_orderkey % 100 AS tile", f"{ROLE} AS role", "l_suppkey % 2 AS dim", "CAST(l_discount AS DOUBLE) AS birth", "CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01D AS death")
+    got = reports.topology_report(persistence.packed(pts, ["run", "tile", "role"]), ["run"], cyc=10.0, scale=0.1)
+    return got.select("run", *[r6(t).alias(t) for t in reports.TERMS], "n_tiles", "incomplete", r6("total").alias("total"))
+
+
+@query("j08_sweep_scores")
+def j08(spark, d):
+    """Every combination of two fields a side and two downsamplings, true pairs against strict wrong ones, one score row each."""
+    fa, fb, ks = ["gray", "hematoxylin/eosin"], ["gray", "dab+hematoxylin"], [1, 2]
+    named = pixels(spark, d).join(tiles(spark, d).select(*KEY, "stem"), KEY)
+    dgm = sweep.all_diagrams(named, {"A": fa, "B": fb}, ks, ["stem", "domain"])
+    p = pairs(spark, d).select("marker", "pair_idx", "stem", "slide")
+    wrong = pairing.strict_partners(p, 7, 1).select("marker", "pair_idx", "partner_idx")
+    true = wrong.select("marker", "pair_idx", F.col("pair_idx").alias("partner_idx"), F.lit(False).alias("wrong"))
+    both = wrong.withColumn("wrong", F.lit(True)).unionByName(true)
+    both = both.join(p.select("marker", "pair_idx", F.col("stem").alias("stem_a")), ["marker", "pair_idx"]).join(p.select("marker", F.col("pair_idx").alias("partner_idx"), F.col("stem").alias("stem_b")), ["marker", "partner_idx"])
+    rows = sweep.distance_inputs(both, dgm, sweep.combinations(spark, fa, fb, ks), "stem_a", "stem_b", "stem")
+    rows = rows.select("marker", *sweep.COMBO, "wrong", r6(persistence.distance("a", "b")).alias("d"))
+    return scoring.score_rows(rows, ["marker", *sweep.COMBO], "d", "wrong")
+
+
+@query("w05_confirm_set", duck("SELECT s.marker, s.vectors, s.field_a, s.field_b, s.downsample, s.dims, s.projection, s.confirm_auroc, s.n_tiles FROM scores s JOIN top5 t USING (marker, vectors, field_a, field_b, downsample, dims, projection) WHERE s.control = 'strict'", "scores", before=TOP))
+def w05(spark, d):
+    s = scores(spark, d)
+    return reports.confirm_set(s, s).select("marker", "vectors", *scoring.SETTING, "confirm_auroc", "n_tiles")
+
+
+@query("a23_marker_lists", duck("SELECT verdict, count(*) AS n_markers, string_agg(marker, ', ' ORDER BY marker) AS markers FROM (SELECT marker, CASE WHEN supported THEN 'ph_trans_supported' ELSE 'ph_cyc_only' END AS verdict FROM win) GROUP BY verdict", "scores", before=DECIDED))
+def a23(spark, d):
+    return reports.marker_lists(scoring.verdicts(scoring.decided(scoring.top_candidates(scores(spark, d)))))
+
+
+@query("a23_f03_report_rows", duck("""SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY confirm_auroc DESC, vectors, place) AS line, vectors,
+  concat(field_a, ' -> ', field_b, ', downsample ', CAST(downsample AS VARCHAR), ', dims ', dims, ', ', projection) AS setting, n_tiles, confirm_auroc, round(z, 5) AS z_observed, supported FROM zz""", "scores", before=DECIDED))
+def a23_rows(spark, d):
+    return reports.report_rows(scoring.decided(scoring.top_candidates(scores(spark, d)))).withColumn("z_observed", F.round("z_observed", 5))
+
+
+ORIGINS = """f AS (SELECT vec_id, concat('file:///data/', CASE vec_id % 3 WHEN 0 THEN 'HE/train/' WHEN 1 THEN 'IHC/train/' ELSE concat('c', CAST(vec_id % 7 AS VARCHAR), '/images/') END, 't', CAST(vec_id AS VARCHAR), '.png') AS origin FROM embeddings)"""
+
+
+def origins(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.selectExpr("vec_id", "concat('file:///data/', CASE vec_id % 3 WHEN 0 THEN 'HE/train/' WHEN 1 THEN 'IHC/train/' ELSE concat('c', CAST(vec_id % 7 AS STRING), '/images/') END, 't', CAST(vec_id AS STRING), '.png') AS origin")
+
+
+@query("s03_split_mapping", duck("SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'trainA' ELSE 'IHC/train' END AS split FROM f WHERE vec_id % 3 < 2", before=ORIGINS))
+def s03(spark, d):
+    return images.with_split(origins(spark, d), "/data", ["HE/train:trainA", "IHC/train", "absent:valA"]).select("vec_id", "split")
+
+
+@query("s04_case_index", duck("SELECT concat('c', CAST(vec_id % 7 AS VARCHAR)) AS case_id, concat('t', CAST(vec_id AS VARCHAR)) AS id, origin FROM f WHERE vec_id % 3 = 2", before=ORIGINS))
+def s04(spark, d):
+    return images.case_index(origins(spark, d))

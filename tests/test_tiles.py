@@ -1,14 +1,17 @@
 """Tile operators: every query with SQL against DuckDB on the smallest tables, and literal cases."""
 
 import math
+import struct
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
 from mosaica.functions import optics
-from mosaica.operators import persistence, scoring, tiling
+from mosaica.operators import persistence, reports, scoring, tiling
 from mosaica.plans.queries import ORACLE, QUERIES
+from mosaica.sources import images
 
 DATA = "/root/testdata/sf0.001"
 
@@ -94,3 +97,50 @@ def test_unknown_stain_and_presets():
         optics.field("hematoxylin/nothing")
     assert optics.preset("he-ihc", field_B="gray")["field_B"] == "gray"
     assert optics.split_specs("a+b") == ("a/b", "b/a")
+
+
+def png(rows):
+    """A PNG of rows of (r, g, b)."""
+    chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
+    raw = b"".join(b"\0" + bytes(v for p in r for v in p) for r in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_splits_and_corrupt_files(spark, tmp_path):
+    folder = tmp_path / "HE" / "train"
+    folder.mkdir(parents=True)
+    (folder / "a.PNG").write_bytes(png([[(10, 20, 30), (40, 50, 60)]]))
+    (folder / "b.png").write_bytes(b"no image")
+    (folder / "c.txt").write_bytes(b"text")
+    got = images.images(spark, str(tmp_path))
+    rows = {r["name"]: r for r in images.with_split(got, str(tmp_path), ["HE/train:trainA"]).collect()}
+    assert {k: (r["split"], r["valid"]) for k, r in rows.items()} == {"a.PNG": ("trainA", True), "b.png": ("trainA", False)}
+    assert bytes(rows["a.PNG"]["rgb"]) == bytes([10, 20, 30, 40, 50, 60]) and rows["b.png"]["rgb"] is None
+    crops = got.where("valid").selectExpr("origin", "true AS kept")
+    assert sorted((r["written"], r["skipped"]) for r in images.tiling_counts(crops, got, "kept").collect()) == [(0, 0), (1, 0)]
+
+
+def test_vectors_and_scores_are_read_as_written(spark, tmp_path):
+    v = spark.createDataFrame([("ER", "fixed", "A", [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 90.0), ("ER", "fixed", "B", [1.0, 0.0, 0.0], None, None)], images.VECTORS)
+    images.write_vectors(v, str(tmp_path / "v"))
+    assert [r["domain"] for r in images.read_vectors(spark, str(tmp_path / "v")).collect()] == ["A"]
+    s = spark.createDataFrame([("ER", "fixed", "strict", "screen", 0.6)], "marker string, vectors string, control string, stage string, auroc double")
+    for _ in range(2):
+        images.append_scores(s, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).where("marker = 'ER' AND stage = 'screen'").count() == 2
+
+
+def test_matched_loss_is_the_best_assignment(spark):
+    from itertools import permutations
+
+    c = np.random.default_rng(2).random((3, 4))
+    rows = spark.createDataFrame([(1, i, j, float(c[i, j])) for i in range(3) for j in range(4)], "batch int, i int, j int, cost double")
+    got = reports.matched_loss(rows, "batch", "i", "j").first()
+    best = min(sum(c[i, p[i]] for i in range(3)) for p in permutations(range(4), 3))
+    assert got["matched"] == 3 and math.isclose(got["sum_loss"], best) and math.isclose(got["mean_loss"], best / 3)
+
+
+def test_topology_report_leaves_out_incomplete_tiles(spark):
+    rows = [(1, r, [1.0 if r == "real_A" else 3.0], [0.0]) for r in reports.ROLES] + [(2, "real_A", [9.0], [9.0])]
+    got = reports.topology_report(spark.createDataFrame(rows, "tile int, role string, p0 array<double>, p1 array<double>").selectExpr("'x' AS run", "*"), ["run"]).first()
+    assert (got["cyc_h"], got["cyc_i"], got["trans_h"], got["trans_i"], got["n_tiles"], got["incomplete"], got["total"]) == (2.0, 0.0, 2.0, 0.0, 1, 1, 4.0)
