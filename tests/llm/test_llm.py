@@ -224,6 +224,16 @@ def test_quality_without_labels(spark):
     assert not got[72] and not got[73]
 
 
+def test_quality_finds_each_kind_of_fault(spark):
+    good = [prose(i, 60 + i) for i in range(160)]
+    repeated = [" ".join(w for w in prose(i, 8).split() for _ in range(9)) for i in range(8)]
+    decorated = [" ".join(w + "!!" for w in prose(i, 60).split()) for i in range(8)]
+    symbols = [" ".join(["#$%", "{}", "***", "||"] * 20) for _ in range(8)]
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs(spark, good + repeated + decorated + symbols)).collect()}
+    assert all(got[i] for i in range(160))
+    assert not any(got[i] for i in range(160, 184))
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(2)
     rows = [(i, prose(i, 50) + (" nasty you " + r.choice(["vile", "awful"]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
