@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or that with underscores before it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors go."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from mosaica.llm import bpe, chat, decontaminate, embedding_dedup, langid, quality, sharding, simhash, substring, toxicity
 from mosaica.llm.queries import TOKENIZER
@@ -234,6 +235,23 @@ def test_quality_finds_each_kind_of_fault(spark):
     assert not any(got[i] for i in range(160, 184))
 
 
+def test_columns_with_the_operators_own_names_stay(spark, texts):
+    import corpus_pipeline
+
+    names = ["_t", "_text", "_id", "_spans", "_hash", "_nth", "th", "hash", "of"]
+    df = docs(spark, texts).select("doc_id", "text", *[F.col("shard").alias(n) for n in names])
+    items = spark.createDataFrame([(1, prose(500, 40))], "item_id long, text string")
+    for out in (
+        quality.classify(df).drop("quality_score", "kept"),
+        substring.remove_passages(df),
+        decontaminate.clean(df, items),
+        corpus_pipeline.one_of_each(spark, df, ""),
+    ):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[n] == 1 for r in rows for n in names)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(2)
     rows = [(i, prose(i, 50) + (" nasty you " + r.choice(["vile", "awful"]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
