@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mosaica.llm import bpe, decontaminate, quality, simhash, substring
-from mosaica.llm.common import stored, table
+from mosaica.llm.common import free, stored, table
 from mosaica.llm.queries import TOKENIZER
 
 
@@ -25,10 +25,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each SimHash group; of repeated rows one stays."""
-    kept = simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    kept = simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(free(docs, "_id"))).distinct()
+    own, digest, nth = free(docs, "_id"), free(docs, "_hash"), free(docs, "_nth")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").withColumn(digest, F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy("doc_id"))
+    return rows.withColumn(nth, place).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
