@@ -170,6 +170,49 @@ def test_repeated_passages(spark):
     assert left[1].split() == b.split()[:60] + b.split()[130:]
 
 
+def edited(seed, n):
+    """A passage of n words, and it with a word replaced, inserted or deleted in its middle third, if both have 50 words and similarity 0.8."""
+    r, p = random.Random(seed), prose(seed, n).split()
+    at = r.randrange(n // 3, 2 * n // 3)
+    q = (p[:at] + ["new"] + p[at + 1 :], p[:at] + ["new"] + p[at:], p[:at] + p[at + 1 :])[seed % 3]
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q))
+    return [(" ".join(p), " ".join(q))] if len(q) >= 50 and len(a & b) >= 0.8 * len(a | b) else []
+
+
+def test_passages_with_a_word_replaced_inserted_or_deleted(spark):
+    pairs = [x for i in range(120) for x in edited(3000 + i, (52, 60, 75, 90, 100)[i % 5])]
+    d = docs(spark, [prose(5000 + 2 * i + k, 60) + " " + x + " " + prose(7000 + 2 * i + k, 60) for i, pair in enumerate(pairs) for k, x in enumerate(pair)])
+    got = {r["doc_id"]: r for r in substring.duplicate_passages(d).collect()}
+    assert len(pairs) >= 110 and all(i % 2 and r["copy_of"] == i - 1 for i, r in got.items())
+    assert len(got) >= 0.97 * len(pairs)
+    whole = [(got[2 * i + 1]["start"], got[2 * i + 1]["end"]) == (60, 60 + len(q.split())) for i, (_, q) in enumerate(pairs) if 2 * i + 1 in got]
+    assert sum(whole) >= 0.9 * len(whole)
+
+
+def test_extents_against_all_intervals():
+    r, least = np.random.default_rng(8), 46
+    for t in range(40):
+        a = r.integers(1, 1 << 60, 160).astype(np.uint64)
+        cut = 80 + int(r.integers(-40, 40))
+        b = [a[:cut], r.integers(1, 1 << 60, t % 4).astype(np.uint64), a[cut + t % 3 :]]
+        b, c = np.concatenate(b), 40 if cut > 80 else 110
+        a[: c - 25] ^= np.uint64(0x5555 << 40)
+        a[c + 40 :] ^= np.uint64(0x3333 << 40)
+        k = c if cut > 80 else c + t % 4 - t % 3
+        x, y = (np.frombuffer(substring.context(h, p), np.uint16)[None] for h, p in ((a, c), (b, k)))
+        sa, sb = substring.tokens(a), substring.tokens(b)
+        place = {v: i for i, v in enumerate(sb)}
+        at = [place.get(v) for v in sa]
+        ends = [i for i, v in enumerate(at) if v is not None and abs(i - c) <= substring.REACH and abs(v - k) <= substring.REACH]
+        want = (-1, -1)
+        for lo in (i for i in ends if i <= c and at[i] <= k):
+            for hi in (j for j in ends if j >= c and at[j] >= k):
+                u, v = set(sa[lo : hi + 1]), set(sb[at[lo] : at[hi] + 1])
+                if min(len(u), len(v)) >= least and len(u & v) >= 0.8 * len(u | v):
+                    want = (max(want[0], c - lo), max(want[1], hi - c))
+        assert tuple(int(e[0]) for e in substring.extents(x, y, 0.8, least)[:2]) == want
+
+
 def test_compact_windows_cover_each_subsequence_once():
     h = np.random.default_rng(4).integers(0, 1 << 60, 60).astype(np.uint64)
     got = substring.compact_windows(h, 10)
