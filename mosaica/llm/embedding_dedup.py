@@ -12,6 +12,7 @@ cosine in double precision.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ PER_CELL, MOST_WORDS = 64, 256
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Lloyd's k-means of the rows of x, started from k of them."""
+    """Lloyd's k-means of the rows of x, started from k of them; the rows of a half without components are all alike."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rng = np.random.default_rng(7)
     words = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
@@ -96,13 +99,13 @@ def usable(vector: F.Column) -> F.Column:
 
 
 def fit(reps: DataFrame, rows: int, labels: int, cosine: float, recall: float = RECALL, sample: int = SAMPLE) -> MultiIndex | None:
-    """The index of vectors of one width, fitted on about `sample` of them; None if there are none."""
+    """The index of vectors, all of one width, fitted on about `sample` of them; None if none were drawn."""
     share = min(1.0, sample / max(rows, 1))
     drawn = reps.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toPandas()["v"]
     if not len(drawn):
         return None
-    width = max(map(len, drawn))
-    x = _unit(np.stack([v for v in drawn if len(v) == width]).astype(float))
+    x = _unit(np.stack(list(drawn)).astype(float))
+    width = x.shape[1]
     k = int(min(MOST_WORDS, max(2, math.isqrt(max(1, rows // max(labels, 1) // PER_CELL)))))
     cut = width // 2
     index = MultiIndex((codebook(x[:, :cut], k), codebook(x[:, cut:], k)))
@@ -117,8 +120,7 @@ def near_duplicates(
 
     Two rows link if their labels are equal and not null and the cosine of their vectors, in double
     precision, is at least `cosine`. Null, zero and non-finite vectors link with nothing. Vectors of
-    different lengths don't link; those of another length than the longest sampled get only copies as
-    links. Copies (equal vectors of a label) are one class: its members link with each other and with all
+    different lengths don't link; each length has an index of its own. Copies (equal vectors of a label) are one class: its members link with each other and with all
     members of linked classes, without a row for each pair. A null vec_id never names a component. Rows
     with equal ids each keep their row. An empty table gives no rows.
     """
@@ -129,11 +131,18 @@ def near_duplicates(
     keyed = stored(keyed)
     classes = keyed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = stored(classes)
-    size = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("l")).first()
-    index = fit(classes, size["n"], size["l"], cosine, recall)
-    if index is None:
+    sizes = classes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("l")).orderBy("width").collect()
+    parts = []
+    for size in sizes:
+        if size["n"] > 1:  # the only class of a width has no others to link with
+            same = classes.where(F.size("v") == size["width"])
+            index = fit(same, size["n"], size["l"], cosine, recall)
+            if index is None:  # none of few were drawn
+                index = fit(same, size["n"], size["l"], cosine, recall, size["n"])
+            parts.append(stored(_verified(same, index, cosine, block)))
+    if not sizes:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = stored(_verified(classes, index, cosine, block))
+    found = reduce(DataFrame.unionByName, parts, classes.sparkSession.createDataFrame([], "a long, b long, n long"))
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
     comp = components(found.where("b is not null").select("a", "b"))
     tied = skew_join(classes.select("node", "n", "first"), comp, ["node"], "left").withColumn("component", F.coalesce("component", "node"))

@@ -144,6 +144,22 @@ def test_embeddings_against_all_pairs(spark):
     assert [got[i]["component_id"] for i in range(len(v))] == closure(len(v), linked)
 
 
+def test_embeddings_of_other_lengths_cost_only_their_own_links(spark):
+    rng = np.random.default_rng(6)
+    v = []
+    for width, n in ((1, 2), (8, 20), (12, 10), (40, 1)):
+        x = rng.standard_normal((n, width))
+        v += [list(map(float, r)) for r in [*x, *(x + 0.01 * rng.standard_normal(x.shape))][: max(1, 2 * n if n > 1 else 1)]]
+    rows = spark.createDataFrame([(i, a, 1) for i, a in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows).collect()}
+
+    def linked(i, j):
+        return len(v[i]) == len(v[j]) and np.dot(v[i], v[j]) / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) >= 0.98
+
+    assert [got[i]["n_links"] for i in range(len(v))] == [sum(linked(i, j) for j in range(len(v)) if j != i) for i in range(len(v))]
+    assert [got[i]["component_id"] for i in range(len(v))] == closure(len(v), linked)
+
+
 def test_decontamination_against_shingles(spark):
     items = [(i, prose(100 + i, 30) + ". " + prose(200 + i, 12) + ".") for i in range(30)] + [(98, ""), (99, None), (30, "one two")]
     held = [prose(i, 300) + " " + items[i][1] + " " + prose(50 + i, 300) for i in range(10)]
