@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +96,23 @@ def field(spec: str, combine: str = "max", vectors: dict | None = None, rgb=RGB)
     return {"max": F.greatest(one, two), "sum": one + two, "mean": (one + two) / 2}[combine]
 
 
+def field_array(spec: str, rgb: np.ndarray, combine: str = "max", vectors: dict | None = None) -> np.ndarray:
+    """field() of an array whose last axis is r, g, b on 0..255, whole numbers or averages."""
+    table = STAINS | (vectors or {})
+    if spec == "gray":
+        return rgb @ np.array([0.299, 0.587, 0.114]) / 255.0
+    names = spec.replace("+", "/").split("/")
+    if missing := [n for n in names if n not in table]:
+        raise ValueError(f"unknown stain {missing[0]!r}")
+    od = -np.log10(np.clip(rgb / 255.0, 0.001, 1.0))
+    v = [np.array(unit(table[n])) for n in names]
+    if len(v) == 1:
+        return od @ v[0]
+    c = float(v[0] @ v[1])
+    one, two = ((od @ a - c * (od @ b)) / (1 - c * c) for a, b in (v, v[::-1]))
+    return one if "/" in spec else {"max": np.maximum(one, two), "sum": one + two, "mean": (one + two) / 2}[combine]
+
+
 def preset(name: str, **override) -> dict:
     """A preset with the given parts in place of its own."""
     return PRESETS[name] | {k: v for k, v in override.items() if v is not None}

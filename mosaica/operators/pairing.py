@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mosaica.operators.ordering import ranked
+
 SLIDE = r"_r\d+c\d+$"
 
 
@@ -25,19 +27,30 @@ def matched_pairs(tiles: DataFrame) -> DataFrame:
     """
     one = tiles.groupBy("marker", "stem").agg(F.max(F.when(F.col("domain") == "A", F.col("name"))).alias("a"), F.max(F.when(F.col("domain") == "B", F.col("name"))).alias("b"))
     stems = one.where("a is not null and b is not null").withColumn("how", F.lit("stem"))
-    left = tiles.join(stems.select("marker").distinct(), "marker", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("marker", "domain").orderBy("name"))
-    left = left.withColumn("nth", nth)
+    left = ranked(tiles.join(stems.select("marker").distinct(), "marker", "left_anti").select("marker", "domain", "stem", "name"), ["name"], "nth", ["marker", "domain"])
     a, b = left.where("domain = 'A'").select("marker", "nth", F.col("stem"), F.col("name").alias("a")), left.where("domain = 'B'").select("marker", "nth", F.col("name").alias("b"))
     return stems.unionByName(a.join(b, ["marker", "nth"]).select("marker", "stem", "a", "b", F.lit("order").alias("how")))
 
 
-def sampled(pairs: DataFrame, seed: int, offset: int = 0, limit: int = 0) -> DataFrame:
-    """pairs with pair_idx, in seeded order within a marker; a slice of it where limit is over 0."""
-    out = pairs.withColumn("pair_idx", (F.row_number().over(Window.partitionBy("marker").orderBy(seeded(seed, "stem"), "stem")) - 1).cast("long"))
+def sampled(pairs: DataFrame, seed: int, offset: int = 0, limit: int = 0, sample: str = "random") -> DataFrame:
+    """pairs with pair_idx, within a marker in an order that depends on seed and stem alone, or in that of names if `sample` is head.
+
+    A slice of it where limit is over 0.
+    """
+    if sample not in ("random", "head"):
+        raise ValueError(f"sample must be random or head, not {sample!r}")
+    key = "_seeded"
+    keyed = pairs.withColumn(key, seeded(seed, "stem") if sample == "random" else F.lit(""))
+    out = ranked(keyed, [key, "stem"], "pair_idx", ["marker"]).drop(key)
     return out.where((F.col("pair_idx") >= offset) & ((F.lit(limit) == 0) | (F.col("pair_idx") < offset + limit)))
 
 
+def halves(pairs: DataFrame) -> DataFrame:
+    """pairs with `half`, the length of a slice where it is not given: half of a marker's pairs, at least one."""
+    n = pairs.groupBy("marker").agg(F.greatest(F.lit(1).cast("long"), F.expr("count(1) div 2")).alias("half"))
+    return pairs.join(n, "marker")
+
+
 def strict_partners(pairs: DataFrame, seed: int, shuffles: int) -> DataFrame:
     """(marker, shuffle_no, pair_idx, partner_idx): another pair of the same slide, by a rotation of 1..n-1 places; lone pairs are left out."""
     w = Window.partitionBy("marker", "slide")
@@ -52,16 +65,23 @@ def strict_partners(pairs: DataFrame, seed: int, shuffles: int) -> DataFrame:
 def free_partners(pairs: DataFrame, seed: int, shuffles: int) -> DataFrame:
     """Like strict_partners over all pairs of a marker: each one's partner is the next in a seeded circle; a lone pair is its own."""
     each = pairs.select("marker", "pair_idx", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle_no"))
-    by = Window.partitionBy("marker", "shuffle_no")
-    order = by.orderBy(seeded(seed, "pair_idx", "shuffle_no"), "pair_idx")
-    nxt = F.coalesce(F.lead("pair_idx").over(order), F.first("pair_idx").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return each.select("marker", "shuffle_no", "pair_idx", nxt.alias("partner_idx"))
+    each = each.withColumn("_seeded", seeded(seed, "pair_idx", "shuffle_no"))
+    circle = ranked(each, ["_seeded", "pair_idx"], "at", ["marker", "shuffle_no"]).drop("_seeded")
+    n = circle.groupBy("marker", "shuffle_no").agg(F.count(F.lit(1)).alias("n"))
+    here = circle.join(n, ["marker", "shuffle_no"]).withColumn("at", (F.col("at") + 1) % F.col("n"))
+    return here.join(circle.withColumnRenamed("pair_idx", "partner_idx"), ["marker", "shuffle_no", "at"]).select("marker", "shuffle_no", "pair_idx", "partner_idx")
 
 
 def holdout(tiles: DataFrame, share: float, seed: int) -> DataFrame:
-    """tiles with `split`: of the sources in both domains max(1, round(n * share)) go to val, with all their tiles (half-even rounding)."""
+    """tiles with `split`: of the sources in both domains max(1, round(n * share)) go to val, with all their tiles (half-even rounding).
+
+    A marker without a source in both domains is an error.
+    """
     both = tiles.groupBy("marker", "slide").agg(F.countDistinct("domain").alias("d")).where("d = 2")
-    w = Window.partitionBy("marker")
-    ranked = both.select("marker", "slide", F.row_number().over(w.orderBy(seeded(seed, "slide"), "slide")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    val = ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("n") * share))).select("marker", "slide", F.lit(True).alias("val"))
+    order = ranked(both.select("marker", "slide", seeded(seed, "slide").alias("_seeded")), ["_seeded", "slide"], "nth", ["marker"])
+    n = order.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    lacking = tiles.select("marker").distinct().join(n, "marker", "left_anti").first()
+    if lacking:
+        raise ValueError(f"no source is shared by both domains of {lacking['marker']!r}")
+    val = order.join(n, "marker").where(F.col("nth") < F.greatest(F.lit(1), F.bround(F.col("n") * share))).select("marker", "slide", F.lit(True).alias("val"))
     return tiles.join(val, ["marker", "slide"], "left").withColumn("split", F.when(F.col("val"), "val").otherwise("train")).drop("val")

@@ -3,99 +3,186 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIAGRAM = "dim int, birth double, death double, birth_y int, birth_x int, death_y int, death_x int"
-
-
-def _merge(values: np.ndarray, order: np.ndarray, near: list[int], alive: list[int]) -> list[tuple[int, int]]:
-    """(peak, saddle) places of each component that ends when places come in `order`; `alive` are there from the start."""
-    root = [-1] * len(values)
-    rank = [0] * len(values)
-    for k, p in enumerate(order):
-        rank[p] = k
-
-    def find(p: int) -> int:
-        while root[p] != p:
-            root[p] = root[root[p]]
-            p = root[p]
-        return p
-
-    for p in alive:
-        root[p] = alive[0]
-        rank[p] = -1
-    pairs = []
-    for p in order:
-        if root[p] >= 0:
-            continue
-        root[p] = p
-        for d in near:
-            q = p + d
-            if root[q] >= 0:
-                a, b = find(p), find(q)
-                if a != b:
-                    old, new = (a, b) if rank[a] < rank[b] else (b, a)
-                    root[new] = old
-                    if values[new] != values[p]:
-                        pairs.append((new, p))
-    return pairs
+from mosaica.functions import optics
+from mosaica.operators.tiling import by_size, pooled
+
+
+#: Pixels that are worked on together: several small tiles, or one large one.
+TOGETHER = 1 << 18
+
+
+def _merges(rank: np.ndarray, steps: list[int], outside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end): for each component that ends when places come in order of `rank`, the flat place where it began and the one that joined it to an older one.
+
+    rank: (tiles, h + 2, w + 2), a strict order of the places inside each tile; its frame comes first if `outside` and
+    never otherwise. `steps`: the neighbours on one side, as steps in the flat array; the others are their negatives.
+
+    Each place belongs to the basin that its lowest neighbour leads to, so only the lowest pass between two basins can join
+    them; passes are few, and they are taken in order.
+    """
+    tiles, h, w = rank.shape
+    flat, never = rank.ravel(), np.iinfo(rank.dtype).max
+    to = np.arange(flat.size)
+    if outside:
+        frame = np.ones((h, w), bool)
+        frame[1:-1, 1:-1] = False
+        at = np.flatnonzero(np.tile(frame.ravel(), tiles))
+        to[at] = at // (h * w) * (h * w)
+    inner = np.arange(flat.size).reshape(rank.shape)[:, 1:-1, 1:-1].ravel()
+    best, low = flat[inner], inner
+    for d in [*steps, *(-d for d in steps)]:
+        r = flat[inner + d]
+        low = np.where(r < best, inner + d, low)
+        best = np.minimum(best, r)
+    to[inner] = low
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    basins = np.flatnonzero(to == np.arange(flat.size))
+    number = np.zeros(flat.size, np.int64)
+    number[basins] = np.arange(len(basins))
+    a, b, late = [], [], []
+    for d in steps:
+        p, q = number[to[inner]], number[to[inner + d]]
+        some = (p != q) & (flat[inner + d] < never)
+        p, q, x, y = p[some], q[some], inner[some], inner[some] + d
+        a.append(np.minimum(p, q))
+        b.append(np.maximum(p, q))
+        late.append(np.where(flat[x] > flat[y], x, y))
+    a, b, late = map(np.concatenate, (a, b, late))
+    order = np.argsort(flat[late], kind="stable")  # tiles share no basins, so their order among each other is of no account
+    a, b, late = a[order], b[order], late[order]
+    first = np.sort(np.unique(a * len(basins) + b, return_index=True)[1])
+    root, age = list(range(len(basins))), flat[basins].tolist()
+    start, end = [], []
+    for i, j, k in zip(a[first].tolist(), b[first].tolist(), first.tolist(), strict=True):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            if age[i] < age[j]:
+                i, j = j, i
+            root[i] = j
+            start.append(i)
+            end.append(k)
+    return basins[start] if start else np.zeros(0, np.int64), late[end] if end else np.zeros(0, np.int64)
+
+
+def diagrams_of(fields: np.ndarray) -> dict[str, np.ndarray]:
+    """Finite pairs of fields (tiles, h, w) as columns tile, dim, birth, death, birth_y, birth_x, death_y, death_x; none has length zero."""
+    tiles, h, w = fields.shape
+    if tiles * h * w > TOGETHER and tiles > 1:
+        n = max(1, TOGETHER // (h * w))
+        parts = [(at, diagrams_of(fields[at : at + n])) for at in range(0, tiles, n)]
+        return {k: np.concatenate([p[k] + at if k == "tile" else p[k] for at, p in parts]) for k in parts[0][1]}
+    order = np.argsort(fields.reshape(tiles, -1), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(h * w), order.shape), 1)
+    place = place.reshape(fields.shape).astype(np.int32)
+    wide, found = w + 2, []
+    # holes: components of what lies above, with the outside at infinity there from the start
+    for dim, rank, steps in ((0, place, [1, wide - 1, wide, wide + 1]), (1, h * w - 1 - place, [1, wide])):
+        framed = np.full((tiles, h + 2, wide), -1 if dim else np.iinfo(np.int32).max, np.int32)
+        framed[:, 1:-1, 1:-1] = rank
+        start, end = _merges(framed, steps, bool(dim))
+        tile, at = np.divmod(start, (h + 2) * wide)
+        (y0, x0), (y1, x1) = (np.divmod(p % ((h + 2) * wide), wide) for p in (start, end))
+        y0, x0, y1, x1 = (v - 1 for v in (y0, x0, y1, x1))
+        if dim:
+            y0, x0, y1, x1 = y1, x1, y0, x0
+        birth, death = fields[tile, y0, x0], fields[tile, y1, x1]
+        some = birth != death
+        found.append([v[some] for v in (tile, np.full(len(tile), dim), birth, death, y0, x0, y1, x1)])
+    names = ("tile", "dim", "birth", "death", "birth_y", "birth_x", "death_y", "death_x")
+    return {n: np.concatenate(c) for n, c in zip(names, zip(*found, strict=True), strict=True)}
 
 
 def diagram(field: np.ndarray) -> list[tuple]:
-    """Finite pairs (dim, birth, death, birth y, x, death y, x) of one field; none has length zero."""
-    h, w = field.shape
-    wide = w + 2
-    flat = np.full((h + 2, wide), np.inf)
-    flat[1:-1, 1:-1] = field
-    flat = flat.ravel()
-    inner = (np.arange(1, h + 1)[:, None] * wide + np.arange(1, w + 1)).ravel()
-    outside = np.setdiff1d(np.arange(len(flat)), inner)
-    up = inner[np.argsort(flat[inner], kind="stable")]
-    values = flat.tolist()
-    place = lambda p: (p // wide - 1, p % wide - 1)
-    near8 = [-wide - 1, -wide, -wide + 1, -1, 1, wide - 1, wide, wide + 1]
-    out = [(0, values[b], values[d], *place(b), *place(d)) for b, d in _merge(values, up.tolist(), near8, [])]
-    # holes: components of what lies above, with the outside at infinity there from the start
-    down = up[::-1]
-    out += [(1, values[d], values[b], *place(d), *place(b)) for b, d in _merge(values, down.tolist(), [-wide, -1, 1, wide], outside.tolist())]
+    """Finite pairs (dim, birth, death, birth y, x, death y, x) of one field."""
+    got = diagrams_of(np.asarray(field, float)[None])
+    return list(zip(*(got[k].tolist() for k in got if k != "tile"), strict=True))
+
+
+PACKED = "struct<birth0: array<double>, death0: array<double>, birth1: array<double>, death1: array<double>>"
+
+
+def tile_diagrams(tiles: DataFrame, specs: dict[str, list[str]], downsamples: list[int], name: str = "diagrams", domain: str = "domain", combine: str = "sum", vectors: dict | None = None, decimals: int | None = None) -> DataFrame:
+    """tiles (domain, h, w, rgb binary, and more) with an array of (spec, downsample, d): a diagram for each field of the tile's domain and each downsampling.
+
+    Fields are inverted (strong stains come first); `decimals` rounds them; `vectors` are each domain's own stains. Colours are pooled before the field is
+    taken, which drops what is left at the right and bottom. One pass from the bytes to the points, tile by tile: nothing is shuffled, and no
+    pixel becomes a row. A tile of a domain without specs gets an empty array.
+    """
+
+    def run(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+        out: list[list] = [[] for _ in range(len(rgb))]
+        who = np.array(domains.to_pylist(), object)
+        for rows, images in by_size(h, w, rgb):
+            for k in downsamples:
+                small = pooled(images, k)
+                for d, names in specs.items():
+                    at = np.flatnonzero(who[rows] == d)
+                    for spec in dict.fromkeys(names) if len(at) else ():
+                        f = -optics.field_array(spec, small[at], combine, (vectors or {}).get(d))
+                        f = f if decimals is None else np.round(f, decimals)
+                        for row, points in zip(rows[at], _by_tile(diagrams_of(f), len(at)), strict=True):
+                            out[row].append({"spec": spec, "downsample": k, "d": points})
+        return pa.array(out, ARROW)
+
+    made = F.arrow_udf(run, f"array<struct<spec: string, downsample: int, d: {PACKED}>>").asNondeterministic()
+    return tiles.withColumn(name, made(F.col(domain), F.col("h"), F.col("w"), F.col("rgb")))
+
+
+_LISTS = pa.struct([(n, pa.list_(pa.float64())) for n in ("birth0", "death0", "birth1", "death1")])
+ARROW = pa.list_(pa.struct([("spec", pa.string()), ("downsample", pa.int32()), ("d", _LISTS)]))
+
+
+def _by_tile(found: dict[str, np.ndarray], tiles: int) -> list[dict]:
+    """The points of each tile as lists, by dimension."""
+    out: list[dict] = [{} for _ in range(tiles)]
+    for dim in (0, 1):
+        some = found["dim"] == dim
+        order = np.argsort(found["tile"][some], kind="stable")
+        at = np.searchsorted(found["tile"][some][order], np.arange(tiles + 1))
+        for n in ("birth", "death"):
+            values = found[n][some][order]
+            for t in range(tiles):
+                out[t][f"{n}{dim}"] = values[at[t] : at[t + 1]]
     return out
 
 
-def diagrams(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """Long diagrams of fields (keys, h int, w int, v array<double>, row by row). One task handles a tile at a time."""
-    kinds = ", ".join(f"{k} {fields.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(*row[:-3], *point) for row in pdf.itertuples(index=False) for point in diagram(np.asarray(row[-1], float).reshape(row[-3], row[-2]))]
-            yield pd.DataFrame(rows, columns=[*keys, *(x.split()[0] for x in DIAGRAM.split(", "))])
-
-    return fields.select(*keys, "h", "w", "v").mapInPandas(run, f"{kinds}, {DIAGRAM}")
-
+def diagram_rows(tiles: DataFrame, keys: list[str], name: str = "diagrams") -> DataFrame:
+    """The points of tile_diagrams() as rows: keys, spec, downsample, dim, birth, death."""
+    each = tiles.select(*keys, F.explode(name).alias("x")).select(*keys, "x.spec", "x.downsample", F.col("x.d").alias("d"))
+    point = lambda k: F.transform(F.arrays_zip(F.col(f"d.birth{k}").alias("birth"), F.col(f"d.death{k}").alias("death")), lambda p: F.struct(F.lit(k).alias("dim"), p["birth"].alias("birth"), p["death"].alias("death")))
+    rows = each.select(*keys, "spec", "downsample", F.explode(F.concat(point(0), point(1))).alias("p"))
+    return rows.select(*keys, "spec", "downsample", "p.dim", "p.birth", "p.death")
 
-def fields(pixels: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """One row for each tile of long pixels (keys, y, x): h, w and the values row by row."""
-    got = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("y", "x", value.alias("v")))).alias("p"))
-    return got.select(*keys, "h", "w", F.transform("p", lambda p: p["v"]).alias("v"))
 
-
-def downsample(pixels: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """k x k averages of the colours; what is left at the right and bottom is dropped."""
-    size = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    inside = pixels.join(size, keys).where(f"y < {k} * (_h div {k}) AND x < {k} * (_w div {k})")
-    by = inside.groupBy(*keys, F.expr(f"CAST(y div {k} AS INT)").alias("y"), F.expr(f"CAST(x div {k} AS INT)").alias("x"))
-    return by.agg(*[F.avg(c).alias(c) for c in "rgb"])
+def projected(kind: str | dict[int, str], dim: int) -> Column:
+    """birth, death or lifetime of the points, or one of them for each dimension; auto is the lifetime of components and the birth of holes."""
+    kind = kind.get(dim, "auto") if isinstance(kind, dict) else kind
+    kind = {"auto": "lifetime" if dim == 0 else "birth"}.get(kind, kind)
+    return {"birth": F.col("birth"), "death": F.col("death"), "lifetime": F.col("death") - F.col("birth")}[kind]
 
 
-def projected(kind: str, dim: int) -> Column:
-    """birth, death or lifetime of the points; auto is the lifetime of components and the birth of holes."""
+def projected_lists(d: Column, projection: str | dict[int, str], dim: int) -> Column:
+    """The projected values of one dimension of a diagram as tile_diagrams() makes it; `projection` may name one for each dimension."""
+    kind = projection.get(dim, "auto") if isinstance(projection, dict) else projection
     kind = {"auto": "lifetime" if dim == 0 else "birth"}.get(kind, kind)
-    return {"birth": F.col("birth"), "death": F.col("death"), "lifetime": F.col("death") - F.col("birth")}[kind]
+    if kind not in ("birth", "death", "lifetime"):
+        raise ValueError(f"no projection {kind!r}")
+    return F.zip_with(d[f"death{dim}"], d[f"birth{dim}"], lambda x, y: x - y) if kind == "lifetime" else d[f"{kind}{dim}"]
 
 
-def packed(points: DataFrame, keys: list[str], projection: str = "auto", dims: tuple[int, ...] = (0, 1)) -> DataFrame:
+def packed(points: DataFrame, keys: list[str], projection: str | dict[int, str] = "auto", dims: tuple[int, ...] = (0, 1)) -> DataFrame:
     """One row for each diagram: p0 and p1, the projected values of each dimension."""
     return points.groupBy(*keys).agg(*[F.collect_list(F.when(F.col("dim") == d, projected(projection, d))).alias(f"p{d}") for d in dims])
 

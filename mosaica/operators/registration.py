@@ -12,22 +12,33 @@ def valid_cases(meta: DataFrame) -> DataFrame:
     return meta.groupBy("domain", "case_id").agg(F.bool_and(ok).alias("ok")).where("ok").select("domain", "case_id")
 
 
-def registered_pairs(meta: DataFrame, size: int) -> DataFrame:
+def registered_pairs(meta: DataFrame, size: int, index: DataFrame | None = None, line: str = "id") -> DataFrame:
     """(case_id, id_a, id_b, how, name): tiles at one place; by equal ids in cases without valid places in both domains.
 
-    Where B has a place twice the last id counts. The name puts four neighbours into one block.
+    Where B has a place twice the row that was read last, by `line`, counts. `index` (domain, case_id, id) lists the images that are there;
+    without it all are. The name puts four neighbours into one block.
     """
     good = valid_cases(meta).groupBy("case_id").count().where("count = 2").select("case_id")
-    placed = meta.join(good, "case_id", "left_semi").select("domain", "case_id", "id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    placed = meta.join(good, "case_id", "left_semi").select("domain", "case_id", "id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(line).alias("_line"))
     a = placed.where("domain = 'A'").select("case_id", "x", "y", F.col("id").alias("id_a"))
-    b = placed.where("domain = 'B'").groupBy("case_id", "x", "y").agg(F.max("id").alias("id_b"))
+    b = placed.where("domain = 'B'").groupBy("case_id", "x", "y").agg(F.max_by("id", "_line").alias("id_b"))
     col, row = f"(x div {size})", f"(y div {size})"
     name = F.expr(f"concat(case_id, '_', CAST({row} div 2 AS STRING), '_', CAST({col} div 2 AS STRING), '_r', CAST({row} % 2 AS STRING), 'c', CAST({col} % 2 AS STRING))")
     one = a.join(b, ["case_id", "x", "y"]).select("case_id", "id_a", "id_b", F.lit("coordinate").alias("how"), name.alias("name"))
     rest = meta.join(good, "case_id", "left_anti")
     a = rest.where("domain = 'A'").select("case_id", "id")
     two = a.join(rest.where("domain = 'B'").select("case_id", "id"), ["case_id", "id"]).select("case_id", F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit("id").alias("how"), F.concat("case_id", F.lit("_"), "id").alias("name"))
-    return one.unionByName(two)
+    both = one.unionByName(two)
+    for x in "AB" if index is not None else "":
+        there = index.where(F.col("domain") == x).select("case_id", F.col("id").alias(f"id_{x.lower()}"))
+        both = both.join(there, ["case_id", f"id_{x.lower()}"], "left_semi")
+    return both.select("case_id", "id_a", "id_b", "how", "name")
+
+
+def power(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key how many pairs were kept, pairs of a slice, and the AUROC that a slice of that size can tell from chance."""
+    n = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept")).withColumn("per_slice", F.expr("kept div 2"))
+    return n.withColumn("bar", F.expr("0.5D + 2.58D * sqrt(0.16667D / greatest(per_slice, 1))"))
 
 
 def report(meta: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -16,17 +16,20 @@ TERMS = {"cyc_h": ("real_A", "rec_A"), "cyc_i": ("real_B", "rec_B"), "trans_h":
 ROLES = sorted({r for pair in TERMS.values() for r in pair})
 
 
-def topology_report(packed: DataFrame, keys: list[str], tile: str = "tile", cyc: float = 1.0, trans: float = 1.0, scale: float = 1.0) -> DataFrame:
+def topology_report(packed: DataFrame, keys: list[str], tile: str = "tile", cyc: float = 1.0, trans: float = 1.0, scale: float = 1.0, channels: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the four terms as means over tiles, how many tiles lack a role, and the weighted total.
 
-    packed: keys, tile, role, p0, p1. Each diagram is packed once and serves both terms of its source. Tiles that lack
+    packed: keys, tile, role, p0, p1. Each diagram is packed once and serves both terms of its source. With `channels`, cyc_i is the sum over these
+    struct columns (p0, p1) of the diagrams of one channel each; the columns p0 and p1 serve the other terms. Tiles that lack
     a role count as `incomplete` and in no mean; a key without complete tiles has null terms.
     """
-    wide = packed.select(*keys, tile, "role", F.struct("p0", "p1").alias("g")).groupBy(*keys, tile).pivot("role", ROLES).agg(F.first("g"))
+    rows = packed.select(*keys, tile, "role", F.struct(F.struct("p0", "p1").alias("whole"), *channels).alias("g"))
+    wide = rows.groupBy(*keys, tile).pivot("role", ROLES).agg(F.first("g"))
     whole = F.lit(True)
     for r in ROLES:
         whole = whole & F.col(r).isNotNull()
-    terms = [F.when(whole, distance(a, b)).alias(name) for name, (a, b) in TERMS.items()]
+    fields = {name: channels if name == "cyc_i" and channels else ("whole",) for name in TERMS}
+    terms = [F.when(whole, sum((distance(f"{a}.{f}", f"{b}.{f}") for f in fields[name]), F.lit(0.0))).alias(name) for name, (a, b) in TERMS.items()]
     means = wide.select(*keys, whole.alias("_whole"), *terms).groupBy(*keys)
     got = means.agg(*[F.avg(t).alias(t) for t in TERMS], F.count_if("_whole").alias("n_tiles"), F.count_if(~F.col("_whole")).alias("incomplete"))
     total = F.lit(scale) * (F.lit(cyc) * (F.col("cyc_h") + F.col("cyc_i")) + F.lit(trans) * (F.col("trans_h") + F.col("trans_i")))
@@ -50,9 +53,16 @@ def cost_matrix(left: DataFrame, right: DataFrame, batch: str, a: str = "a", b:
     return left.join(right, batch).withColumn("cost", distance(a, b)).drop(a, b)
 
 
+#: Entries of a cost matrix that one task takes on; the assignment of a batch can't be split.
+MOST_COSTS = 4_000_000
+
+
 def matched_loss(costs: DataFrame, batch: str, row: str, col: str) -> DataFrame:
-    """For each batch the assignment of least cost: how many were matched, mean and sum. One task matches a batch at a time."""
+    """For each batch the assignment of least cost: how many were matched, mean and sum. One task matches a batch at a time; one over MOST_COSTS is an error."""
     kind = costs.schema[batch].dataType.simpleString()
+    most = costs.groupBy(batch).count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_COSTS:
+        raise ValueError(f"a batch has {most} costs; at most {MOST_COSTS} can be matched")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.pivot(index=row, columns=col, values="cost").to_numpy()
@@ -63,13 +73,17 @@ def matched_loss(costs: DataFrame, batch: str, row: str, col: str) -> DataFrame:
 
 
 def confirm_set(screen: DataFrame, second: DataFrame) -> DataFrame:
-    """The strict rows of the second slice whose setting was among the best of the first for the same marker and vectors."""
+    """The best settings of the screen with their place and, from the strict rows of the second slice, confirm_auroc and n_tiles.
+
+    second: marker, vectors, control, setting, auroc, n_tiles. A setting that the second slice lacks is left out.
+    """
     keys = ["marker", "vectors", *SETTING]
-    return second.where("control = 'strict'").join(top_candidates(screen).select(*keys).distinct(), keys, "left_semi")
+    again = second.where("control = 'strict'").select(*keys, F.col("auroc").alias("confirm_auroc"), "n_tiles")
+    return top_candidates(screen).drop("n_tiles", "confirm_auroc").join(again, keys)
 
 
 def setting_label() -> Column:
-    return F.format_string("%s -> %s, downsample %d, dims %s, %s", *SETTING)
+    return F.format_string("%s / %s  ds=%d dims=%s proj=%s", *SETTING)
 
 
 def marker_lists(verdicts: DataFrame) -> DataFrame:

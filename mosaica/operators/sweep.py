@@ -1,47 +1,138 @@
-"""The sweep over settings: each diagram is computed once and every combination reuses it."""
+"""The sweep over settings: each diagram is computed once, and every combination reuses it."""
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.functions import optics
-from mosaica.operators import persistence
+from mosaica.operators import pairing, persistence, scoring
+from mosaica.sources.scratch import stored
 
-COMBO = ["field_a", "field_b", "downsample"]
+COMBO = ["field_a", "field_b", "downsample", "dims", "projection"]
+DIMS = {"0": (0,), "1": (1,), "0,1": (0, 1)}
+PROJECTIONS = ["auto", "birth", "death", "lifetime"]
+_KINDS = ["birth", "death", "lifetime"]
 
 
-def combinations(spark: SparkSession, fields_a: list[str], fields_b: list[str], downsamples: list[int]) -> DataFrame:
-    """The settings, numbered in order: combo_no, field_a, field_b, downsample."""
-    rows = [(i, *x) for i, x in enumerate(product(fields_a, fields_b, downsamples))]
-    return spark.createDataFrame(rows, "combo_no int, field_a string, field_b string, downsample int")
+def settings(fields_a: list[str], fields_b: list[str], downsamples: list[int], dims: list[str] = list(DIMS), projections: list[str] = PROJECTIONS) -> list[tuple]:
+    """Every setting, in the order that numbers them."""
+    return list(product(fields_a, fields_b, downsamples, dims, projections))
 
 
-def all_diagrams(pixels: DataFrame, specs: dict[str, list[str]], downsamples: list[int], keys: list[str], domain: str = "domain") -> DataFrame:
-    """Packed diagrams of inverted fields: keys, spec, downsample, g (p0, p1), for the specs of each domain."""
-    parts = []
-    for k in sorted(set(downsamples)):
-        small = pixels if k == 1 else persistence.downsample(pixels, k, keys)
-        for d, names in specs.items():
-            # one pass over a domain's pixels makes all of its fields
-            values = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), (-optics.field(s)).alias("v")) for s in dict.fromkeys(names)])).alias("f")
-            parts.append(small.where(F.col(domain) == d).select(*keys, "y", "x", values).select(*keys, "y", "x", "f.spec", F.col("f.v").alias("_v"), F.lit(k).alias("downsample")))
-    by = [*keys, "spec", "downsample"]
-    long = persistence.diagrams(persistence.fields(reduce(DataFrame.unionByName, parts), F.col("_v"), by), by)
-    return persistence.packed(long, by).select(*by, F.struct("p0", "p1").alias("g"))
+def combinations(spark: SparkSession, chosen: list[tuple]) -> DataFrame:
+    """combo_no and the five parts of each setting."""
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(chosen)], "combo_no int, field_a string, field_b string, downsample int, dims string, projection string")
 
 
-def distance_inputs(pairs: DataFrame, diagrams: DataFrame, combos: DataFrame, left: str, right: str, key: str, domain: str = "domain") -> DataFrame:
-    """pairs x combos with `a` and `b`, the diagrams of both sides for the field of their own domain.
+def sorted_projections(tiles: DataFrame, name: str = "diagrams") -> DataFrame:
+    """tiles with each diagram of tile_diagrams() as sorted lists: its births, deaths and lifetimes in each dimension. Sorted once, compared often."""
 
-    pairs: `left` and `right` name tiles by `key`. A tile without points has no diagram row, and counts as empty.
+    def lists(d):
+        life = lambda k: F.zip_with(d[f"death{k}"], d[f"birth{k}"], lambda x, y: x - y)
+        return F.struct(*[F.array_sort(life(k) if p == "lifetime" else d[f"{p}{k}"]).alias(f"{p}{k}") for k in (0, 1) for p in _KINDS])
+
+    return tiles.withColumn(name, F.transform(name, lambda x: F.struct(x["spec"].alias("spec"), x["downsample"].alias("downsample"), lists(x["d"]).alias("d"))))
+
+
+def padded_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Distance of two sorted lists: the shorter gets zeros where they belong, then differences are added."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        at = np.searchsorted(a, 0.0)
+        a = np.concatenate([a[:at], np.zeros(len(b) - len(a)), a[at:]])
+    return float(np.abs(a - b).sum())
+
+
+def setting_distances(pairs: DataFrame, a: str, b: str, chosen: list[tuple], decimals: int | None = None) -> DataFrame:
+    """pairs with `distances`: one for each chosen setting, in order. a and b name columns of sorted_projections() of both sides.
+
+    Distances of dimensions add up, and auto is the lifetime of components and the birth of holes, so of three lists in two
+    dimensions each pair of fields needs six distances, whatever the number of settings. A field without a diagram counts as empty.
     """
-    none = F.expr("named_struct('p0', array_repeat(0D, 0), 'p1', array_repeat(0D, 0))")
-    a = diagrams.where(f"{domain} = 'A'").select(F.col(key).alias(left), F.col("spec").alias("field_a"), "downsample", F.col("g").alias("a"))
-    b = diagrams.where(f"{domain} = 'B'").select(F.col(key).alias(right), F.col("spec").alias("field_b"), "downsample", F.col("g").alias("b"))
-    rows = pairs.crossJoin(F.broadcast(combos))  # combos: the product of three short lists
-    rows = rows.join(a, [left, "field_a", "downsample"], "left").join(b, [right, "field_b", "downsample"], "left")
-    return rows.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    needed = sorted({(fa, fb, k) for fa, fb, k, _, _ in chosen})
+    parts = [(needed.index((fa, fb, k)), [(_KINDS.index({"auto": "birth" if d else "lifetime"}.get(p, p)), d) for d in DIMS[dims]]) for fa, fb, k, dims, p in chosen]
+
+    def table(cell) -> dict:
+        if not cell.is_valid:
+            return {}
+        rows = cell.values
+        lists = {f"{n}{k}": rows.field("d").field(f"{n}{k}") for k in (0, 1) for n in _KINDS}
+        names = zip(rows.field("spec").to_pylist(), rows.field("downsample").to_pylist(), strict=True)
+        return {x: {n: c[i].values.to_numpy(zero_copy_only=False) for n, c in lists.items() if c[i].is_valid} for i, x in enumerate(names)}
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, none = [], np.zeros(0)
+        for x, y in zip(left, right, strict=True):
+            p, q = table(x), table(y)
+            d = [[[padded_distance(p.get((fa, k), {}).get(f"{n}{dim}", none), q.get((fb, k), {}).get(f"{n}{dim}", none)) for dim in (0, 1)] for n in _KINDS] for fa, fb, k in needed]
+            got = [sum(d[i][n][dim] for n, dim in which) for i, which in parts]
+            out.append(np.array(got) if decimals is None else np.round(got, decimals))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return pairs.withColumn("distances", F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(a), F.col(b)))
+
+
+def by_setting(rows: DataFrame, keys: list[str], chosen: list[tuple]) -> DataFrame:
+    """Score rows of (keys, wrong, distances): one for each key and setting, with combo_no and the setting's parts."""
+    long = rows.select(*keys, "wrong", F.posexplode("distances").alias("combo_no", "d"))
+    return scoring.score_rows(long, [*keys, "combo_no"], "d", "wrong").join(F.broadcast(combinations(rows.sparkSession, chosen)), "combo_no")  # a row for each setting
+
+
+def score_fields(
+    tiles: DataFrame,
+    chosen: list[tuple],
+    control: str = "strict",
+    shuffles: int = 1,
+    seed: int = 0,
+    offset: int = 0,
+    limit: int = 0,
+    sample: str = "random",
+    slides: str = pairing.SLIDE,
+    combine: str = "sum",
+    vectors: dict | None = None,
+    decimals: int | None = None,
+) -> DataFrame:
+    """A score row for each marker and chosen setting: how well distances tell true pairs of tiles from wrong ones.
+
+    tiles: marker, domain, stem, name, h, w, rgb. `control`: strict takes wrong partners from the same slide (pairs without one are left out
+    of both sides), unstratified from all pairs. offset and limit name a slice of each marker's pairs. Adds marker,
+    control, offset, limit, seed, shuffles, n_pairs, n_tiles and field_combine to each row. No pair to compare is an error.
+    """
+    pairs = sampled_pairs(tiles, seed, offset, limit, sample, slides)
+    made = pair_diagrams(tiles, pairs, chosen, combine, vectors)
+    return pair_scores(pairs, made, chosen, control, shuffles, seed, decimals).withColumns({k: F.lit(v) for k, v in {"offset": offset, "limit": limit, "field_combine": combine}.items()})
+
+
+def sampled_pairs(tiles: DataFrame, seed: int = 0, offset: int = 0, limit: int = 0, sample: str = "random", slides: str = pairing.SLIDE) -> DataFrame:
+    """The pairs of a slice with their slide, written down."""
+    return stored(pairing.sampled(pairing.matched_pairs(tiles), seed, offset, limit, sample).withColumn("slide", pairing.slide_of("stem", slides)))
+
+
+def pair_diagrams(tiles: DataFrame, pairs: DataFrame, chosen: list[tuple], combine: str = "sum", vectors: dict | None = None) -> DataFrame:
+    """marker, domain, name, diagrams: the sorted projections of every tile of the pairs, written down. Each diagram is computed once, for all settings and controls."""
+    fields = {"A": sorted({s[0] for s in chosen}), "B": sorted({s[1] for s in chosen})}
+    used = pairs.select("marker", F.explode(F.array(F.struct(F.lit("A").alias("domain"), F.col("a").alias("name")), F.struct(F.lit("B").alias("domain"), F.col("b").alias("name")))).alias("t")).select("marker", "t.*")
+    made = persistence.tile_diagrams(tiles.join(used.distinct(), ["marker", "domain", "name"], "left_semi"), fields, sorted({s[2] for s in chosen}), combine=combine, vectors=vectors)
+    return stored(sorted_projections(made).select("marker", "domain", "name", "diagrams"))
+
+
+def pair_scores(pairs: DataFrame, made: DataFrame, chosen: list[tuple], control: str = "strict", shuffles: int = 1, seed: int = 0, decimals: int | None = None) -> DataFrame:
+    """The score rows of a slice under one control, from its pairs and pair_diagrams(); only sorted lists travel, once for each pair."""
+    if control not in ("strict", "unstratified"):
+        raise ValueError(f"control must be strict or unstratified, not {control!r}")
+    wrong = (pairing.strict_partners if control == "strict" else pairing.free_partners)(pairs, seed, shuffles)
+    wrong = stored(wrong.select("marker", "shuffle_no", "pair_idx", "partner_idx", F.lit(True).alias("wrong")))
+    if wrong.isEmpty():
+        raise ValueError("no pair has another partner: nothing to compare")
+    true = wrong.where("shuffle_no = 0").select("marker", F.lit(-1).alias("shuffle_no"), "pair_idx", F.col("pair_idx").alias("partner_idx"), F.lit(False).alias("wrong"))
+    side = lambda x, idx: pairs.select("marker", F.col("pair_idx").alias(idx), F.col(x).alias("name")).join(made.where(F.col("domain") == x.upper()), ["marker", "name"]).select("marker", idx, F.col("diagrams").alias(x))
+    both = wrong.unionByName(true).join(side("a", "pair_idx"), ["marker", "pair_idx"]).join(side("b", "partner_idx"), ["marker", "partner_idx"])
+    rows = stored(setting_distances(both, "a", "b", chosen, decimals).select("marker", "wrong", "distances"))
+    counts = pairs.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"))
+    got = by_setting(rows, ["marker"], chosen).join(counts, "marker").withColumnRenamed("n_true", "n_tiles")
+    return got.withColumns({k: F.lit(v) for k, v in {"control": control, "seed": seed, "shuffles": shuffles}.items()})

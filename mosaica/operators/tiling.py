@@ -6,12 +6,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.functions.optics import luma
+from mosaica.functions import optics
+from mosaica.operators.ordering import percentiles
 
 WHITE = 220
+#: Bytes of tiles that one numpy pass takes at a time.
+TOGETHER = 1 << 22
+
+
+def by_size(h: pa.Array, w: pa.Array, rgb: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tiles of an Arrow batch (rows, array of n x h x w x 3 bytes), those of one size together, in parts of bounded size; null tiles are left out."""
+    size = np.stack([np.array(h.to_pylist(), object), np.array(w.to_pylist(), object)], 1)
+    known = np.flatnonzero(rgb.is_valid().to_numpy(zero_copy_only=False))
+    for a, b in sorted({tuple(x) for x in size[known]}):
+        rows = known[(size[known] == (a, b)).all(1)]
+        n = max(1, TOGETHER // max(1, a * b * 3))
+        for at in range(0, len(rows), n):
+            part = rows[at : at + n]
+            yield part, np.stack([np.frombuffer(rgb[int(i)].as_buffer(), np.uint8).reshape(a, b, 3) for i in part])
+
+
+def pooled(images: np.ndarray, k: int) -> np.ndarray:
+    """k x k averages of images (n, h, w, 3); what is left at the right and bottom is dropped."""
+    n, h, w, c = images.shape
+    cut = images[:, : h // k * k, : w // k * k].astype(float)
+    return cut.reshape(n, h // k, k, w // k, k, c).mean((2, 4)) if k > 1 else cut
+
+
+def measured(tiles: DataFrame, name: str, kind: str, arrow: pa.DataType, measure: Callable[[np.ndarray], list]) -> DataFrame:
+    """tiles (h, w, rgb binary, and more) with a column that `measure` makes of a stack of images: a value for each; null without pixels."""
+
+    def run(h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+        out: list = [None] * len(rgb)
+        for rows, images in by_size(h, w, rgb):
+            for i, v in zip(rows, measure(images), strict=True):
+                out[i] = v
+        return pa.array(out, arrow)
+
+    return tiles.withColumn(name, F.arrow_udf(run, kind).asNondeterministic()(F.col("h"), F.col("w"), F.col("rgb")))
 
 
 def crop_grid(images: DataFrame, size: int, overlap: int = 0) -> DataFrame:
@@ -34,23 +70,55 @@ def crop_estimate(images: DataFrame, size: int, resize: int, overlap: int = 0) -
     return first.select("split", "n_images", (F.col("n_images") * along("h") * along("w")).alias("crops"), edge.cast("int").alias("edge"), F.lit(size / resize).alias("scale"))
 
 
-def tissue(pixels: DataFrame, keys: list[str], white: int = WHITE) -> DataFrame:
-    """keys and the share of pixels darker than `white`."""
-    return pixels.groupBy(*keys).agg(F.avg(F.when(luma() < white, 1.0).otherwise(0.0)).alias("tissue"))
+def tissue(tiles: DataFrame, white: int = WHITE) -> DataFrame:
+    """tiles with `tissue`, the share of pixels darker than `white`; null for a tile without pixels."""
+
+    def share(images: np.ndarray) -> list:
+        level = images.astype(np.int32) @ np.array([19595, 38470, 7471], np.int32) + 32768 >> 16
+        return (level < white).mean((1, 2)).tolist()
+
+    return measured(tiles, "tissue", "double", pa.float64(), share)
+
+
+#: Shares of tissue that a survey counts under.
+UNDER = (0.01, 0.05, 0.10, 0.25, 0.50)
+
+
+def survey(t: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key deciles of tissue (k = 0..10), and how many tiles, and which share of them, lie under each of UNDER. Tiles without pixels count as 0."""
+    t = t.select(*keys, F.coalesce("tissue", F.lit(0.0)).alias("tissue"))
+    name = lambda u: f"{round(u * 100):02d}"
+    under = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("tissue") < u).alias(f"under_{name(u)}") for u in UNDER])
+    rows = percentiles(t, keys, "tissue", [k / 10 for k in range(11)], 0.0, 1.0).join(under, keys).select("*", F.posexplode("p").alias("k", "decile"))
+    return rows.select(*keys, F.col("k").cast("long").alias("k"), "decile", *[f"under_{name(u)}" for u in UNDER], *[(F.col(f"under_{name(u)}") / F.col("n")).alias(f"share_{name(u)}") for u in UNDER])
+
+
+def stretched(tiles: DataFrame, spec: str = "gray", combine: str = "max", vectors: dict | None = None, k: int = 1, inverted: bool = False) -> DataFrame:
+    """tiles with `levels`: the field of k x k averages row by row, between its tile's 0.5 and 99.5 percentiles, on 0..1."""
 
+    def levels(images: np.ndarray) -> list:
+        v = optics.field_array(spec, pooled(images, k), combine, vectors).reshape(len(images), -1)
+        v = -v if inverted else v
+        lo, hi = np.percentile(v, [0.5, 99.5], axis=1)
+        return list(np.clip((v - lo[:, None]) / np.where(hi <= lo, 1e-6, hi - lo)[:, None], 0, 1))
 
-def survey(t: DataFrame) -> DataFrame:
-    """Deciles of tissue of each domain (k = 0..10), and how many tiles lie under 5 and 50 %."""
-    share = F.percentile("tissue", F.array(*[F.lit(k / 10) for k in range(11)]))
-    got = t.groupBy("domain").agg(share.alias("p"), F.count_if(F.col("tissue") < 0.05).alias("under_05"), F.count_if(F.col("tissue") < 0.5).alias("under_50"))
-    return got.select("domain", F.posexplode("p").alias("k", "decile"), "under_05", "under_50").select("domain", "decile", F.col("k").cast("long").alias("k"), "under_05", "under_50")
+    return measured(tiles, "levels", "array<double>", pa.list_(pa.float64()), levels)
 
 
-def stretched(pixels: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """pixels with `level`: the value between its tile's 0.5 and 99.5 percentiles, on 0..1."""
-    ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.005), F.lit(0.995))).alias("p"))
-    gap = F.when(F.col("p")[1] <= F.col("p")[0], F.lit(1e-6)).otherwise(F.col("p")[1] - F.col("p")[0])
-    return pixels.join(ends, keys).withColumn("level", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("p")[0]) / gap))).drop("p")
+def rendered(tiles: DataFrame, spec: str, combine: str = "max", vectors: dict | None = None) -> DataFrame:
+    """tiles with `levels`: the concentration that a spec names as 8-bit levels, dark where it is strong, row by row."""
+
+    def levels(images: np.ndarray) -> list:
+        c = optics.field_array(spec, images.astype(float), combine, vectors).reshape(len(images), -1)
+        return list(np.clip(np.rint(255.0 * 10.0 ** -np.maximum(c, 0.0)), 0, 255).astype(np.int32))
+
+    return measured(tiles, "levels", "array<int>", pa.list_(pa.int32()), levels)
+
+
+def downsampled(tiles: DataFrame, k: int) -> DataFrame:
+    """tiles with `pooled`: array<array<double>>, the k x k averages of each colour, row by row."""
+    kind = pa.list_(pa.list_(pa.float64()))
+    return measured(tiles, "pooled", "array<array<double>>", kind, lambda images: [list(x.reshape(-1, 3).T) for x in pooled(images, k)])
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str, limit: int = 0) -> DataFrame:
@@ -78,21 +146,45 @@ def bilinear(n: int, m: int) -> np.ndarray:
     return _weights(n, m, lambda x: np.maximum(0, 1 - np.abs(x)), 1)
 
 
+def resize(images: np.ndarray, size: int, weights: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """A stack of images (n, h, w, 3 bytes) made square."""
+    _, h, w, _ = images.shape
+    out = np.einsum("ih,nhwc,jw->nijc", weights(h, size), images.astype(float), weights(w, size), optimize=True)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
 def resized(tiles: DataFrame, size: int, weights: Callable[[int, int], np.ndarray] = lanczos) -> DataFrame:
-    """tiles (h, w, rgb binary, and more) with square images of `size`; those of that size already stay as they are."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for h, w, rgb in zip(pdf["h"], pdf["w"], pdf["rgb"], strict=True):
-                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
-                if (h, w) != (size, size):
-                    image = np.einsum("ih,hwc,jw->ijc", weights(h, size), image.astype(float), weights(w, size))
-                    image = np.clip(np.rint(image), 0, 255).astype(np.uint8)
-                out.append(image.tobytes())
-            yield pdf.assign(rgb=out, h=size, w=size)
-
-    return tiles.mapInPandas(run, tiles.schema)
+    """tiles (h, w, rgb binary, and more) with square images of `size`; those of that size already stay as they are, null ones null."""
+
+    def square(images: np.ndarray) -> list:
+        return [x.tobytes() for x in (images if images.shape[1:3] == (size, size) else resize(images, size, weights))]
+
+    return measured(tiles, "rgb", "binary", pa.binary(), square).withColumns({c: F.lit(size).cast(tiles.schema[c].dataType) for c in "hw"})
+
+
+def loaded(tiles: DataFrame, size: int) -> DataFrame:
+    """tiles with `x`: the image made square by bilinear resampling where it isn't, on -1..1, row by row, colour by colour (all red, then green, then blue)."""
+
+    def scaled(images: np.ndarray) -> list:
+        images = images if images.shape[1:3] == (size, size) else resize(images, size, bilinear)
+        return list((images.astype(float) / 127.5 - 1).transpose(0, 3, 1, 2).reshape(len(images), -1))
+
+    return measured(tiles, "x", "array<double>", pa.list_(pa.float64()), scaled)
+
+
+def cropped(images: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """The crops of images (h, w, rgb binary, and more): grid_row, grid_col, top, left, and h, w and rgb of the crop. Crops of an image are cut in the task that holds it."""
+    places = crop_grid(images.select(*[c for c in images.columns if c != "rgb"], "rgb"), size, overlap)
+
+    def run(w: pa.Array, rgb: pa.Array, top: pa.Array, left: pa.Array) -> pa.Array:
+        out = []
+        for a, b, y, x in zip(w.to_pylist(), rgb, top.to_pylist(), left.to_pylist(), strict=True):
+            image = np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, a, 3) if b.is_valid else None
+            out.append(None if image is None else image[y : y + size, x : x + size].tobytes())
+        return pa.array(out, pa.binary())
+
+    made = F.arrow_udf(run, "binary").asNondeterministic()(F.col("w"), F.col("rgb"), F.col("top"), F.col("left"))
+    return places.withColumn("rgb", made).withColumns({"h": F.lit(size), "w": F.lit(size)})
 
 
 def translate(tiles: DataFrame, tile: str, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.functions import optics
 from mosaica.operators import pairing, persistence, registration, reports, scoring, stains, sweep, tiling
-from mosaica.sources import images
+from mosaica.plans import jobs
+from mosaica.sources import fixtures, images
 from mosaica.sources.fixtures import duck, fixture
+from mosaica.sources.scratch import shared_dir
 
 KEY = ["vec_id", "domain"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +45,11 @@ def tiles(spark, d):
     return fixture(spark, d, "tiles").withColumn("name", F.concat("stem", F.lit(".png")))
 
 
+def tile_images(spark, d):
+    """marker, domain, slide, stem, name, vec_id, h, w, rgb of every tile."""
+    return tiles(spark, d).join(fixtures.images(spark, d), KEY)
+
+
 # ---- pixels and tiles
 
 ODF = "-log10(least(1.0, greatest(0.001, CAST({} AS DOUBLE) / 255.0)))"
@@ -75,13 +85,31 @@ def p02(spark, d):
 @query("p03_p04_tissue", duck("""SELECT vec_id, domain, avg(CASE WHEN ((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16) < 220 THEN 1.0 ELSE 0.0 END) AS tissue
   FROM px GROUP BY 1, 2 HAVING avg(CASE WHEN ((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16) < 220 THEN 1.0 ELSE 0.0 END) >= 0.5""", "pixels", before="px AS (SELECT * FROM pixels)"))
 def p03(spark, d):
-    return tiling.tissue(pixels(spark, d), KEY).where("tissue >= 0.5")
+    return tiling.tissue(fixtures.images(spark, d)).where("tissue >= 0.5").select(*KEY, "tissue")
 
 
 @query("p07_downsample", duck("""SELECT vec_id, domain, y // 3 AS y, x // 3 AS x, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b
   FROM pixels WHERE y < 6 AND x < 6 GROUP BY ALL""", "pixels"))
 def p07(spark, d):
-    return persistence.downsample(pixels(spark, d), 3, KEY).select(*KEY, "y", "x", *[r6(c).alias(c) for c in "rgb"])
+    got = tiling.downsampled(fixtures.images(spark, d), 3).select(*KEY, F.expr("w div 3").alias("_w"), F.posexplode(F.arrays_zip(*[F.col("pooled")[i].alias(c) for i, c in enumerate("rgb")])).alias("p", "v"))
+    return got.select(*KEY, F.expr("p div _w").alias("y"), F.expr("CAST(p % _w AS BIGINT)").alias("x"), *[r6(F.col("v")[c]).alias(c) for c in "rgb"])
+
+
+@query("p05_lanczos", duck("""WITH_ SELECT vec_id, domain, CAST(i AS INT) AS y, CAST(j AS INT) AS x, CAST(least(255.0, greatest(0.0, round_even(sum(a.w * b.w * r), 0))) AS INT) AS r FROM pixels
+  JOIN k a ON a.n = y JOIN (SELECT i AS j, n AS m, w FROM k) b ON b.m = x GROUP BY ALL""".replace("WITH_ ", ""), "pixels", before="""raw AS (SELECT i, n, ((n + 0.5) - (i + 0.5) * 8 / 5.0) / 1.6 AS t FROM range(5) a(i) CROSS JOIN range(8) b(n)),
+  kk AS (SELECT i, n, CASE WHEN abs(t) >= 3 THEN 0.0 WHEN t = 0 THEN 1.0 ELSE sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) END AS w FROM raw),
+  k AS (SELECT i, n, w / sum(w) OVER (PARTITION BY i) AS w FROM kk)"""))
+def p05(spark, d):
+    small = tiling.resized(fixtures.images(spark, d), 5)
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda p: F.conv(F.hex(F.substring("rgb", 3 * p + 1, 1)), 16, 10).cast("int"))).alias("p", "r")
+    return small.select(*KEY, at).select(*KEY, F.expr("p div 5").cast("int").alias("y"), F.expr("p % 5").alias("x"), "r")
+
+
+@query("p06_loaded", duck("SELECT vec_id, domain, round(sum((r / 127.5 - 1) * (1 + y * 8 + x) + (g / 127.5 - 1) * (65 + y * 8 + x) + (b / 127.5 - 1) * (129 + y * 8 + x)), 4) AS s FROM pixels GROUP BY ALL", "pixels"))
+def p06(spark, d):
+    got = tiling.loaded(fixtures.images(spark, d), 8)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return got.select(*KEY, F.round(weighted, 4).alias("s"))
 
 
 @query("p08_p10_densities", duck(f"""SELECT vec_id, domain, round(sum({ODE.format('r')}), 6) AS od_est, round(sum({ODF.format('g')}), 6) AS od_field,
@@ -115,7 +143,8 @@ def p17(spark, d):
   (SELECT vec_id, domain, quantile_cont((0.299 * r + 0.587 * g + 0.114 * b) / 255.0, 0.005) AS lo, quantile_cont((0.299 * r + 0.587 * g + 0.114 * b) / 255.0, 0.995) AS hi FROM pixels GROUP BY ALL)
   USING (vec_id, domain) GROUP BY ALL""", "pixels"))
 def p18(spark, d):
-    return tiling.stretched(pixels(spark, d).withColumn("v", optics.gray()), "v", KEY).groupBy(*KEY).agg(F.round(F.avg("level"), 5).alias("level"))
+    got = tiling.stretched(fixtures.images(spark, d))
+    return got.select(*KEY, F.round(F.aggregate("levels", F.lit(0.0), lambda s, x: s + x) / F.size("levels"), 5).alias("level"))
 
 
 @query("p19_slides", duck("SELECT marker, regexp_replace(stem, '_r\\d+c\\d+$', '') AS slide, count(*) AS n FROM tiles GROUP BY ALL", "tiles"))
@@ -175,19 +204,21 @@ def u02(spark, d):
 TISSUE = "t AS (SELECT vec_id, domain, avg(CASE WHEN ((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16) < 220 THEN 1.0 ELSE 0.0 END) AS tissue FROM pixels GROUP BY ALL)"
 
 
-@query("a08_tissue_survey", duck("""SELECT domain, round(unnest(quantile_cont(tissue, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])), 6) AS decile, unnest(range(11)) AS k,
-  count(*) FILTER (WHERE tissue < 0.05) AS under_05, count(*) FILTER (WHERE tissue < 0.5) AS under_50 FROM t GROUP BY domain""", "pixels", before=TISSUE))
+UNDER = ", ".join(f"count(*) FILTER (WHERE tissue < {u}) AS under_{round(100 * u):02d}, count(*) FILTER (WHERE tissue < {u}) / count(*) AS share_{round(100 * u):02d}" for u in tiling.UNDER)
+
+
+@query("a08_tissue_survey", duck(f"""SELECT domain, round(unnest(quantile_cont(tissue, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])), 6) AS decile, unnest(range(11)) AS k,
+  {UNDER} FROM t GROUP BY domain""", "pixels", before=TISSUE))
 def a08(spark, d):
-    return tiling.survey(tiling.tissue(pixels(spark, d), KEY)).withColumn("decile", r6("decile"))
+    return tiling.survey(tiling.tissue(fixtures.images(spark, d)), ["domain"]).withColumn("decile", r6("decile"))
 
 
-@query("j10_a22_pair_filter", duck("""SELECT count(*) AS kept, count(*) // 2 AS per_slice, round(0.5 + 2.58 * sqrt(0.16667 / greatest(count(*) // 2, 1)), 6) AS bar
-  FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.domain = 'A' AND b.domain = 'B' WHERE least(a.tissue, b.tissue) >= 0.5""", "pixels", before=TISSUE))
+@query("j10_a22_pair_filter", duck("""SELECT m.marker, count(*) AS kept, count(*) // 2 AS per_slice, round(0.5 + 2.58 * sqrt(0.16667 / greatest(count(*) // 2, 1)), 6) AS bar
+  FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.domain = 'A' AND b.domain = 'B' JOIN tiles m ON m.vec_id = a.vec_id AND m.domain = 'A' WHERE least(a.tissue, b.tissue) >= 0.5 GROUP BY m.marker""", "pixels", "tiles", before=TISSUE))
 def j10(spark, d):
-    t = tiling.tissue(pixels(spark, d), KEY)
-    a, b = (t.where(f"domain = '{x}'").select("vec_id", F.col("tissue").alias(x)) for x in "AB")
-    kept = a.join(b, "vec_id").where("least(A, B) >= 0.5").agg(F.count(F.lit(1)).alias("kept"))
-    return kept.select("kept", F.expr("kept div 2").alias("per_slice"), r6(F.expr("0.5D + 2.58D * sqrt(0.16667D / greatest(kept div 2, 1))")).alias("bar"))
+    t = tiling.tissue(tile_images(spark, d))
+    a, b = (t.where(f"domain = '{x}'").select("marker", "vec_id", F.col("tissue").alias(x)) for x in "AB")
+    return registration.power(a.join(b, ["marker", "vec_id"]).where("least(A, B) >= 0.5"), ["marker"]).withColumn("bar", r6("bar"))
 
 
 # ---- pairs, partners, splits
@@ -215,7 +246,7 @@ def j02(spark, d):
 
 @query("w02_slices", duck("SELECT marker, pair_idx >= n // 2 AS second, count(*) AS pairs, min(pair_idx) AS first_idx FROM (SELECT *, count(*) OVER (PARTITION BY marker) AS n FROM tp) WHERE pair_idx < 2 * (n // 2) GROUP BY ALL", "tiles", before=PAIRS))
 def w02(spark, d):
-    p = pairs(spark, d).withColumn("half", F.greatest(F.lit(1), F.expr("count(1) OVER (PARTITION BY marker) div 2"))).where("pair_idx < 2 * half")
+    p = pairing.halves(pairs(spark, d)).where("pair_idx < 2 * half")
     return p.groupBy("marker", (F.col("pair_idx") >= F.col("half")).alias("second")).agg(F.count(F.lit(1)).alias("pairs"), F.min("pair_idx").alias("first_idx"))
 
 
@@ -254,10 +285,36 @@ def s10(spark, d):
 
 @query("s06_split_counts", duck("SELECT marker, domain, count(*) FILTER (WHERE tissue >= 0.5) AS written, count(*) FILTER (WHERE tissue < 0.5) AS skipped FROM t JOIN tiles USING (vec_id, domain) GROUP BY ALL", "tiles", "pixels", before=TISSUE))
 def s06(spark, d):
-    t = tiling.tissue(pixels(spark, d), KEY).join(tiles(spark, d), KEY)
+    t = tiling.tissue(tile_images(spark, d))
     return t.groupBy("marker", "domain").agg(F.count_if(F.col("tissue") >= 0.5).alias("written"), F.count_if(F.col("tissue") < 0.5).alias("skipped"))
 
 
+CROPS = """src AS (SELECT s.slide, s.marker, s.domain FROM tiles s GROUP BY ALL HAVING count(*) = 4),
+ wide AS (SELECT t.slide, t.marker, t.domain, t.grid_row * 8 + p.y AS y, t.grid_col * 8 + p.x AS x, CASE WHEN ((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16) < 220 THEN 1.0 ELSE 0.0 END AS dark
+   FROM tiles t JOIN pixels p USING (vec_id, domain) JOIN src s ON s.slide = t.slide AND s.domain = t.domain),
+ crop AS (SELECT slide, marker, domain, i.row AS grid_row, j.col AS grid_col, avg(dark) AS tissue FROM wide JOIN range(3) i(row) ON y BETWEEN 4 * i.row AND 4 * i.row + 7 JOIN range(3) j(col) ON x BETWEEN 4 * j.col AND 4 * j.col + 7 GROUP BY ALL)"""
+
+
+def ingested(spark, d):
+    """Source images cut into overlapping tiles with tissue and written by marker, split and domain: the folder and the counts of each marker."""
+    src = fixture(spark, d, "sources")
+    src = src.select(F.concat("slide", F.lit("/"), "domain").alias("origin"), F.concat("slide", F.lit(".png")).alias("name"), "marker", "h", "w", "rgb", F.lit(True).alias("valid"), F.concat(F.lit("train"), "domain").alias("split"))
+    out = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/tiles-{uuid.uuid4().hex}"
+    counts = [jobs.ingest_tiles(src.where(F.col("marker") == m), m, out, 8, overlap=4, tissue_threshold=0.5).withColumn("marker", F.lit(m)) for m in ("ER", "Ki67", "PR")]
+    return out, reduce(DataFrame.unionByName, counts)
+
+
+@query("s06_ingested_counts", duck("SELECT marker, concat('train', domain) AS split, count(DISTINCT slide) AS images, count(*) FILTER (WHERE tissue >= 0.5) AS written, count(*) FILTER (WHERE tissue < 0.5) AS skipped FROM crop GROUP BY ALL", "tiles", "pixels", before=CROPS))
+def s06_counts(spark, d):
+    return ingested(spark, d)[1]
+
+
+@query("s06_ingested_tiles", duck("SELECT marker, 'train' AS split, domain, slide, concat(slide, '_r', CAST(grid_row AS VARCHAR), 'c', CAST(grid_col AS VARCHAR)) AS stem, round(tissue, 6) AS tissue FROM crop WHERE tissue >= 0.5", "tiles", "pixels", before=CROPS))
+def s06_tiles(spark, d):
+    got = spark.read.parquet(ingested(spark, d)[0])
+    return tiling.tissue(got).select("marker", "split", "domain", "slide", "stem", r6("tissue").alias("tissue"))
+
+
 # ---- stains
 
 BIG = "px AS (SELECT l_orderkey % 16 AS tile, 1 + (l_partkey * 7) % 200 AS r, 1 + (l_suppkey * 13 + l_partkey) % 200 AS g, 1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS b FROM lineitem)"
@@ -277,10 +334,79 @@ def a03(spark, d):
     return m.select("tile", "n", *[r6(c).alias(c) for c in m.columns if c[0] == "m"])
 
 
-@query("a04_a07_stain_vectors")
+def det(m: str) -> str:
+    return f"({m}00 * ({m}11 * {m}22 - {m}12 * {m}12) - {m}01 * ({m}01 * {m}22 - {m}12 * {m}02) + {m}02 * ({m}01 * {m}12 - {m}11 * {m}02))"
+
+
+def unit3(a: str, b: str, c: str, name: str) -> str:
+    return ", ".join(f"{x} / sqrt({a} * {a} + {b} * {b} + {c} * {c}) AS {name}{i}" for i, x in enumerate((a, b, c)))
+
+
+def dot3(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{i} * {b}{i}" for i in range(3)) + ")"
+
+
+def degrees3(a: str, b: str) -> str:
+    return f"degrees(acos(least(1.0, greatest(-1.0, {dot3(a, b)}))))"
+
+
+#: Eigenvalues in closed form, eigenvectors as cross products, percentiles of the angle, and the rules of order; "big" has a marker and a domain.
+PLANE = f"""od AS (SELECT tile % 8 AS marker, CASE WHEN tile < 8 THEN 'A' ELSE 'B' END AS domain, * FROM (SELECT tile, {', '.join(f'{ODE.format(c)} AS o{i}' for i, c in enumerate('rgb'))} FROM px) WHERE greatest(o0, o1, o2) BETWEEN 0.05 AND 1.0),
+ mo AS (SELECT marker, domain, count(*) AS n, {', '.join(f'avg(o{i} * o{j}) AS m{i}{j}' for i in range(3) for j in range(i, 3))} FROM od GROUP BY ALL),
+ e0 AS (SELECT *, (m00 + m11 + m22) / 3 AS q FROM mo),
+ e1 AS (SELECT *, sqrt(((m00 - q) * (m00 - q) + (m11 - q) * (m11 - q) + (m22 - q) * (m22 - q) + 2 * (m01 * m01 + m02 * m02 + m12 * m12)) / 6) AS p FROM e0),
+ e2 AS (SELECT *, (m00 - q) / p AS b00, m01 / p AS b01, m02 / p AS b02, (m11 - q) / p AS b11, m12 / p AS b12, (m22 - q) / p AS b22 FROM e1),
+ e3 AS (SELECT *, acos(least(1.0, greatest(-1.0, {det('b')} / 2))) / 3 AS f FROM e2),
+ e4 AS (SELECT *, q + 2 * p * cos(f) AS l1, q + 2 * p * cos(f + 2 * pi() / 3) AS l3 FROM e3),
+ e5 AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM e4),
+ e6 AS (SELECT *, m01 * m12 - m02 * (m11 - l1) AS u0, m02 * m01 - (m00 - l1) * m12 AS u1, (m00 - l1) * (m11 - l1) - m01 * m01 AS u2,
+   m01 * m12 - m02 * (m11 - l2) AS w0, m02 * m01 - (m00 - l2) * m12 AS w1, (m00 - l2) * (m11 - l2) - m01 * m01 AS w2 FROM e5),
+ e7 AS (SELECT marker, domain, n, {unit3('u0', 'u1', 'u2', 'x')}, {unit3('w0', 'w1', 'w2', 'y')} FROM e6),
+ e8 AS (SELECT marker, domain, n, {', '.join(f'CASE WHEN x0 + x1 + x2 < 0 THEN -x{i} ELSE x{i} END AS x{i}, CASE WHEN y0 + y1 + y2 < 0 THEN -y{i} ELSE y{i} END AS y{i}' for i in range(3))} FROM e7),
+ ph AS (SELECT marker, domain, quantile_cont(phi, 0.01) AS lo, quantile_cont(phi, 0.99) AS hi FROM (SELECT marker, domain, atan2({dot3('o', 'y')}, {dot3('o', 'x')}) AS phi FROM od JOIN e8 USING (marker, domain)) GROUP BY ALL),
+ st AS (SELECT marker, domain, n, {', '.join(f'greatest(0.0, x{i} * cos({k}) + y{i} * sin({k})) AS {c}{i}' for c, k in (('s', 'lo'), ('t', 'hi')) for i in range(3))} FROM e8 JOIN ph USING (marker, domain)),
+ es AS (SELECT marker, domain, n, {unit3('s0', 's1', 's2', 'a')}, {unit3('t0', 't1', 't2', 'b')} FROM st),
+ oa AS (SELECT marker, {', '.join(f'CASE WHEN a0 > b0 THEN a{i} ELSE b{i} END AS f{i}, CASE WHEN a0 > b0 THEN b{i} ELSE a{i} END AS g{i}' for i in range(3))} FROM es WHERE domain = 'A'),
+ ob AS (SELECT marker, f0, f1, f2, g0, g1, g2, {', '.join(f'CASE WHEN near THEN a{i} ELSE b{i} END AS h{i}, CASE WHEN near THEN b{i} ELSE a{i} END AS k{i}' for i in range(3))}
+   FROM (SELECT *, {degrees3('a', 'f')} <= {degrees3('b', 'f')} AS near FROM es JOIN oa USING (marker) WHERE domain = 'B'))"""
+
+
+def marked(spark, d):
+    return big(spark, d).selectExpr("tile % 8 AS marker", "CASE WHEN tile < 8 THEN 'A' ELSE 'B' END AS domain", "r", "g", "b")
+
+
+@query("a04_a06_stain_vectors", duck(f"SELECT marker, domain, n, {', '.join(f'round(CASE WHEN a0 > b0 THEN a{i} ELSE b{i} END, 4) AS first{i}, round(CASE WHEN a0 > b0 THEN b{i} ELSE a{i} END, 4) AS second{i}' for i in range(3))} FROM es", before=BIG + ", " + PLANE))
 def a04(spark, d):
-    v = stains.estimate(big(spark, d), ["tile"])
-    return v.select("tile", "n", "v1", "v2", F.round(optics.angle(F.col("v1"), F.col("v2")), 4).alias("separation_deg"))
+    v = stains.estimate(marked(spark, d), ["marker", "domain"], least=100)
+    first, second = stains.order_like(F.col("a"), F.col("b"))
+    return v.select("marker", "domain", "n", *[F.round(c[i], 4).alias(f"{name}{i}") for name, c in (("first", first), ("second", second)) for i in range(3)])
+
+
+@query("a07_two_domains", duck(f"""SELECT marker, round({degrees3('f', 'g')}, 3) AS separation_a, round({degrees3('h', 'k')}, 3) AS separation_b, round({degrees3('f', 'h')}, 3) AS shared_angle,
+  CAST(CASE WHEN {degrees3('f', 'g')} < 40 THEN 1 ELSE 0 END + CASE WHEN {degrees3('h', 'k')} < 40 THEN 1 ELSE 0 END AS INT) AS warnings FROM ob""", before=BIG + ", " + PLANE))
+def a07(spark, d):
+    run = stains.for_run(stains.estimate(marked(spark, d), ["marker", "domain"], least=100), ["marker"], min_separation=40.0)
+    return run.select("marker", *[F.round(c, 3).alias(c) for c in ("separation_a", "separation_b", "shared_angle")], F.size("warnings").alias("warnings"))
+
+
+@query("s07_vector_table", duck(f"SELECT CAST(marker AS VARCHAR) AS marker, 'estimated' AS vectors, 'A' AS domain, round({degrees3('f', 'g')}, 3) AS separation_deg, round(f0, 4) AS red FROM ob UNION ALL SELECT CAST(marker AS VARCHAR), 'estimated', 'B', round({degrees3('h', 'k')}, 3), round(h0, 4) FROM ob", before=BIG + ", " + PLANE))
+def s07(spark, d):
+    run = stains.for_run(stains.estimate(marked(spark, d).withColumn("marker", F.col("marker").cast("string")), ["marker", "domain"], least=100), ["marker"])
+    out = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
+    images.write_vectors(stains.vector_rows(run, "marker", "estimated"), out)
+    return images.read_vectors(spark, out).select("marker", "vectors", "domain", F.round("separation_deg", 3).alias("separation_deg"), F.round(F.col("stain1")[0], 4).alias("red"))
+
+
+@query("a01_tile_sample", duck("SELECT marker, domain, stem FROM (SELECT *, row_number() OVER (PARTITION BY marker, domain ORDER BY md5(concat('3:', stem, '.png')), stem) AS n FROM tiles) WHERE n <= 20", "tiles"))
+def a01_tiles(spark, d):
+    return stains.sampled_tiles(tiles(spark, d), ["marker", "domain"], 20, 3).select("marker", "domain", "stem")
+
+
+@query("a02_tile_pixels")
+def a02(spark, d):
+    """The two-domain estimate from sampled pixels of sampled tiles, from their bytes; a tile of 8 x 8 gives 48 pixels."""
+    run, _ = jobs.estimate_stains(tile_images(spark, d), pixels=48, limit=0)
+    return run.select("marker", *[F.round(c, 3).alias(c) for c in ("separation_a", "separation_b", "shared_angle")], F.size("warnings").alias("warnings"))
 
 
 @query("a01_a02_samples", duck("SELECT vec_id, domain, y, x FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, domain ORDER BY md5(concat('3:', CAST(vec_id AS VARCHAR), ':', domain, ':', CAST(y AS VARCHAR), ':', CAST(x AS VARCHAR))), y, x) AS n FROM pixels) WHERE n <= 16", "pixels"))
@@ -305,12 +431,11 @@ GRID = """v AS (SELECT vec_id, domain, y, x, round(-(0.299 * r + 0.587 * g + 0.1
 
 @query("a10_diagrams_euler", duck("SELECT vec_id, domain, t, CAST(sum(CASE WHEN v <= t THEN s ELSE 0 END) AS BIGINT) AS euler FROM cells CROSS JOIN (VALUES (-0.7), (-0.5), (-0.3)) h(t) GROUP BY ALL", "pixels", before=GRID))
 def a10_euler(spark, d):
-    f = persistence.fields(pixels(spark, d), F.round(-optics.gray(), 3), KEY)
-    dgm = persistence.diagrams(f, KEY)
-    t = F.explode(F.array(*map(F.lit, (-0.7, -0.5, -0.3)))).alias("t")
-    whole = f.select(*KEY, F.array_min("v").alias("low"), t).select(*KEY, "t", (F.col("low") <= F.col("t")).cast("int").alias("one"))
-    alive = dgm.select(*KEY, "dim", "birth", "death", t).where("birth <= t AND t < death").groupBy(*KEY, "t").agg(F.sum(F.when(F.col("dim") == 0, 1).otherwise(-1)).alias("s"))
-    return whole.join(alive, [*KEY, "t"], "left").select(*KEY, "t", (F.col("one") + F.coalesce("s", F.lit(0))).cast("long").alias("euler"))
+    made = persistence.tile_diagrams(fixtures.images(spark, d), {"A": ["gray"], "B": ["gray"]}, [1], decimals=3)
+    low = tiling.measured(made, "low", "double", pa.float64(), lambda x: [round(-v, 3) for v in optics.field_array("gray", x.astype(float)).max((1, 2))])
+    each = low.select(*KEY, "low", F.col("diagrams")[0]["d"].alias("d"), F.explode(F.array(*map(F.lit, (-0.7, -0.5, -0.3)))).alias("t"))
+    alive = lambda k: F.aggregate(F.zip_with(F.col(f"d.birth{k}"), F.col(f"d.death{k}"), lambda b, x: ((b <= F.col("t")) & (F.col("t") < x)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return each.select(*KEY, "t", ((F.col("low") <= F.col("t")).cast("long") + alive(0) - alive(1)).alias("euler"))
 
 
 POINTS = """pt AS (SELECT l_orderkey % 400 AS tile, l_returnflag AS side, CAST(l_linenumber % 2 AS INT) AS dim, CAST(l_discount AS DOUBLE) AS birth, CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01 AS death FROM lineitem WHERE l_returnflag IN ('A', 'N')),
@@ -339,30 +464,19 @@ def a13(spark, d):
     return point_pairs(spark, d).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("mean_loss"), F.round(F.sum("d"), 4).alias("sum_loss"))
 
 
-def tile_diagrams(spark, d):
-    f = persistence.fields(pixels(spark, d).where("vec_id % 10 <> 9"), -optics.gray(), KEY)
-    return persistence.diagrams(f, KEY)
-
-
 @query("s09_diagram_rows")
 def s09(spark, d):
-    return tile_diagrams(spark, d).select(*KEY, "dim", *[r6(c).alias(c) for c in ("birth", "death")], r6(F.col("death") - F.col("birth")).alias("lifetime"))
+    """The points of every tile with tissue."""
+    some = tiling.tissue(fixtures.images(spark, d)).where("tissue >= 0.5")
+    rows = persistence.diagram_rows(persistence.tile_diagrams(some, {"A": ["gray"], "B": ["gray"]}, [1]), KEY)
+    return rows.select(*KEY, "dim", *[r6(c).alias(c) for c in ("birth", "death")], r6(F.col("death") - F.col("birth")).alias("lifetime"))
 
 
 @query("flagship_field_scores")
 def flagship(spark, d):
-    """Strict wrong partners, inverted grey field, both dimensions, one AUROC a marker."""
-    dgm = persistence.packed(tile_diagrams(spark, d), KEY).persist()  # each diagram is computed once
-    named = tiles(spark, d).join(dgm, KEY).select("marker", "domain", "stem", F.struct("p0", "p1").alias("g"))
-    p = pairs(spark, d).select("marker", "pair_idx", "stem", "slide")
-    a = p.join(named.where("domain = 'A'").select("marker", "stem", F.col("g").alias("a")), ["marker", "stem"])
-    b = p.join(named.where("domain = 'B'").select("marker", "stem", F.col("g").alias("b")), ["marker", "stem"]).select("marker", F.col("pair_idx").alias("partner_idx"), "b")
-    usable = a.join(b.select("marker", F.col("partner_idx").alias("pair_idx")), ["marker", "pair_idx"])
-    wrong = pairing.strict_partners(usable, 7, 3).withColumn("wrong", F.lit(True))
-    right = wrong.select("marker", "pair_idx").distinct().select("marker", F.lit(-1).alias("shuffle_no"), "pair_idx", F.col("pair_idx").alias("partner_idx"), F.lit(False).alias("wrong"))
-    both = wrong.unionByName(right).join(usable.select("marker", "pair_idx", "a"), ["marker", "pair_idx"]).join(b, ["marker", "partner_idx"])
-    rows = both.select("marker", "wrong", r6(persistence.distance("a", "b")).alias("d"))
-    return scoring.score_rows(rows, ["marker"], "d", "wrong")
+    """Strict wrong partners, inverted grey field, both dimensions: one AUROC a marker."""
+    got = sweep.score_fields(tile_images(spark, d), sweep.settings(["gray"], ["gray"], [1], ["0,1"], ["auto"]), shuffles=3, seed=7, decimals=6)
+    return got.select("marker", *sweep.COMBO, "true_mean", "wrong_mean", "ratio", "auroc", "auroc_se", "n_tiles", "n_wrong", "n_pairs")
 
 
 # ---- scores and the audit
@@ -381,9 +495,10 @@ def a16(spark, d):
 
 
 SET = "field_a, field_b, downsample, dims, projection"
-TOP = f"top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY marker, vectors ORDER BY auroc DESC, downsample DESC, {SET}) AS place FROM scores WHERE control = 'strict') WHERE place <= 5)"
-DECIDED = TOP + f""", conf AS (SELECT *, count(*) OVER (PARTITION BY marker) AS n_candidates, (confirm_auroc - 0.5) / sqrt((0.25 + (n_tiles - 1) / 6.0) / (n_tiles * n_tiles)) AS z FROM top5),
- zz AS (SELECT *, z > CASE n_candidates WHEN 10 THEN 2.5758293035489 WHEN 5 THEN 2.32634787404084 END AS supported FROM conf),
+TOP = "top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY marker, vectors ORDER BY auroc DESC, downsample DESC, combo_no) AS place FROM scores WHERE control = 'strict' AND slice = 1) WHERE place <= 5)"
+DECIDED = TOP + f""", conf AS (SELECT t.marker, t.vectors, t.place, {', '.join('t.' + x for x in SET.split(', '))}, t.field_combine, s.auroc AS confirm_auroc, s.n_tiles FROM top5 t JOIN scores s USING (marker, vectors, {SET}) WHERE s.control = 'strict' AND s.slice = 2),
+ zc AS (SELECT *, count(*) OVER (PARTITION BY marker) AS n_candidates, (confirm_auroc - 0.5) / sqrt((0.25 + (n_tiles - 1) / 6.0) / (n_tiles * n_tiles)) AS z FROM conf),
+ zz AS (SELECT *, z > CASE n_candidates WHEN 10 THEN 2.5758293035489 WHEN 5 THEN 2.32634787404084 END AS supported FROM zc),
  win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY supported DESC, confirm_auroc DESC, CASE WHEN supported THEN downsample END DESC, vectors, place) AS rank FROM zz) WHERE rank = 1)"""
 
 
@@ -391,59 +506,78 @@ def scores(spark, d):
     return fixture(spark, d, "scores")
 
 
+def halves(spark, d):
+    """The screen and the second slice."""
+    s = scores(spark, d)
+    return s.where("slice = 1"), s.where("slice = 2")
+
+
+def decided(spark, d):
+    return scoring.decided(reports.confirm_set(*halves(spark, d)))
+
+
 @query("w04_top_candidates", duck(f"SELECT marker, vectors, place, {SET}, auroc FROM top5", "scores", before=TOP))
 def w04(spark, d):
-    return scoring.top_candidates(scores(spark, d)).select("marker", "vectors", "place", *scoring.SETTING, "auroc")
+    return scoring.top_candidates(halves(spark, d)[0]).select("marker", "vectors", "place", *scoring.SETTING, "auroc")
 
 
 @query("w06_w07_support", duck("SELECT marker, vectors, place, n_candidates, round(z, 5) AS z_observed, supported FROM zz", "scores", before=DECIDED))
 def w06(spark, d):
-    r = scoring.decided(scoring.top_candidates(scores(spark, d)))
-    return r.select("marker", "vectors", "place", "n_candidates", F.round("z_observed", 5).alias("z_observed"), "supported")
+    return decided(spark, d).select("marker", "vectors", "place", "n_candidates", F.round("z_observed", 5).alias("z_observed"), "supported")
 
 
 @query("w08_verdicts", duck(f"SELECT marker, CASE WHEN supported THEN 'ph_trans_supported' ELSE 'ph_cyc_only' END AS verdict, vectors, {SET}, confirm_auroc FROM win", "scores", before=DECIDED))
 def w08(spark, d):
-    return scoring.verdicts(scoring.decided(scoring.top_candidates(scores(spark, d))))
+    return scoring.verdicts(decided(spark, d)).drop("field_combine")
 
 
-@query("s11_recommendation", duck("""SELECT marker, k.key AS key, coalesce(CASE WHEN k.key = 'FIELD_B' AND marker = 'ER' THEN 'mine' END, CASE k.key WHEN 'FIELD_A' THEN field_a WHEN 'FIELD_B' THEN field_b ELSE CASE WHEN vectors = 'fixed' THEN '' ELSE vectors END END) AS value
-  FROM win CROSS JOIN (VALUES ('FIELD_A'), ('FIELD_B'), ('STAINS')) k(key)""", "scores", before=DECIDED))
+@query("s11_recommendation", duck("""SELECT marker, k.key AS key, coalesce(CASE WHEN k.key = 'FIELD_B' AND marker = 'ER' THEN 'mine' END, CASE k.key WHEN 'FIELD_A' THEN field_a WHEN 'FIELD_B' THEN field_b WHEN 'FIELD_COMBINE' THEN field_combine
+   WHEN 'TOPO_DOWNSAMPLE' THEN CAST(downsample AS VARCHAR) WHEN 'TOPO_DIMS' THEN replace(dims, ',', ' ') WHEN 'TOPO_PROJECTION' THEN projection WHEN 'PH_TRANS_SUPPORTED' THEN CASE WHEN supported THEN '1' ELSE '0' END
+   ELSE CASE WHEN vectors = 'fixed' THEN '' ELSE vectors END END) AS value
+  FROM win CROSS JOIN (VALUES ('FIELD_A'), ('FIELD_B'), ('FIELD_COMBINE'), ('TOPO_DOWNSAMPLE'), ('TOPO_DIMS'), ('TOPO_PROJECTION'), ('STAINS'), ('PH_TRANS_SUPPORTED')) k(key)""", "scores", before=DECIDED))
 def s11(spark, d):
-    s = scores(spark, d)
-    own = s.select("marker").distinct().select("marker", F.explode(F.array(F.struct(F.lit("FIELD_B").alias("key"), F.when(F.col("marker") == "ER", "mine").otherwise("").alias("value")))).alias("o")).select("marker", "o.key", "o.value")
-    return scoring.recommendation(scoring.verdicts(scoring.decided(scoring.top_candidates(s))), own)
+    own = scores(spark, d).select("marker").distinct().select("marker", F.lit("FIELD_B").alias("key"), F.when(F.col("marker") == "ER", "mine").otherwise("").alias("value"))
+    return scoring.recommendation(scoring.verdicts(decided(spark, d)), own)
 
 
-@query("w09_best_and_cheapest", duck(f"""SELECT marker, vectors, control, {SET}, auroc FROM (SELECT *, max(CASE WHEN b = 1 THEN downsample END) OVER w AS bd, row_number() OVER (PARTITION BY marker, vectors, control ORDER BY downsample DESC, auroc DESC, {SET}) AS c FROM
-  (SELECT *, row_number() OVER (PARTITION BY marker, vectors, control ORDER BY auroc DESC, {SET}) AS b, max(auroc) OVER (PARTITION BY marker, vectors, control) AS m FROM scores) WHERE auroc >= m - 0.01 WINDOW w AS (PARTITION BY marker, vectors, control))
+@query("w09_best_and_cheapest", duck(f"""SELECT marker, vectors, control, {SET}, auroc FROM (SELECT *, max(CASE WHEN b = 1 THEN downsample END) OVER w AS bd, row_number() OVER (PARTITION BY marker, vectors, control ORDER BY downsample DESC, combo_no) AS c FROM
+  (SELECT *, row_number() OVER (PARTITION BY marker, vectors, control ORDER BY auroc DESC, combo_no) AS b, max(auroc) OVER (PARTITION BY marker, vectors, control) AS m FROM scores WHERE slice = 1) WHERE auroc >= m - 0.01 WINDOW w AS (PARTITION BY marker, vectors, control))
   WHERE b = 1 OR (c = 1 AND downsample > bd)""", "scores"))
 def w09(spark, d):
     by = ["marker", "vectors", "control"]
-    return scoring.cheapest(scores(spark, d), by).select(*by, *scoring.SETTING, "auroc")
+    return scoring.cheapest(halves(spark, d)[0], by).select(*by, *scoring.SETTING, "auroc")
 
 
 @query("a19_arms", duck("""SELECT marker, vectors, max(auroc) FILTER (WHERE control = 'strict') AS best_strict, max(auroc) FILTER (WHERE control = 'unstratified') AS best_free,
-  round(max(auroc) FILTER (WHERE control = 'unstratified') - max(auroc) FILTER (WHERE control = 'strict'), 6) AS delta FROM scores GROUP BY ALL HAVING max(auroc) FILTER (WHERE control = 'strict') IS NOT NULL""", "scores"))
+  round(max(auroc) FILTER (WHERE control = 'unstratified') - max(auroc) FILTER (WHERE control = 'strict'), 6) AS delta FROM scores WHERE slice = 1 GROUP BY ALL HAVING max(auroc) FILTER (WHERE control = 'strict') IS NOT NULL""", "scores"))
 def a19(spark, d):
-    best = lambda c: F.max(F.when(F.col("control") == c, F.col("auroc")))
-    arms = scores(spark, d).groupBy("marker", "vectors").agg(best("strict").alias("best_strict"), best("unstratified").alias("best_free"))
-    return arms.where("best_strict is not null").withColumn("delta", r6(F.col("best_free") - F.col("best_strict")))
+    return scoring.arms(halves(spark, d)[0]).withColumn("delta", r6("delta"))
 
 
 @query("a20_a23_tally", duck(f"SELECT {SET}, count(DISTINCT marker) AS n_markers, string_agg(DISTINCT marker, ',' ORDER BY marker) AS markers FROM zz WHERE supported GROUP BY ALL HAVING count(DISTINCT marker) > 1", "scores", before=DECIDED))
 def a20(spark, d):
-    r = scoring.decided(scoring.top_candidates(scores(spark, d))).where("supported")
-    by = r.groupBy(*scoring.SETTING).agg(F.array_sort(F.collect_set("marker")).alias("m"))
-    return by.select(*scoring.SETTING, F.size("m").cast("long").alias("n_markers"), F.array_join("m", ",").alias("markers")).where("n_markers > 1")
+    return scoring.tally(decided(spark, d))
 
 
-@query("j07_sweep_grid", duck("SELECT marker, fa.f AS field_a, fb.f AS field_b, ds.k AS downsample, count(*) AS n_pairs FROM tp CROSS JOIN (VALUES ('gray'), ('hematoxylin/eosin')) fa(f) CROSS JOIN (VALUES ('gray'), ('dab+hematoxylin')) fb(f) CROSS JOIN (VALUES (1), (2), (4)) ds(k) GROUP BY ALL", "tiles", before=PAIRS))
+@query("s08_score_table", duck("SELECT marker, vectors, control, CASE slice WHEN 1 THEN 'screen' ELSE 'confirm' END AS stage, count(*) AS n, round(sum(auroc * (1 + combo_no)), 4) AS s FROM scores GROUP BY ALL", "scores"))
+def s08(spark, d):
+    out = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/scores-{uuid.uuid4().hex}"
+    for rows, stage in zip(halves(spark, d), ("screen", "confirm"), strict=True):
+        images.append_scores(rows.withColumn("stage", F.lit(stage)), out)
+    got = spark.read.parquet(out).groupBy("marker", "vectors", "control", "stage")
+    return got.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("auroc") * (1 + F.col("combo_no"))), 4).alias("s"))
+
+
+GRID3 = ["gray", "hematoxylin/eosin", "eosin/hematoxylin"], ["gray", "dab+hematoxylin", "dab/hematoxylin"], [1, 2, 4]
+LISTED = lambda values: ", ".join(f"({i}, {v!r})" for i, v in enumerate(values))
+
+
+@query("j07_sweep_grid", duck(f"""SELECT marker, CAST(fa.i * 108 + fb.i * 36 + ds.i * 12 + dm.i * 4 + pr.i AS INT) AS combo_no, fa.f AS field_a, fb.f AS field_b, ds.f AS downsample, dm.f AS dims, pr.f AS projection, count(*) AS n_pairs FROM tp
+  CROSS JOIN (VALUES {LISTED(GRID3[0])}) fa(i, f) CROSS JOIN (VALUES {LISTED(GRID3[1])}) fb(i, f) CROSS JOIN (VALUES {LISTED(GRID3[2])}) ds(i, f)
+  CROSS JOIN (VALUES {LISTED(list(sweep.DIMS))}) dm(i, f) CROSS JOIN (VALUES {LISTED(sweep.PROJECTIONS)}) pr(i, f) GROUP BY ALL""", "tiles", before=PAIRS))
 def j07(spark, d):
-    row = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    p = pairs(spark, d).groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"))
-    p = p.select("marker", "n_pairs", row("field_a", ["gray", "hematoxylin/eosin"])).select("*", row("field_b", ["gray", "dab+hematoxylin"])).select("*", row("downsample", [1, 2, 4]))
-    return p.select("marker", "field_a", "field_b", "downsample", "n_pairs")
+    n = pairs(spark, d).groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return n.crossJoin(F.broadcast(sweep.combinations(spark, sweep.settings(*GRID3))))  # markers times settings
 
 
 @query("x01_inference", "SELECT vec_id, round(avg(least(1.0, greatest(0.0, (0.5 * v + 0.1 + 1) / 2))), 5) AS mean_out FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id")
@@ -530,35 +664,101 @@ def a15(spark, d):
 
 @query("j08_sweep_scores")
 def j08(spark, d):
-    """Every combination of two fields a side and two downsamplings, true pairs against strict wrong ones, one score row each."""
-    fa, fb, ks = ["gray", "hematoxylin/eosin"], ["gray", "dab+hematoxylin"], [1, 2]
-    named = pixels(spark, d).join(tiles(spark, d).select(*KEY, "stem"), KEY)
-    dgm = sweep.all_diagrams(named, {"A": fa, "B": fb}, ks, ["stem", "domain"])
-    p = pairs(spark, d).select("marker", "pair_idx", "stem", "slide")
-    wrong = pairing.strict_partners(p, 7, 1).select("marker", "pair_idx", "partner_idx")
-    true = wrong.select("marker", "pair_idx", F.col("pair_idx").alias("partner_idx"), F.lit(False).alias("wrong"))
-    both = wrong.withColumn("wrong", F.lit(True)).unionByName(true)
-    both = both.join(p.select("marker", "pair_idx", F.col("stem").alias("stem_a")), ["marker", "pair_idx"]).join(p.select("marker", F.col("pair_idx").alias("partner_idx"), F.col("stem").alias("stem_b")), ["marker", "partner_idx"])
-    rows = sweep.distance_inputs(both, dgm, sweep.combinations(spark, fa, fb, ks), "stem_a", "stem_b", "stem")
-    rows = rows.select("marker", *sweep.COMBO, "wrong", r6(persistence.distance("a", "b")).alias("d"))
-    return scoring.score_rows(rows, ["marker", *sweep.COMBO], "d", "wrong")
-
-
-@query("w05_confirm_set", duck("SELECT s.marker, s.vectors, s.field_a, s.field_b, s.downsample, s.dims, s.projection, s.confirm_auroc, s.n_tiles FROM scores s JOIN top5 t USING (marker, vectors, field_a, field_b, downsample, dims, projection) WHERE s.control = 'strict'", "scores", before=TOP))
+    """All 324 settings over the tiles, one score row for each marker and setting."""
+    got = sweep.score_fields(tile_images(spark, d), sweep.settings(*GRID3), seed=7, decimals=6)
+    return got.select("marker", "combo_no", *sweep.COMBO, "true_mean", "wrong_mean", "ratio", "auroc", "auroc_se", "n_tiles", "n_wrong")
+
+
+@query("j08_sweep_128_tiles")
+def j08_big(spark, d):
+    """All 324 settings over 128 pairs of larger tiles."""
+    got = sweep.score_fields(fixtures.big_images(spark, d, 128), sweep.settings(*GRID3), seed=7, decimals=6)
+    return got.select("marker", "combo_no", *sweep.COMBO, "true_mean", "wrong_mean", "ratio", "auroc", "auroc_se", "n_tiles", "n_wrong")
+
+
+@query("a10_big_diagrams")
+def a10_big(spark, d):
+    """How many points the grey field of each larger tile has."""
+    made = persistence.tile_diagrams(fixtures.big_images(spark, d, 36), {"A": ["gray"], "B": ["gray"]}, [1])
+    one = F.col("diagrams")[0]["d"]
+    return made.select("domain", "stem", "h", "w", F.size(one["birth0"]).alias("points0"), F.size(one["birth1"]).alias("points1"))
+
+
+#: Diagrams from lineitem for two fields and two downsamplings of 40 tiles a side; the true pair of tile t is (t, t), the wrong one (t, t + 1).
+MANY = """pt AS (SELECT CAST(l_orderkey % 40 AS INT) AS tile, CASE l_returnflag WHEN 'N' THEN 'B' ELSE 'A' END AS domain, CASE l_partkey % 2 WHEN 0 THEN 'f0' ELSE 'f1' END AS spec, CAST(1 + l_suppkey % 2 AS INT) AS downsample,
+  CAST(l_linenumber % 2 AS INT) AS dim, CAST(l_discount AS DOUBLE) - 0.05 AS birth, CAST(l_discount AS DOUBLE) - 0.05 + CAST(l_tax AS DOUBLE) + 0.01 * (1 + l_orderkey % 40 % 5) AS death FROM lineitem)"""
+MANY_SQL = MANY + f""", li AS (SELECT tile, domain, spec, downsample, dim, k.kind AS kind, list(CASE k.kind WHEN 'birth' THEN birth WHEN 'death' THEN death ELSE death - birth END) AS v FROM pt CROSS JOIN (VALUES ('birth'), ('death'), ('lifetime')) k(kind) GROUP BY ALL),
+ pr AS (SELECT t AS a, t AS b, false AS wrong FROM range(40) r(t) UNION ALL SELECT t, (t + 1) % 40, true FROM range(40) r(t)),
+ grid AS (SELECT fa.f AS fa, fb.f AS fb, k.k AS ds, d.d AS dim, p.p AS kind FROM (VALUES ('f0'), ('f1')) fa(f) CROSS JOIN (VALUES ('f0'), ('f1')) fb(f) CROSS JOIN (VALUES (1), (2)) k(k) CROSS JOIN (VALUES (0), (1)) d(d) CROSS JOIN (VALUES ('birth'), ('death'), ('lifetime')) p(p)),
+ one AS (SELECT pr.a, pr.b, pr.wrong, g.fa, g.fb, g.ds, g.dim, g.kind, {listed('x.v', 'y.v')} AS d FROM pr CROSS JOIN grid g
+   LEFT JOIN li x ON x.tile = pr.a AND x.domain = 'A' AND x.spec = g.fa AND x.downsample = g.ds AND x.dim = g.dim AND x.kind = g.kind
+   LEFT JOIN li y ON y.tile = pr.b AND y.domain = 'B' AND y.spec = g.fb AND y.downsample = g.ds AND y.dim = g.dim AND y.kind = g.kind),
+ se AS (SELECT * FROM (VALUES (0, '0'), (1, '1'), (2, '0,1')) d(di, dims) CROSS JOIN (VALUES (0, 'auto'), (1, 'birth'), (2, 'death'), (3, 'lifetime')) p(pi, projection)),
+ q AS (SELECT CAST((CASE fa WHEN 'f0' THEN 0 ELSE 48 END) + (CASE fb WHEN 'f0' THEN 0 ELSE 24 END) + 12 * (ds - 1) + 4 * di + pi AS INT) AS combo_no, fa AS field_a, fb AS field_b, ds AS downsample, dims, projection, a, wrong, round(sum(d), 6) AS v
+   FROM one JOIN se ON (dims = '0,1' OR dims = CAST(dim AS VARCHAR)) AND kind = CASE projection WHEN 'auto' THEN CASE dim WHEN 0 THEN 'lifetime' ELSE 'birth' END ELSE projection END GROUP BY ALL),
+ c AS (SELECT combo_no, v, count(*) FILTER (WHERE NOT wrong) AS t, count(*) FILTER (WHERE wrong) AS w FROM q GROUP BY ALL),
+ u AS (SELECT combo_no, sum(t * (above + w / 2.0)) / (sum(t) * sum(w)) AS auroc FROM (SELECT *, coalesce(sum(w) OVER (PARTITION BY combo_no ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM c) GROUP BY combo_no)"""
+
+
+@query("j08_point_scores", duck("SELECT combo_no, field_a, field_b, downsample, dims, projection, round(avg(v) FILTER (WHERE NOT wrong), 5) AS true_mean, round(auroc, 8) AS auroc FROM q JOIN u USING (combo_no) GROUP BY ALL", before=MANY_SQL))
+def j08_points(spark, d):
+    spark.read.parquet(f"{d}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    pts = spark.sql(f"WITH {MANY} SELECT * FROM pt")
+    lists = pts.groupBy("tile", "domain", "spec", "downsample").agg(*[F.collect_list(F.when(F.col("dim") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("birth", "death")])
+    packed = lists.groupBy("tile", "domain").agg(F.collect_list(F.struct("spec", "downsample", F.struct("birth0", "death0", "birth1", "death1").alias("d"))).alias("diagrams"))
+    made = sweep.sorted_projections(packed)
+    a, b = (made.where(F.col("domain") == x.upper()).select(F.col("tile").alias(f"t{x}"), F.col("diagrams").alias(x)) for x in "ab")
+    both = spark.range(40).select(F.col("id").alias("ta"), F.explode(F.array(F.struct(F.col("id").alias("tb"), F.lit(False).alias("wrong")), F.struct(((F.col("id") + 1) % 40).alias("tb"), F.lit(True).alias("wrong")))).alias("p")).select("ta", "p.*")
+    chosen = sweep.settings(["f0", "f1"], ["f0", "f1"], [1, 2])
+    rows = sweep.setting_distances(both.join(a, "ta").join(b, "tb"), "a", "b", chosen, 6)
+    return sweep.by_setting(rows, [], chosen).select("combo_no", *sweep.COMBO, F.round("true_mean", 5).alias("true_mean"), F.round("auroc", 8).alias("auroc"))
+
+
+@query("audit_verdicts")
+def audited(spark, d):
+    """The whole audit over the tiles: two sources of vectors, screen and confirmation, one decision for each marker."""
+    other = {"A": {"hematoxylin": (0.6, 0.72, 0.35)}, "B": {"hematoxylin": (0.6, 0.72, 0.35), "dab": (0.25, 0.55, 0.8)}}
+    grid = sweep.settings(["gray", "hematoxylin/eosin"], ["gray", "dab+hematoxylin"], [1, 2], ["0", "0,1"], ["auto"])
+    out = jobs.audit(tile_images(spark, d), {"fixed": (grid, None), "other": (grid, other)}, seed=7, decimals=6)
+    return out["decided"].select("marker", "vectors", "place", *scoring.SETTING, r6("confirm_auroc").alias("confirm_auroc"), "n_tiles", "n_candidates", "supported", "rank")
+
+
+def inspection(spark, d):
+    return jobs.inspect_pairs(tile_images(spark, d), "hematoxylin/eosin", "dab+hematoxylin", 40, seed=7)
+
+
+LEVEL = "CAST(least(255.0, greatest(0.0, round_even(255.0 * pow(10.0, -greatest({}, 0.0)), 0))) AS INT)"
+
+
+@query("x02_inspected_channels", duck(f"""SELECT marker, pair_idx, domain, channel, sum(CASE channel WHEN 'hematoxylin/eosin' THEN {LEVEL.format(conc(H, E))} WHEN 'eosin/hematoxylin' THEN {LEVEL.format(conc(E, H))}
+   WHEN 'dab/hematoxylin' THEN {LEVEL.format(conc(D, H))} WHEN 'hematoxylin/dab' THEN {LEVEL.format(conc(H, D))} ELSE {LEVEL.format(f'({conc(D, H)} + {conc(H, D)})')} END) AS level
+  FROM tp JOIN tiles USING (marker, stem) JOIN pixels USING (vec_id, domain) JOIN (VALUES ('A', 'hematoxylin/eosin'), ('A', 'eosin/hematoxylin'), ('B', 'dab/hematoxylin'), ('B', 'hematoxylin/dab'), ('B', 'dab+hematoxylin')) c(domain, channel) USING (domain)
+  WHERE pair_idx < 40 GROUP BY ALL""", "tiles", "pixels", before=PAIRS))
+def x02(spark, d):
+    got = inspection(spark, d)["channels"]
+    return got.select("marker", "pair_idx", "domain", "channel", F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + x).alias("level"))
+
+
+@query("x02_inspected_distances")
+def x02_distances(spark, d):
+    got = inspection(spark, d)["distances"]
+    return got.select("marker", "pair_idx", *[r6(c).alias(c) for c in ("d0", "d1", "total")], *[f"points{k}_{x}" for k in (0, 1) for x in "ab"])
+
+
+@query("w05_confirm_set", duck(f"SELECT marker, vectors, place, {SET}, confirm_auroc, n_tiles FROM conf", "scores", before=DECIDED))
 def w05(spark, d):
-    s = scores(spark, d)
-    return reports.confirm_set(s, s).select("marker", "vectors", *scoring.SETTING, "confirm_auroc", "n_tiles")
+    return reports.confirm_set(*halves(spark, d)).select("marker", "vectors", "place", *scoring.SETTING, "confirm_auroc", "n_tiles")
 
 
 @query("a23_marker_lists", duck("SELECT verdict, count(*) AS n_markers, string_agg(marker, ', ' ORDER BY marker) AS markers FROM (SELECT marker, CASE WHEN supported THEN 'ph_trans_supported' ELSE 'ph_cyc_only' END AS verdict FROM win) GROUP BY verdict", "scores", before=DECIDED))
 def a23(spark, d):
-    return reports.marker_lists(scoring.verdicts(scoring.decided(scoring.top_candidates(scores(spark, d)))))
+    return reports.marker_lists(scoring.verdicts(decided(spark, d)))
 
 
 @query("a23_f03_report_rows", duck("""SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY confirm_auroc DESC, vectors, place) AS line, vectors,
-  concat(field_a, ' -> ', field_b, ', downsample ', CAST(downsample AS VARCHAR), ', dims ', dims, ', ', projection) AS setting, n_tiles, confirm_auroc, round(z, 5) AS z_observed, supported FROM zz""", "scores", before=DECIDED))
+  concat(field_a, ' / ', field_b, '  ds=', CAST(downsample AS VARCHAR), ' dims=', dims, ' proj=', projection) AS setting, n_tiles, confirm_auroc, round(z, 5) AS z_observed, supported FROM zz""", "scores", before=DECIDED))
 def a23_rows(spark, d):
-    return reports.report_rows(scoring.decided(scoring.top_candidates(scores(spark, d)))).withColumn("z_observed", F.round("z_observed", 5))
+    return reports.report_rows(decided(spark, d)).withColumn("z_observed", F.round("z_observed", 5))
 
 
 ORIGINS = """f AS (SELECT vec_id, concat('file:///data/', CASE vec_id % 3 WHEN 0 THEN 'HE/train/' WHEN 1 THEN 'IHC/train/' ELSE concat('c', CAST(vec_id % 7 AS VARCHAR), '/images/') END, 't', CAST(vec_id AS VARCHAR), '.png') AS origin FROM embeddings)"""

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TILES = """
 SELECT vec_id, element AS domain,
@@ -44,18 +47,77 @@ SELECT vec_id, domain, CAST(floor(p / 8) AS INT) AS y, p % 8 AS x,
        CASE WHEN vec_id % 10 = 9 THEN 255 - CAST(floor((255 - b0) / 8) AS INT) ELSE b0 END AS b
 FROM q"""
 
+#: The vectors that a tile's pixels are mixed from, as in PIXELS.
+MIXED = """
+WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT a.vec_id, 'A' AS domain, a.embedding AS e, a.embedding AS f, 0.0D AS w FROM embeddings a
+UNION ALL
+SELECT a.vec_id, 'B' AS domain, a.embedding AS e, b.embedding AS f, 0.25D AS w
+FROM embeddings a CROSS JOIN n JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % n.n WHERE a.vec_id % 17 <> 16"""
+
+
+def _bytes(vec_id: pa.Array, e: pa.Array, f: pa.Array, w: pa.Array) -> pa.Array:
+    x, y = (a.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, 64) for a in (e, f))
+    share = w.to_numpy(zero_copy_only=False)[:, None]
+    v = np.floor(np.clip(((1 - share) * x + share * y + 0.6) / 1.2 * 255, 0, 255) + 0.5).astype(int)
+    v = np.where((vec_id.to_numpy(zero_copy_only=False) % 10 == 9)[:, None], 255 - (255 - v) // 8, v)
+    pixels = np.stack([v, np.roll(v, -21, 1), np.roll(v, -42, 1)], 2).astype(np.uint8)
+    return pa.array([p.tobytes() for p in pixels], pa.binary())
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, domain, h, w, rgb: the tiles of PIXELS as bytes."""
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    rgb = F.arrow_udf(_bytes, "binary").asNondeterministic()("vec_id", "e", "f", "w")
+    return spark.sql(MIXED).select("vec_id", "domain", F.lit(8).alias("h"), F.lit(8).alias("w"), rgb.alias("rgb"))
+
+
+def big_images(spark: SparkSession, sf_dir: str, tiles: int) -> DataFrame:
+    """marker, domain, stem, name, h, w, rgb: `tiles` square tiles a domain from `lineitem`, as large as its rows allow; B's colours are mixed from A's."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        f"CAST(l_orderkey % {tiles} AS INT) AS tile", "l_orderkey", "l_linenumber", "CAST(1 + (l_partkey * 7) % 200 AS INT) AS r", "CAST(1 + (l_suppkey * 13 + l_partkey) % 200 AS INT) AS g", "CAST(1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS INT) AS b"
+    )
+    side = int((rows.groupBy("tile").count().agg(F.min("count")).first()[0] or 0) ** 0.5)
+    held = rows.groupBy("tile").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r", "g", "b"))), 1, side * side).alias("p"))
+    held = held.select("tile", *[F.col(f"p.{c}").alias(c) for c in "rgb"], F.explode(F.array(F.lit("A"), F.lit("B"))).alias("domain"))
+
+    def pixels(domain: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for d, *c in zip(domain.to_pylist(), r, g, b, strict=True):
+            v = np.stack([x.values.to_numpy() for x in c], 1)
+            out.append(np.ascontiguousarray(v if d == "A" else (3 * v + np.roll(v, 1, 1)) // 4, np.uint8).tobytes())
+        return pa.array(out, pa.binary())
+
+    rgb = F.arrow_udf(pixels, "binary").asNondeterministic()("domain", *"rgb")
+    stem = F.format_string("s%06d_r%dc%d", F.expr("tile div 4"), F.expr("tile % 4 div 2"), F.expr("tile % 2"))
+    return held.select(F.lit("ER").alias("marker"), "domain", stem.alias("stem"), F.concat(stem, F.lit(".png")).alias("name"), F.lit(side).alias("h"), F.lit(side).alias("w"), rgb.alias("rgb"))
+
+
+#: Source images of 16 x 16 pixels: the four tiles of a slide, where all are there.
+SOURCES = """
+SELECT t.slide, t.marker, t.domain, 16 AS h, 16 AS w,
+       unhex(array_join(transform(sequence(0, 15), y -> concat(
+         substr(max(CASE WHEN grid_row = 0 AND grid_col = 0 THEN hex(i.rgb) END), 1 + 48 * y, CASE WHEN y < 8 THEN 48 ELSE 0 END),
+         substr(max(CASE WHEN grid_row = 0 AND grid_col = 1 THEN hex(i.rgb) END), 1 + 48 * y, CASE WHEN y < 8 THEN 48 ELSE 0 END),
+         CASE WHEN y >= 8 THEN substr(max(CASE WHEN grid_row = 1 AND grid_col = 0 THEN hex(i.rgb) END), 1 + 48 * (y - 8), 48) ELSE '' END,
+         CASE WHEN y >= 8 THEN substr(max(CASE WHEN grid_row = 1 AND grid_col = 1 THEN hex(i.rgb) END), 1 + 48 * (y - 8), 48) ELSE '' END)), '')) AS rgb
+FROM tiles t JOIN images i USING (vec_id, domain) GROUP BY t.slide, t.marker, t.domain HAVING count(*) = 4"""
+
 SCORES = """
-SELECT CASE l_suppkey % 3 WHEN 0 THEN 'ER' WHEN 1 THEN 'Ki67' ELSE 'PR' END AS marker,
+SELECT marker, vectors, control, slice, field_a, field_b, downsample, dims, projection, 'sum' AS field_combine,
+       CAST(24 * CASE field_a WHEN 'gray' THEN 0 WHEN 'hematoxylin/eosin' THEN 1 ELSE 2 END + 2 * (downsample - 1) + CASE dims WHEN '0,1' THEN 0 ELSE 1 END AS INT) AS combo_no,
+       round(0.48 + 1.6 * avg(discount) + avg(tax), 2) AS auroc, count(*) AS n_tiles
+FROM (SELECT CASE l_suppkey % 3 WHEN 0 THEN 'ER' WHEN 1 THEN 'Ki67' ELSE 'PR' END AS marker,
        CASE l_linestatus WHEN 'F' THEN 'fixed' ELSE 'estimated' END AS vectors,
        CASE l_linenumber % 2 WHEN 0 THEN 'strict' ELSE 'unstratified' END AS control,
+       CASE WHEN l_quantity <= 25 THEN 1 ELSE 2 END AS slice,
        CASE l_partkey % 3 WHEN 0 THEN 'gray' WHEN 1 THEN 'hematoxylin/eosin' ELSE 'eosin/hematoxylin' END AS field_a,
        'dab+hematoxylin' AS field_b, CAST(1 + l_orderkey % 4 AS INT) AS downsample,
        CASE l_orderkey % 2 WHEN 0 THEN '0' ELSE '0,1' END AS dims, 'auto' AS projection,
-       round(0.45 + avg(CAST(l_discount AS DOUBLE)) + avg(CAST(l_tax AS DOUBLE)), 4) AS auroc,
-       round(0.44 + 1.1 * avg(CAST(l_discount AS DOUBLE)) + avg(CAST(l_tax AS DOUBLE)), 4) AS confirm_auroc, count(*) AS n_tiles
-FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
+       CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem) q
+GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9"""
 
-BY_NAME = {"tiles": TILES, "pixels": PIXELS, "scores": SCORES}
+BY_NAME = {"tiles": TILES, "pixels": PIXELS, "sources": SOURCES, "scores": SCORES}
 
 
 def _engine(sql: str, duck: bool) -> str:
@@ -66,6 +128,9 @@ def _engine(sql: str, duck: bool) -> str:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = "lineitem" if name == "scores" else "embeddings"
+    if name == "sources":
+        fixture(spark, sf_dir, "tiles").createOrReplaceTempView("tiles")
+        images(spark, sf_dir).createOrReplaceTempView("images")
     spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(_engine(BY_NAME[name], False))
 

@@ -7,9 +7,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaica.functions import optics
-from mosaica.operators import persistence, reports, scoring, tiling
+from mosaica.operators import ordering, pairing, persistence, reports, scoring, sweep, tiling
+from mosaica.plans import jobs
 from mosaica.plans.queries import ORACLE, QUERIES
 from mosaica.sources import images
 
@@ -58,6 +60,119 @@ def test_diagram_agrees_with_the_euler_characteristic(seed):
         assert euler == alive + 1
 
 
+def test_many_fields_at_once_give_what_each_gives_alone():
+    f = np.round(np.random.default_rng(3).random((5, 9, 6)), 1)
+    got = persistence.diagrams_of(f)
+    for i in range(5):
+        mine = got["tile"] == i
+        assert sorted(zip(got["dim"][mine], got["birth"][mine], got["death"][mine], strict=True)) == sorted((k, b, d) for k, b, d, *_ in persistence.diagram(f[i]))
+
+
+def test_field_arrays_are_the_columns(spark):
+    rng = np.random.default_rng(4)
+    px = rng.integers(0, 256, (20, 3))
+    rows = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(px)], "i int, r int, g int, b int")
+    own = {"mine": (0.3, 0.6, 0.7)}
+    for spec, how in (("gray", "max"), ("hematoxylin", "max"), ("hematoxylin/eosin", "max"), ("dab+mine", "max"), ("dab+mine", "sum"), ("dab+mine", "mean")):
+        want = [r["v"] for r in rows.orderBy("i").select(optics.field(spec, how, own).alias("v")).collect()]
+        assert np.allclose(optics.field_array(spec, px.astype(float), how, own), want)
+    with pytest.raises(ValueError):
+        optics.field_array("nothing", px.astype(float))
+
+
+def test_places_sums_and_percentiles_of_groups(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), np.round(rng.random(400), 2), strict=True)] + [(9, 0.5)] * 3
+    rows = spark.createDataFrame(data, "g int, v double")
+    by = {g: sorted(v for h, v in data if h == g) for g in {g for g, _ in data}}
+    got = {}
+    for r in ordering.ranked(rows, ["v"], "at", ["g"]).collect():
+        got.setdefault(r["g"], []).append((r["at"], r["v"]))
+    assert {g: [v for _, v in sorted(x)] for g, x in got.items()} == by
+    assert all(sorted(a for a, _ in x) == list(range(len(x))) for x in got.values())
+    assert sorted(r["at"] for r in ordering.ranked(rows, ["v"], "at").collect()) == list(range(len(data)))
+    one = rows.distinct()
+    for r in ordering.running(one, ["g"], ["v"], F.lit(1), "before").collect():
+        assert r["before"] == sum(v < r["v"] for v in set(by[r["g"]]))
+    for r in ordering.percentiles(rows, ["g"], "v", [0.0, 0.01, 0.37, 1.0], 0.0, 1.0, bins=7).collect():
+        assert np.allclose(r["p"], np.percentile(by[r["g"]], [0, 1, 37, 100]))
+    assert ordering.ranked(rows.limit(0), ["v"], "at", ["g"]).count() == 0
+
+
+def test_crops_are_the_bytes_of_their_place(spark):
+    image = np.arange(6 * 5 * 3, dtype=np.uint8).reshape(6, 5, 3)
+    rows = spark.createDataFrame([("a", 6, 5, image.tobytes()), ("small", 2, 2, bytes(12))], "name string, h int, w int, rgb binary")
+    got = {(r["top"], r["left"]): bytes(r["rgb"]) for r in tiling.cropped(rows, 3, 1).collect()}
+    assert set(got) == {(y, x) for y in (0, 2) for x in (0, 2)}
+    assert all(v == image[y : y + 3, x : x + 3].tobytes() for (y, x), v in got.items())
+
+
+def test_ingest_writes_tiles_with_tissue(spark, tmp_path):
+    dark, white = bytes([100]) * 48, bytes([250]) * 48
+    both = np.concatenate([np.frombuffer(x, np.uint8).reshape(4, 4, 3) for x in (dark, white)], 1)
+    rows = [("o1", "s1.png", 4, 8, both.tobytes(), True, "trainA"), ("o2", "s2.png", -1, -1, None, False, "trainA")]
+    src = spark.createDataFrame(rows, "origin string, name string, h int, w int, rgb binary, valid boolean, split string")
+    got = jobs.ingest_tiles(src, "ER", str(tmp_path / "t"), 4, resize_to=2, tissue_threshold=0.5).collect()
+    assert [(r["split"], r["images"], r["written"], r["skipped"]) for r in got] == [("trainA", 2, 1, 1)]
+    tile = spark.read.parquet(str(tmp_path / "t")).where("marker = 'ER' AND split = 'train' AND domain = 'A'").first()
+    assert (tile["stem"], tile["h"], tile["w"], bytes(tile["rgb"])) == ("s1_r0c0", 2, 2, bytes([100]) * 12)
+
+
+def test_lists_padded_in_place_are_sorted():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 0), (0, 4), (7, 3), (5, 5)):
+        a, b = np.sort(rng.normal(size=n)), np.sort(rng.normal(size=m))
+        x, y = (np.sort(np.concatenate([v, np.zeros(max(n, m) - len(v))])) for v in (a, b))
+        assert math.isclose(sweep.padded_distance(a, b), np.abs(x - y).sum(), abs_tol=1e-12)
+
+
+def stain_tiles(seed, v1, v2, domain):
+    rng = np.random.default_rng(seed)
+    c = rng.random((40, 40, 2)) ** 3 * np.array([1.0, 0.8])
+    od = c @ np.array([optics.unit(v1), optics.unit(v2)])
+    return (f"t{seed}", "ER", domain, 40, 40, np.clip(np.rint(255 * 10**-od), 0, 255).astype(np.uint8).tobytes())
+
+
+def test_stains_are_recovered_and_ordered(spark):
+    h, e, d = (optics.STAINS[k] for k in ("hematoxylin", "eosin", "dab"))
+    rows = [stain_tiles(i, h, e, "A") for i in range(6)] + [stain_tiles(50 + i, d, h, "B") for i in range(6)]
+    tiles = spark.createDataFrame(rows, "name string, marker string, domain string, h int, w int, rgb binary")
+    run, table = jobs.estimate_stains(tiles, pixels=900, limit=5)
+    r = run.first()
+    off = lambda a, b: math.degrees(math.acos(min(1.0, float(np.dot(a, optics.unit(b))))))
+    assert off(r["a1"], h) < 4 and off(r["a2"], e) < 4 and off(r["b1"], h) < 4 and off(r["b2"], d) < 4 and r["warnings"] == []
+    assert {x["domain"] for x in table.collect()} == {"A", "B"}
+    pinned, _ = jobs.estimate_stains(tiles, pixels=900, limit=5, pin=True)
+    p = pinned.first()
+    assert p["b1"] == p["a1"] and p["shared_angle"] < 1e-3 and "pinned" in p["warnings"][0]
+    with pytest.raises(ValueError, match="stained pixels"):
+        jobs.estimate_stains(tiles, pixels=20, limit=5)
+
+
+def test_ties_of_settings_go_by_their_number(spark):
+    rows = [("ER", "fixed", "strict", i, f, "g", k, "0", "auto", a) for i, f, k, a in ((0, "z", 1, 0.7), (1, "a", 1, 0.7), (2, "b", 2, 0.695), (3, "c", 2, 0.695))]
+    s = spark.createDataFrame(rows, "marker string, vectors string, control string, combo_no int, field_a string, field_b string, downsample int, dims string, projection string, auroc double")
+    assert [r["field_a"] for r in scoring.top_candidates(s).orderBy("place").collect()] == ["z", "a", "b", "c"]
+    assert [r["field_a"] for r in scoring.cheapest(s, ["marker"]).orderBy("combo_no").collect()] == ["z", "b"]
+
+
+def test_errors_where_nothing_can_be_compared(spark):
+    t = spark.createDataFrame([("ER", "A", "s1", "x"), ("ER", "B", "s2", "y")], "marker string, domain string, slide string, stem string")
+    with pytest.raises(ValueError, match="no source"):
+        pairing.holdout(t, 0.1, 7)
+    with pytest.raises(ValueError):
+        pairing.sampled(t, 7, sample="first")
+    with pytest.raises(ValueError):
+        persistence.projected_lists(F.col("d"), "height", 0)
+    costs = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 2.0)], "batch int, i int, j int, cost double")
+    reports.MOST_COSTS, was = 1, reports.MOST_COSTS
+    try:
+        with pytest.raises(ValueError, match="costs"):
+            reports.matched_loss(costs, "batch", "i", "j")
+    finally:
+        reports.MOST_COSTS = was
+
+
 def test_auroc_counts_ties_half(spark):
     rows = spark.createDataFrame([(1, False, 1.0), (1, True, 2.0), (1, True, 1.0), (2, False, 3.0), (2, True, 1.0)], "k int, w boolean, v double")
     got = {r["k"]: r["auroc"] for r in scoring.auroc(rows, ["k"], "v", "w").collect()}
