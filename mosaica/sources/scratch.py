@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether shuffle files go at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where none is set, a private one in local mode and an error on a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -25,17 +29,18 @@ def _tables(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors go."""
-    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """stored(), and the shuffle files that made it may go at once: Spark removes them when the driver's JVM collects the plan that names them."""
-    out = stored(df)
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
-    return out
+    """df, written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors go.
+
+    The shuffle files that made it are removed as soon as it is written.
+    """
+    spark, path = df.sparkSession, f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
