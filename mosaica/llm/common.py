@@ -6,15 +6,15 @@ blocks whose size is fixed by a parameter, never by the data.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaica.sources.scratch import shared_dir, stored  # noqa: F401
+
 #: Rows of one Arrow batch between the JVM and Python. Texts can be long, so batches are short.
 ARROW_ROWS = 512
 #: Members of a block that one task compares with another block of this size.
@@ -26,18 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, and a checkpoint folder: the cluster's, or a private one where none is set."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """The session with Arrow batches of at most ARROW_ROWS rows and a checkpoint folder."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    shared_dir(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    ready(spark)
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-
 def free(df: DataFrame, name: str) -> str:
     """name, or that with underscores before it, so that no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -46,39 +41,52 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def skew_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows joined with groups, which has one row for each key.
 
-    Both sides are dealt by an exchange of this join alone (the hash column keeps Spark from reusing
-    the partitioning of the aggregate that made `groups`), so adaptive execution can split the
-    partition of a hot key and copy the one matching row.
+    Both sides are dealt by an exchange of this join alone (a column made from the keys keeps Spark from
+    reusing the partitioning of the aggregate that made `groups`; it is short, as it travels with every row),
+    so adaptive execution can split the partition of a hot key and copy the one matching row.
     """
-    mark = F.xxhash64(*on)
+    mark = F.xxhash64(*on).bitwiseAND(F.lit(127)).cast("tinyint")
     return rows.withColumn("_mark", mark).join(groups.withColumn("_mark", mark), ["_mark", *on], how).drop("_mark")
 
 
 class Memo(dict):
-    """make(key) for each key, remembered; when `most` keys are held, it starts again. memo.__getitem__ is quick to map."""
+    """make(key) for each key, remembered if the key is not longer than `longest`; when `most` keys are held, it starts again.
+
+    So it holds a fixed number of bytes at most. memo.__getitem__ is quick to map.
+    """
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
+def per_text(make: Callable[[], Callable[[bytes], object]], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of texts (null: empty bytes). make() gives, once for each task, what maps the bytes of a text to a value.
+
+    Only the texts go to Python and only the values come back; the other columns of the rows wait in the JVM. It counts as not
+    deterministic so that a filter on it does not run it a second time.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = make()
+        for texts in batches:
+            yield pa.array([fn(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], arrow)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """df through fn, one Arrow batch at a time; fn may return a dict of columns."""
 
