@@ -1,13 +1,17 @@
 """Quality classifier with a weak-label model.
 
-Heuristic labellers vote good (1), bad (0) or abstain (-1) on each text. How often each combination of
-votes occurs is counted over all documents; expectation-maximisation over these counts estimates each
-labeller's accuracy and the share of good documents, without any label. The posterior of a document's
-votes then labels a bounded sample, on which a hashed linear scorer is trained; the scorer alone judges.
+Heuristic labellers vote good (1), bad (0) or abstain (-1) on each text. Several look for the same kind of
+fault, so their votes depend on each other; given the kind of fault they are taken not to. The classes are
+therefore good documents and one class for each kind of fault. How often each combination of votes occurs is
+counted over all documents; expectation-maximisation over these counts estimates how often each labeller
+says bad in each class, and so its accuracy, and the share of each class, without any label. The posterior
+of a document's votes then labels a bounded sample, on which a hashed linear scorer is trained; the scorer
+alone judges.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,43 +22,38 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import Memo, free, map_batches, ready, stored
+from mosaica.llm.common import Memo, map_batches, per_text, ready, stored
 
-#: Documents that the scorer is trained on (an expected number: rows are drawn by a hash), and hashed features.
+#: Different texts that the scorer is trained on (an expected number: texts are drawn by a hash), and hashed features.
 SAMPLE, BUCKETS = 12_000, 512
 #: Score from which a document is kept.
-KEEP = 0.3
+KEEP = 0.5
 #: Distinct words whose features a worker remembers; when full, it starts again.
-MEMO = 200_000
+MEMO = 100_000
 
 _SYMBOLS = b"#$%&*<>\\^`{|}~!"
 _MARKS = {bytes([c]) for c in _SYMBOLS}
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
+_run = re.compile(rb"(.)\1+", re.DOTALL)
 _SHAPE = bytes(b"A"[0] if 65 <= i <= 90 else b"a"[0] if 97 <= i <= 122 or i > 127 else b"0"[0] if 48 <= i <= 57 else i for i in range(256))
 
 
 def shape(word: bytes) -> bytes:
-    """A word with its letters, capitals and digits each as one sign, runs of a sign as one; 24 bytes of it count."""
-    out = bytearray()
-    for c in word[:24].translate(_SHAPE):
-        if not out or c != out[-1]:
-            out.append(c)
-    return bytes(out)
+    """A word with its letters, capitals and digits each as one sign, runs of a sign as one."""
+    return _run.sub(rb"\1", word.translate(_SHAPE))
 
 
 class Words:
     """What is known of each word of a text: hashed shape, number (for equality), and whether it is bare or decorated."""
 
     def __init__(self):
-        self.number = 0
         self.memo = Memo(self._know, MEMO)
 
     def _know(self, w: bytes) -> int:
-        self.number = (self.number + 1) % (1 << 40)
         bare = not w.translate(None, _SYMBOLS + b".,;:-")
         decorated = w[-1:] in _MARKS and w[-2:-1] == w[-1:]
-        return self.number << 20 | xxhash.xxh32_intdigest(shape(w)) % (BUCKETS // 2) << 2 | bare << 1 | decorated
+        return xxhash.xxh64_intdigest(w) >> 24 << 20 | xxhash.xxh32_intdigest(shape(w)) % (BUCKETS // 2) << 2 | bare << 1 | decorated
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
@@ -76,17 +75,18 @@ def rates(text: bytes, words: list[bytes], known: np.ndarray) -> list[float]:
     ]
 
 
-#: For each rate the bounds of the good range and of the bad one; between them the labeller abstains. The fifth needs 50 words.
+#: Each labeller with the kind of fault it looks for, and its vote from the rates and the number of words: good, bad, or between the two bounds none.
 RULES = [
-    ("symbols", lambda r, n: 1 if r[0] < 0.01 else 0 if r[0] > 0.03 else -1),
-    ("capitals", lambda r, n: 1 if r[1] < 0.15 else 0 if r[1] > 0.4 else -1),
-    ("bare_symbols", lambda r, n: 1 if r[2] < 0.02 else 0 if r[2] > 0.1 else -1),
-    ("repeats", lambda r, n: 1 if r[3] < 0.03 else 0 if r[3] > 0.15 else -1),
-    ("variety", lambda r, n: -1 if n < 50 else 0 if r[4] < min(0.2, 10 / n) else 1 if r[4] > 0.3 else -1),
-    ("decorated", lambda r, n: 1 if r[6] < 0.02 else 0 if r[6] > 0.1 else -1),
-    ("letters", lambda r, n: 1 if r[7] > 0.9 else 0 if r[7] < 0.8 else -1),
-    ("word_length", lambda r, n: 0 if r[5] > 25 or (n > 20 and r[5] < 2) else -1),
+    ("symbols", "symbols", lambda r, n: 1 if r[0] < 0.01 else 0 if r[0] > 0.03 else -1),
+    ("capitals", "capitals", lambda r, n: 1 if r[1] < 0.15 else 0 if r[1] > 0.4 else -1),
+    ("bare_symbols", "symbols", lambda r, n: 1 if r[2] < 0.02 else 0 if r[2] > 0.1 else -1),
+    ("repeats", "repetition", lambda r, n: 1 if r[3] < 0.03 else 0 if r[3] > 0.15 else -1),
+    ("variety", "repetition", lambda r, n: -1 if n < 50 else 0 if r[4] < min(0.2, 10 / n) else 1 if r[4] > 0.3 else -1),
+    ("decorated", "symbols", lambda r, n: 1 if r[6] < 0.02 else 0 if r[6] > 0.1 else -1),
+    ("letters", "symbols", lambda r, n: 1 if r[7] > 0.9 else 0 if r[7] < 0.8 else -1),
+    ("word_length", "word_length", lambda r, n: 0 if r[5] > 25 or (n > 20 and r[5] < 2) else 1 if 3 <= r[5] <= 12 else -1),
 ]
+KINDS = [k for _, k, _ in RULES]
 
 
 def votes(text: bytes, know: Words) -> list[int]:
@@ -95,52 +95,51 @@ def votes(text: bytes, know: Words) -> list[int]:
     if not words:
         return [-1] * len(RULES)
     r = rates(text, words, know(words))
-    return [rule(r, len(words)) for _, rule in RULES]
+    return [rule(r, len(words)) for _, _, rule in RULES]
 
 
 @dataclass
 class WeakLabels:
-    """share: of good documents; says[j][y][v]: how often labeller j, when it votes, votes v (bad, good) on a document of class y.
+    """share[c] of the documents is of class c (0: good, then one for each kind of fault); bad[c][j]: how often labeller j, when it votes, says bad there.
 
     An abstention says nothing.
     """
 
-    share: float
-    says: np.ndarray
+    share: np.ndarray
+    bad: np.ndarray
+
+    def classes(self, v: np.ndarray) -> np.ndarray:
+        """The probability of each class for each row of votes."""
+        odds = np.log(self.share) + (v == 0) @ np.log(self.bad.T) + (v == 1) @ np.log(1 - self.bad.T)
+        p = np.exp(odds - odds.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """Probability of good for each row of votes."""
-        odds = np.log(self.share / (1 - self.share)) + sum(np.append(np.log(self.says[j][1] / self.says[j][0]), 0)[v[:, j]] for j in range(v.shape[1]))
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return self.classes(v)[:, 0]
 
     def accuracy(self) -> np.ndarray:
-        """For each labeller how often it is right when it votes."""
-        return (1 - self.share) * self.says[:, 0, 0] + self.share * self.says[:, 1, 1]
-
-
-#: How often labellers that vote are first taken to say bad and good, on bad and on good documents: they seldom call good ones bad.
-FIRST = np.array([[0.5, 0.5], [0.005, 0.995]])
-
-
-#: The largest share of good documents that a labeller may call bad; without it, labellers that fire together
-#: become the bad class and a rarer kind of bad document counts as the error of its labellers.
-FALSE_BAD = 0.002
-#: The largest share of bad documents that a labeller may be taken to call bad. Each looks for faults of one kind, and
-#: several look for the same, so a good vote says little: it only means that this fault isn't there.
-MOST_SEEN = 0.3
-
-
-def fit_labels(v: np.ndarray, n: np.ndarray, rounds: int = 100) -> WeakLabels:
-    """EM over distinct vote rows v with counts n, from FIRST and a share of 0.8; rates are smoothed by one vote each."""
-    model = WeakLabels(0.8, np.repeat(FIRST[None], v.shape[1], 0))
-    for _ in range(rounds):
-        p = model.posterior(v)
-        says = np.array([[[(w * (v[:, j] == x)).sum() + 1 for x in (0, 1)] for w in ((1 - p) * n, p * n)] for j in range(v.shape[1])])
-        says /= says.sum(2, keepdims=True)
-        says[:, 0] = np.stack([low := np.minimum(says[:, 0, 0], MOST_SEEN), 1 - low], 1)
-        says[:, 1] = np.stack([low := np.minimum(says[:, 1, 0], FALSE_BAD), 1 - low], 1)
-        done = np.abs(says - model.says).max() < 1e-9
-        model = WeakLabels(float(np.clip(((p * n).sum() + 4) / (n.sum() + 5), 0.01, 0.99)), says)
+        """For each labeller how often it is right when it votes, on good documents and those with any fault."""
+        return self.share @ np.vstack([1 - self.bad[:1], self.bad[1:]])
+
+
+#: Where EM starts, which names the classes: how often labellers say bad on good documents, on those with their fault, and on those with an other.
+#: These rates also count as PRIOR votes each, so that no rate is 0 or 1; more votes outweigh them.
+ON_GOOD, ON_OWN, ON_OTHER, PRIOR = 0.005, 0.5, 0.02, 10.0
+#: The share of good documents that EM starts from.
+GOOD = 0.8
+
+
+def fit_labels(v: np.ndarray, n: np.ndarray, kinds: list[str] = KINDS, rounds: int = 300) -> WeakLabels:
+    """EM over distinct vote rows v (a column for each labeller, which looks for the fault named in kinds) with counts n."""
+    names = list(dict.fromkeys(kinds))
+    first = np.array([[ON_GOOD] * len(kinds)] + [[ON_OWN if k == name else ON_OTHER for k in kinds] for name in names])
+    model = WeakLabels(np.array([GOOD] + [(1 - GOOD) / len(names)] * len(names)), first)
+    for _ in range(rounds if len(v) else 0):
+        w = model.classes(v) * n[:, None]
+        bad = (w.T @ (v == 0) + PRIOR * first) / (w.T @ (v >= 0) + PRIOR)
+        done = np.abs(bad - model.bad).max() < 1e-9
+        model = WeakLabels((w.sum(0) + 1) / (w.sum() + w.shape[1]), bad)
         if done:
             break
     return model
@@ -177,28 +176,28 @@ def weak_labels(docs: DataFrame, text: str = "text") -> WeakLabels:
         know = Words()
         for batch in batches:
             if batch.num_rows:
-                v = np.array([votes(t or b"", know) for t in batch.column(0).to_pylist()], np.int32)
+                v = np.array([votes(t.as_py() or b"", know) for t in batch.column(0)], np.int32)
                 seen, n = np.unique(v, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(seen[:, j]) for j in range(len(names))), pa.array(n)], names=[*names, "n"])
 
     counts = docs.select(F.col(text).cast("binary")).mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", n long")
     rows = counts.groupBy(*names).agg(F.sum("n")).collect()  # at most 3 ** labellers rows
-    if not rows:
-        return WeakLabels(0.8, np.repeat(FIRST[None], len(names), 0))
-    v = np.array([r[:-1] for r in rows])
-    return fit_labels(v, np.array([r[-1] for r in rows], float))
+    return fit_labels(np.array([r[:-1] for r in rows]).reshape(-1, len(names)), np.array([r[-1] for r in rows], float))
 
 
 def train(docs: DataFrame, labels: WeakLabels, text: str = "text", sample: int = SAMPLE) -> Scorer:
-    """The scorer, trained on the posteriors of about `sample` texts; each counts as good and as bad by its posterior."""
-    spark = ready(docs.sparkSession)
-    n = docs.count()
+    """The scorer, trained on the posteriors of about `sample` different texts; each counts as good and as bad by its posterior.
+
+    Texts are drawn by their hash, and copies of a text count once, whatever the size of docs.
+    """
+    ready(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    n = texts.agg(F.approx_count_distinct(F.xxhash64("t"), 0.02)).first()[0]
     share = min(1.0, sample / max(n, 1))
-    drawn = docs.select(F.col(text).cast("binary").alias("t")).where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    drawn = drawn.dropDuplicates(["t"]) if share == 1.0 else drawn
+    drawn = texts.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1 << 40)) <= int(share * (1 << 40))).dropDuplicates(["t"])
 
     def run(batch: pa.RecordBatch) -> dict:
-        know, texts = Words(), [t or b"" for t in batch.column(0).to_pylist()]
+        know, texts = Words(), batch.column(0).to_pylist()
         p = labels.posterior(np.array([votes(t, know) for t in texts]))
         return {"p": pa.array(p), "x": pa.array([hashed(t, know) for t in texts], pa.list_(pa.float64()))}
 
@@ -211,33 +210,21 @@ def train(docs: DataFrame, labels: WeakLabels, text: str = "text", sample: int =
     return Scorer(model.coefficients.toArray(), float(model.intercept))
 
 
-def judge(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """docs (every column) with `quality_score` double; columns of that name are replaced. A text without words (null, empty, blank) scores 0."""
-    docs = docs.drop("quality_score")
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def quality_score(scorer: Scorer):
+    """A column function: the scorer's opinion (0..1) of a whole text; 0 for one without words (null, empty, blank)."""
 
-    def run(batches):
+    def make():
         know = Words()
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(len(names)).to_pylist()]
-            got = [scorer.score(hashed(t, know)) if t.strip() else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names=[*names, "quality_score"])
+        return lambda t: scorer.score(hashed(t, know)) if t.strip() else 0.0
 
-    return docs.withColumn(free(docs, "_t"), F.col(text).cast("binary")).mapInArrow(run, f"{fields}, quality_score double")
+    return per_text(make, "double", pa.float64())
 
 
-def classify(docs: DataFrame, text: str = "text", keep: float = KEEP, columns: list[str] | None = None) -> DataFrame:
-    """docs, or their `columns`, with `quality_score` (0..1, higher: better) and `kept` (score >= keep): one row for each row.
+def classify(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """docs with `quality_score` (0..1, higher: better) and `kept` (score >= keep): one row for each row.
 
-    Texts without words score 0 and are not kept. Repeated rows score alike. Clashing columns are
-    replaced. An empty table gives no rows.
+    Texts without words (null, empty, blank) score 0 and are not kept. Repeated rows score alike. Columns of docs with
+    these two names are replaced. An empty table gives no rows.
     """
-    labels = weak_labels(docs, text)
-    scorer = train(docs, labels, text)
-    if columns:
-        own = free(docs, "_text")
-        scored = judge(docs.select(*columns, F.col(text).alias(own)), scorer, own).drop(own)
-    else:
-        scored = judge(docs, scorer, text)
-    return scored.withColumn("kept", F.col("quality_score") >= keep)
+    scorer = train(docs, weak_labels(docs, text), text)
+    return docs.drop(*({"quality_score", "kept"} - {text})).withColumn("quality_score", quality_score(scorer)(F.col(text))).withColumn("kept", F.col("quality_score") >= keep)

@@ -38,7 +38,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "kept")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
