@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import Memo, map_batches, ready
+from mosaica.llm.common import Memo, free, per_text, ready
 
-#: Pieces and pairs that a worker remembers; when full, it starts again. A matter of speed alone.
-MEMO = 400_000
+#: Pieces and pairs that a worker remembers; when full, it starts again. A matter of speed alone: some 40 MB each at most.
+MEMO = 200_000
 #: Pieces up to SHORT bytes share one store of prefixes, so a word is only worked on from where it leaves all words before.
-SHORT, PREFIXES = 48, 600_000
+SHORT, PREFIXES = 48, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +90,7 @@ class PrefixBPE:
         self.ids = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs = Memo(self._fits, MEMO)
+        self._pairs = Memo(self._fits, MEMO)  # keys are pairs of ids
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.last: dict[bytes, int] = {}
 
@@ -165,7 +166,6 @@ class Tokenizer:
     def __init__(self, path: str, pattern: str):
         self.bpe, self.pattern = PrefixBPE(load_ranks(path)), regex.compile(pattern)
         self.memo = Memo(lambda p: tuple(self.bpe.encode(p.encode("utf-8", "surrogatepass"))), MEMO)
-        self.text_of = {i: str(i) for i in self.bpe.bytes_of}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(text))))
@@ -174,62 +174,76 @@ class Tokenizer:
         return self.bpe.decode(ids)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     """One for each worker process."""
     return Tokenizer(path, pattern)
 
 
+def _columns(path: str, pattern: str, kind: str, arrow: pa.DataType, value):
+    """A column function of texts: value(tokenizer, text) of each."""
+
+    def make():
+        t = tokenizer(path, pattern)
+        return lambda b: value(t, b.decode("utf-8", "surrogatepass"))
+
+    return per_text(make, kind, arrow)
+
+
+def _ids(t: Tokenizer, text: str) -> np.ndarray:
+    return np.array(t.encode(text), np.int32)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs (every column) with `ids` array<int>, the tokens of the whole text. Null texts count as empty: no ids.
 
     `path` must name a file that every executor can open, such as one installed with a package. A column
-    `ids` that docs already has is replaced.
+    `ids` that docs already has is replaced, unless it is the text. Each row, repeated ones too, is encoded by itself;
+    an empty table gives no rows.
     """
     ready(docs.sparkSession)
-    docs = docs.drop("ids") if text != "ids" else docs
-    names, at = docs.columns, docs.columns.index(text)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = tokenizer(path, pattern)
-        ids = pa.array([np.array(t.encode(x.as_py() or ""), np.int32) for x in batch.column(at)], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "ids"])
-
-    return map_batches(docs, run, f"{fields}, ids array<int>")
+    return docs.withColumn("ids", _columns(path, pattern, "array<int>", pa.list_(pa.int32()), _ids)(F.col(text)))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """rows with `decoded` binary, the bytes of their ids; null ids give null."""
+    """rows (every column) with `decoded` binary, the bytes of their ids; null ids give null, empty ones no bytes. A column `decoded` is replaced.
+
+    Repeated rows are decoded alike; an empty table gives no rows.
+    """
     ready(rows.sparkSession)
-    rows = rows.drop("decoded")
-    names, at = rows.columns, rows.columns.index(ids)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(path, pattern)
-        out = [None if not x.is_valid else t.decode(x.values.to_numpy().tolist()) for x in batch.column(at)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+        for batch in batches:
+            yield pa.array([None if not x.is_valid else t.decode(x.values.to_numpy().tolist()) for x in batch], pa.binary())
+
+    return rows.withColumn("decoded", F.arrow_udf(run, "binary")(F.col(ids)))
 
-    return map_batches(rows, run, f"{fields}, decoded binary")
+
+def tokenized(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs (every column) with `ids` as encode() gives them and `exact`: whether they decode to the bytes of the text. One pass for both."""
+    ready(docs.sparkSession)
+
+    def value(t: Tokenizer, s: str) -> dict:
+        ids = t.encode(s)
+        return {"ids": np.array(ids, np.int32), "exact": t.decode(ids) == s.encode("utf-8", "surrogatepass")}
+
+    both, own = pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())]), free(docs, "_both")
+    rows = docs.withColumn(own, _columns(path, pattern, "struct<ids: array<int>, exact: boolean>", both, value)(F.col(text)))
+    return rows.withColumns({"ids": F.col(own)["ids"], "exact": F.col(own)["exact"]}).drop(own)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encode, hash, decode and hash in one pass,
-    so that no ids travel between the JVM and Python. Same tokens as encode() and decode()."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, repeated ones too: encode, hash, decode and hash in one pass,
+    so that no ids travel between the JVM and Python. Same tokens as encode() and decode(). Null texts count as empty;
+    an empty table gives no rows."""
     ready(docs.sparkSession)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = tokenizer(path, pattern)
-        n, ids_hex, text_hex = [], [], []
-        for x in batch.column(1):
-            ids = t.encode(x.as_py() or "")
-            n.append(len(ids))
-            ids_hex.append(hashlib.sha256(" ".join(map(t.text_of.__getitem__, ids)).encode()).hexdigest())
-            text_hex.append(hashlib.sha256(t.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def value(t: Tokenizer, s: str) -> dict:
+        ids = t.encode(s)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        return {"n": len(ids), "ids": sha(" ".join(map(str, ids)).encode()), "text": sha(t.decode(ids))}
+
+    kind = pa.struct([("n", pa.int64()), ("ids", pa.string()), ("text", pa.string())])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _columns(path, pattern, "struct<n: long, ids: string, text: string>", kind, value)(F.col(text)).alias("d"))
+    return rows.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.ids").alias("ids_sha256"), F.col("d.text").alias("decoded_sha256"))
