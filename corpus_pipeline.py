@@ -49,8 +49,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, exact): the tokens of each text, and whether they decode to it."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    rows = bpe.tokenized(docs.select("doc_id", "text"), path, pattern)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
