@@ -1,41 +1,46 @@
 """SimHash near-dedup over pivot distance tables.
 
-The reference fingerprints (pivots) are the zero fingerprint and, for each block of 16 bits, the 16
-fingerprints whose first 1..16 bits of that block are set. A row's table holds its Hamming distance to
-each. Changing a bit moves each distance by one, so
-
-* two fingerprints within `radius` differ in no coordinate by more than `radius` (the triangle inequality), and
-* the differences between a block's coordinates and the zero pivot's coordinate change only if a bit of
-  that block does. With radius 2 and 4 blocks at least two blocks keep theirs.
-
-So pairs that share the coordinates of two blocks are the candidates (an equi-join on six keys a row,
-not a comparison of all pairs), those whose tables differ by more than `radius` somewhere are dropped,
-and the rest are verified by their Hamming distance. Nothing within the radius is lost.
+The reference fingerprints (pivots) are the 64 words of a Hadamard code. A row's table holds its Hamming
+distance to each. By the triangle inequality two fingerprints within `radius` differ in no coordinate by
+more than `radius`, so pairs are discarded by their largest coordinate difference.
+
+Pairs that differ too much in the first coordinates are never made: each of these coordinates is cut in two
+where it splits the table best, and the sides of all cuts name a row's cell. A row whose coordinate lies
+within the radius of a cut stands on both sides, so each pair within the radius meets in a cell. As many
+coordinates are cut as bring a cell to about CELL rows; the codewords are as different as can be, so cuts
+halve cells independently of each other. Within a cell, pairs are discarded coordinate by coordinate over
+the whole table, and survivors are verified by their Hamming distance. Nothing within the radius is lost.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import block_pairs, components, forest, grouped, map_batches, ready, skew_join, stored
+from mosaica.llm.common import block_pairs, components, forest, grouped, map_batches, per_text, ready, skew_join, stored
 
-BLOCKS, WIDTH = 4, 16
 RADIUS = 2
+#: Rows that a cell should hold; a cut whose larger side keeps more than WORST of the rows is not made.
+CELL, WORST = 128, 0.9
 SHINGLE = 3
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs little memory.
 STEP = 1 << 16
 
 
-def pivots() -> list[int]:
-    """The reference fingerprints: zero, then for each block its first 1..16 bits."""
-    return [0] + [((1 << t) - 1) << (WIDTH * g) for g in range(BLOCKS) for t in range(1, WIDTH + 1)]
+def pivots() -> np.ndarray:
+    """The reference fingerprints: bit b of the k-th is the parity of the ones that k and b share."""
+    k = np.arange(64, dtype=np.uint64)
+    bits = np.bitwise_count(k[:, None] & k) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def distances(x: np.ndarray) -> np.ndarray:
+    """The table of fingerprints: a row for each, a column for each pivot."""
+    return np.bitwise_count(x[:, None] ^ pivots()).astype(np.int8)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -60,36 +65,65 @@ def fingerprint(text: bytes | None) -> int:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `fp` (long: the fingerprint's 64 bits) instead of the text. Null texts count as empty."""
     ready(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", fp long"
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t.as_py()) for t in batch.column(len(rest))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*rest, "fp"])
 
-    return map_batches(docs.select(*rest, F.col(text).cast("binary")), run, schema)
+    def make():
+        return lambda t: int(np.uint64(fingerprint(t)).view(np.int64))
 
+    return docs.withColumn("fp", per_text(make, "long", pa.int64())(F.col(text))).drop(text)
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def cuts(counts: np.ndarray, radius: int, cell: int = CELL) -> list[tuple[int, int]]:
+    """(pivot, cut) of the coordinates to cut, best first, from how many rows have each distance (a row of counts for each pivot).
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a spanning forest, block by block, of all pairs of distinct fingerprints within the radius (at most 2)."""
-    if not 0 <= radius <= 2:
-        raise ValueError("two of four blocks stay equal only up to a radius of 2")
-    refs = np.array(pivots(), np.uint64)
-    fps = fps.select("fp").distinct()
-    dist = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))) for p in pivots()]
-    sig = [F.array(*[dist[1 + g * WIDTH + t] - dist[0] for t in range(WIDTH)]) for g in range(BLOCKS)]
-    tables = fps.select("fp", *[s.alias(f"s{g}") for g, s in enumerate(sig)])
-    keys = [F.xxhash64(F.lit(n), F.col(f"s{g}"), F.col(f"s{k}")) for n, (g, k) in enumerate(combinations(range(BLOCKS), 2))]
-    dealt = block_pairs(tables.select("fp", F.explode(F.array(*keys)).alias("key")), "key", "fp")
+    A row at distance d stands on the lower side if d <= cut and on the upper one if d > cut - radius.
+    """
+    n = counts[0].sum()
+    below = np.cumsum(counts, 1)
+    above = n - np.concatenate([np.zeros((len(counts), radius), below.dtype), below[:, :-radius]], 1) if radius else n - below
+    share = np.maximum(below, above) / max(n, 1)
+    at = share.argmin(1)
+    out, rows = [], float(n)
+    for p in np.argsort(share.min(1), kind="stable"):
+        if rows <= cell or share[p, at[p]] > WORST:
+            break
+        out.append((int(p), int(at[p])))
+        rows *= share[p, at[p]]
+    return out
+
+
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of all pairs of distinct fingerprints within the radius."""
+    fps = stored(fps.select("fp").distinct())
+
+    def count(batches):
+        total = np.zeros((64, 65), np.int64)
+        for batch in batches:
+            d = distances(batch.column(0).to_numpy().view(np.uint64))
+            for p in range(64):
+                total[p] += np.bincount(d[:, p], minlength=65)
+        pivot, far = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pivot), pa.array(far), pa.array(total[pivot, far])], names=["pivot", "far", "n"])
+
+    counts = np.zeros((64, 65), np.int64)
+    for r in fps.mapInArrow(count, "pivot long, far long, n long").groupBy("pivot", "far").agg(F.sum("n").alias("n")).collect():  # at most 64 x 65 rows
+        counts[r["pivot"], r["far"]] = r["n"]
+    chosen = cuts(counts, radius, cell)
+
+    def deal(batch: pa.RecordBatch) -> dict:
+        x = batch.column(0).to_numpy()
+        d = distances(x.view(np.uint64))
+        row, key = np.arange(len(x)), np.ones(len(x), np.int64)
+        for pivot, cut in chosen:
+            low, high = np.flatnonzero(d[row, pivot] <= cut), np.flatnonzero(d[row, pivot] > cut - radius)
+            row, key = np.concatenate([row[low], row[high]]), np.concatenate([2 * key[low], 2 * key[high] + 1])
+        return {"key": pa.array(key), "fp": pa.array(x[row])}
+
+    dealt = block_pairs(map_batches(fps, deal, "key long, fp long"), "key", "fp")
 
     def run(batches):
         for _, lo, hi, fp, part in grouped(batches, 3):
             x = fp.view(np.uint64)
-            d = np.bitwise_count(x[:, None] ^ refs).astype(np.int16)
+            d = distances(x)
             left = np.flatnonzero(part == lo[0])
             right = np.flatnonzero(part == hi[0])
             near = np.abs(d[left, 0][:, None] - d[right, 0]) <= radius
