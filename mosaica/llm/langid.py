@@ -4,8 +4,8 @@ A language's profile is its most frequent character n-grams (n = 1..3) in rank o
 frequent n-grams are ranked the same way, and its distance to a profile is the sum of how far each n-gram
 is out of place (a fixed penalty if the profile lacks it). The nearest profile names the language.
 
-Letters are folded to lower case; any run of other characters is one boundary. The alphabet is learnt
-with the profiles: the SYMBOLS - 2 most frequent letters have a code each, others share one.
+Letters are folded to lower case; any run of other characters is one boundary. An n-gram is a 20-bit hash
+of its code points, so letters of all scripts count alike.
 """
 
 from __future__ import annotations
@@ -18,46 +18,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mosaica.llm.common import map_batches, ready
+from mosaica.llm.common import free, map_batches, per_text, ready
 
-#: N-grams in a profile, and codes of the alphabet (0: boundary, last: any other letter).
-TOP, SYMBOLS = 300, 64
-#: Labelled rows that profiles are learnt from (an expected number: rows are drawn by a hash), and the most languages.
-SAMPLE, MOST_LANGS = 20_000, 1000
-#: Code points handled at a time; counts of a longer text are added up.
+#: N-grams in a profile, and bits of an n-gram.
+TOP, BITS = 300, 20
+#: Labelled rows that profiles are learnt from (an expected number: rows are drawn by a hash), and the most languages; more are an error.
+SAMPLE, MOST_LANGS = 20_000, 10_000
+#: N-grams counted at a time.
 STEP = 1 << 20
 
-GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 _letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)]
 
 
 def lowered(text: str | None) -> np.ndarray:
-    """Code points, with 0 for all that isn't a letter."""
+    """Code points of a text, lower-cased, with a 0 for each run of what isn't a letter, and one at either end."""
     x = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(_letter[x], x, 0)
-
-
-def grams(points: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams (ids) of a text and their counts."""
-    if len(points) > STEP:
-        total = np.zeros(GRAMS, np.int64)
-        for at in range(0, len(points), STEP):
-            i, n = grams(points[max(0, at - 2) : at + STEP], code)
-            total[i] += n
-        i = np.flatnonzero(total)
-        return i, total[i]
-    x = code[points]
-    x = np.concatenate([[0], x, [0]]) if len(x) else x
-    x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))] if len(x) else x
-    x = x.astype(np.int64)
-    two = x[:-1] * SYMBOLS + x[1:]
-    three = two[:-1] * SYMBOLS + x[2:]
-    ids = np.concatenate([x[x > 0], two + SYMBOLS, three + SYMBOLS + SYMBOLS**2])
-    if len(ids) > 60_000:
-        n = np.bincount(ids, minlength=GRAMS)
-        i = np.flatnonzero(n)
-        return i, n[i]
-    return np.unique(ids, return_counts=True)
+    x = np.where(_letter[x], x, np.uint32(0))
+    x = np.concatenate([np.zeros(1, np.uint32), x, np.zeros(1, np.uint32)])
+    return x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
+
+
+def _hashed(x: np.ndarray, n: int) -> np.ndarray:
+    h = sum((x[i : len(x) - n + 1 + i] * _ODD[i] for i in range(n)), np.uint32(n))
+    return ((h ^ (h >> np.uint32(15))) * _ODD[3]) >> np.uint32(32 - BITS)
+
+
+def grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (hashes) of lowered() points and their counts; a boundary alone is none. Long texts are counted in steps, each n-gram once."""
+    total = np.zeros(1 << BITS, np.int64) if len(x) > STEP else None
+    for at in range(0, len(x), STEP):
+        part = x[at : at + STEP + 2]
+        ids = np.concatenate([_hashed(part[:STEP][part[:STEP] != 0], 1), _hashed(part[: STEP + 1], 2), _hashed(part, 3)])
+        if total is None:
+            return np.unique(ids, return_counts=True)
+        total += np.bincount(ids, minlength=1 << BITS)
+    i = np.flatnonzero(total)
+    return i, total[i]
 
 
 def ranked(ids: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -71,80 +68,80 @@ def ranked(ids: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 @dataclass
 class Profiles:
     langs: list[str]
-    letters: list[int]
     tops: list[np.ndarray]
 
     def __post_init__(self):
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[_letter] = SYMBOLS - 1
-        self.code[self.letters] = np.arange(1, len(self.letters) + 1)
-        self.rank = np.full((len(self.langs), GRAMS), -1, np.int16)
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *self.tops])).astype(np.int64)
+        self.place = np.full(1 << BITS, len(held), np.int32)  # the last column is of n-grams that no profile has
+        self.place[held] = np.arange(len(held))
+        self.rank = np.full((len(self.langs), len(held) + 1), -1, np.int16)
         for r, top in zip(self.rank, self.tops, strict=True):
-            r[top] = np.arange(len(top))
+            r[self.place[top]] = np.arange(len(top))
 
     def __reduce__(self):
-        return Profiles, (self.langs, self.letters, self.tops)
+        return Profiles, (self.langs, self.tops)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is 1 for a text in the very order of the profile, 0 if it shares no n-gram; ties to the first language."""
         points = lowered(text)
         if not self.langs or not points.any():
             return "und", 0.0
-        own = ranked(*grams(points, self.code))
-        r = self.rank[:, own].astype(np.int64)
+        own = ranked(*grams(points))
+        r = self.rank[:, self.place[own]].astype(np.int64)
         far = np.where(r < 0, TOP, np.abs(r - np.arange(len(own)))).sum(1)
         best = int(far.argmin())
         return self.langs[best], float(1 - far[best] / (TOP * len(own)))
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages of docs (rows with null text or lang don't count), from about `sample` rows drawn by a hash of `key`."""
+    """Profiles of the languages of docs, from about `sample` rows drawn by a hash of `key`.
+
+    Rows with a null text or lang don't count, texts without letters add nothing, repeated rows count each time. Without
+    rows there are no languages. More than MOST_LANGS languages are an error, as profiles go to every task.
+    """
     ready(docs.sparkSession)
     docs = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     share = min(1.0, sample / max(docs.count(), 1))
-    docs = docs.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("lang", "text")
-
-    def count_letters(batch: pa.RecordBatch) -> dict:
-        i, n = np.unique(np.concatenate([lowered(t.as_py()) for t in batch.column(1)]), return_counts=True)
-        return {"letter": pa.array(i.astype(np.int64)), "n": pa.array(n)}
+    docs = docs.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 40)) <= int(share * (1 << 40))).select("lang", "text")
 
     def count_grams(batch: pa.RecordBatch) -> dict:
-        by: dict[str, np.ndarray] = {}
+        by: dict[str, list] = {}
         for lg, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            i, n = grams(lowered(t.as_py()), code)
-            by.setdefault(lg, np.zeros(GRAMS, np.int64))[i] += n
-        some = [(lg, np.flatnonzero(v)) for lg, v in by.items()]
-        return {
-            "lang": pa.array([lg for lg, i in some for _ in range(len(i))], pa.string()),
-            "gram": pa.array(np.concatenate([i for _, i in some])),
-            "n": pa.array(np.concatenate([by[lg][i] for lg, i in some])),
-        }
-
-    letters = map_batches(docs, count_letters, "letter long, n long").where("letter > 0").groupBy("letter").agg(F.sum("n").alias("n"))
-    letters = [r["letter"] for r in letters.orderBy(F.desc("n"), "letter").limit(SYMBOLS - 2).collect()]
-    code = Profiles([], letters, []).code
+            if (x := lowered(t.as_py())).any():
+                by.setdefault(lg, []).append(grams(x))
+        langs, ids, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lg, found in by.items():
+            i, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            langs += [lg] * len(i)
+            ids.append(i.astype(np.int64))
+            counts.append(np.bincount(inverse, np.concatenate([f[1] for f in found])).astype(np.int64))
+        return {"lang": pa.array(langs, pa.string()), "gram": pa.array(np.concatenate(ids)), "n": pa.array(np.concatenate(counts))}
+
     counts = map_batches(docs, count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # a language has at most GRAMS rows
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # a language has at most 2 ** BITS rows
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP)
     by: dict[str, list] = {}
-    for r in top.orderBy("lang", "r").limit(TOP * MOST_LANGS).collect():
+    for r in top.orderBy("lang", "r").limit(TOP * MOST_LANGS + 1).collect():
         by.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(list(by), letters, [np.array(v) for v in by.values()])
+    if len(by) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    return Profiles(list(by), [np.array(v) for v in by.values()])
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs without the text, with `lang_pred` and `score`. Null texts and texts without a letter are `und`, score 0.
 
-    Other columns stay, but any named lang_pred or score are replaced. Every row is predicted by itself from its whole text.
+    Other columns stay, but any named lang_pred or score are replaced. Every row, repeated ones too, is predicted by itself
+    from its whole text; an empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shared.value.predict(t.as_py()) for t in batch.column(len(rest))]
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"]
-        )
+    def make():
+        return lambda t: dict(zip(("lang", "score"), shared.value.predict(t.decode("utf-8", "surrogatepass")), strict=True))
 
-    return map_batches(docs.select(*rest, text), run, f"{fields}lang_pred string, score double")
+    rest = [F.col(c) for c in docs.columns if c not in (text, "lang_pred", "score")]
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    own = free(docs, "_found")
+    rows = docs.select(*rest, per_text(make, "struct<lang: string, score: double>", kind)(F.col(text)).alias(own))
+    return rows.select(*rest, F.col(own)["lang"].alias("lang_pred"), F.col(own)["score"].alias("score"))
