@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import map_batches, ready, stored
+from mosaica.llm.common import per_text, ready, stored
 
-#: Labelled rows that all is learnt from (an expected number: rows are drawn by a hash), and lexicon entries.
-SAMPLE, LEXICON = 24_000, 4000
+#: Labelled rows that all is learnt from (an expected number: rows are drawn by a hash). It also bounds the lexicon.
+SAMPLE = 24_000
 #: Texts that must hold an entry, and how many times more likely a toxic text holds it.
 LEAST, RATIO = 8, 6.0
 PREFIX = 4
@@ -61,7 +61,7 @@ def _drawn(rows: DataFrame, key: str, sample: int) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
-    """Entries of labelled (text, label 0/1), each with its log odds; at most LEXICON words and as many word beginnings."""
+    """Entries of labelled (text, label 0/1), each with its log odds: words and word beginnings of at least LEAST toxic texts."""
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
     seen = labelled.select("label", tokens.alias("t")).select("label", "t", F.array_distinct(F.transform("t", lambda t: F.concat(F.substring(t, 1, PREFIX), F.lit("-")))).alias("p"))
     counts = seen.select("label", F.explode(F.concat("t", "p")).alias("t")).groupBy("t").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
@@ -70,21 +70,18 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
         return Lexicon({}, {})
     odds = F.log(((F.col("bad") + 0.5) / F.lit(float(total[0]))) / ((F.col("good") + 0.5) / F.lit(float(total[1]))))
     strong = counts.where(F.col("bad") >= LEAST).withColumn("w", odds).where(F.col("w") >= float(np.log(RATIO)))
-    rows = strong.orderBy(F.desc(F.col("w") * F.col("bad")), "t").limit(2 * LEXICON).collect()
+    rows = strong.select("t", "w").collect()  # each entry stands in LEAST texts of a bounded sample
     return Lexicon({r["t"]: r["w"] for r in rows if r["t"][-1] != "-"}, {r["t"][:-1]: r["w"] for r in rows if r["t"][-1] == "-"})
 
 
-def featured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """docs without the text, with `x` array<double>: FEATURES of the whole text; null texts count as empty."""
-    rest = [c for c in docs.columns if c not in (text, "x")]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+def features(spark: SparkSession, lexicon: Lexicon):
+    """A column function: FEATURES of a whole text; null texts count as empty."""
+    shared = spark.sparkContext.broadcast(lexicon)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [shared.value.features(t.as_py() or "") for t in batch.column(len(rest))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*rest, "x"])
+    def make():
+        return lambda t: shared.value.features(t.decode("utf-8", "surrogatepass"))
 
-    return map_batches(docs.select(*rest, text), run, f"{fields}x array<double>")
+    return per_text(make, "array<double>", pa.list_(pa.float64()))
 
 
 @dataclass
@@ -94,14 +91,20 @@ class Model:
     calibration: object
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """docs without the text, with `score` (0..1) and `predicted`; clashing columns are replaced."""
-        rows = featured(docs.drop("score", "predicted"), self.lexicon, text)
-        rest = [c for c in rows.columns if c != "x"]
+        """docs without the text, with `score` (0..1) and `predicted`: one row for each row; columns of these names are replaced.
+
+        Null and empty texts are scored like any other; repeated rows score alike; an empty table gives no rows.
+        """
+        ready(docs.sparkSession)
+        rest = [F.col(c) for c in docs.columns if c not in (text, "score", "predicted")]
+        # the columns of docs travel in one, so that they can't clash with those of the trees
+        rows = docs.select(F.struct(F.lit(0).alias("_none"), *rest).alias("row"), array_to_vector(features(docs.sparkSession, self.lexicon)(F.col(text))).alias("features"))
         if self.trees is None:
-            return rows.select(*rest, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-        raw = self.trees.transform(rows.withColumn("features", array_to_vector("x"))).select(*rest, vector_to_array("probability")[1].alias("_raw"))
-        out = self.calibration.transform(raw).select(*rest, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated"))).alias("score"))
-        return out.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+            scored = rows.select("row", F.lit(0.0).alias("score"))
+        else:
+            raw = self.trees.transform(rows).select("row", vector_to_array("probability")[1].alias("_raw"))
+            scored = self.calibration.transform(raw).select("row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated"))).alias("score"))
+        return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in (text, "score", "predicted")], "score", "predicted")
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -113,7 +116,8 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
     rows = stored(_drawn(rows, "key", sample)).repartition(8)
     lexicon = learn_lexicon(rows)
-    x = stored(featured(rows, lexicon)).withColumn("features", array_to_vector("x")).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(3)))
+    x = stored(rows.select("key", "label", features(rows.sparkSession, lexicon)(F.col("text")).alias("x")))
+    x = x.withColumn("features", array_to_vector("x")).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(3)))
     if x.select("fold", "label").distinct().count() < 6:
         return Model(lexicon, None, None)
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=1).fit(x.where("fold > 0").coalesce(4))
