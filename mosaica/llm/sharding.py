@@ -13,14 +13,12 @@ import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from mosaica.llm.common import ready, skew_join, stored
+from mosaica.llm.common import free, ready, stored
+from mosaica.operators.ordering import ranked
 
 #: Jobs of the average size for each shard; 2 * shards * FINE bounds what reaches the driver.
 FINE = 512
-#: Rows of a shard that are numbered together.
-NUMBERED = 200_000
 
 
 def schedule(jobs: list[tuple[int, str]], shards: int) -> dict[str, int]:
@@ -39,43 +37,23 @@ def shard(rows: DataFrame, group: str, size: str, order: list[str], shards: int
 
     Rows with an equal `group` (nulls count as one group) get one shard; loads in `size` (long, nulls
     count 0) are as equal as whole groups allow. `order` sorts slots; repeated rows get a slot each.
-    Columns of rows named shard or slot are replaced. An empty table gives no rows.
+    Columns of rows named shard or slot are replaced. An empty table gives no rows. Null and very large groups are groups
+    like any other; a group larger than a shard's share still stays together, so loads can then not be equal.
     """
     spark = ready(rows.sparkSession)
     names = [c for c in rows.columns if c not in ("shard", "slot", group)]
-    rows = rows.select(*names, F.sha2(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")), 256).substr(1, 32).alias("_key"))
-    groups = stored(rows.groupBy("_key").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_size")))
-    total = groups.agg(F.sum("_size")).first()[0] or 0
+    key, bundle, large, small, job = (free(rows, x) for x in ("_key", "_bundle", "_large", "_small", "_job"))
+    rows = rows.select(*names, F.sha2(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")), 256).substr(1, 32).alias(key))
+    groups = stored(rows.groupBy(key).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("size")))
+    total = groups.agg(F.sum("size")).first()[0] or 0
     limit = total // (shards * fine) + 1
-    bundle = F.concat(F.lit("z"), F.pmod(F.xxhash64("_key"), F.lit(shards * fine)).cast("string"))
-    big = F.col("_size") >= limit  # keys are hexadecimal, bundles start with z; at most shards * fine of these: each has that share of the total
-    jobs = groups.groupBy(F.when(big, F.col("_key")).otherwise(bundle).alias("_job")).agg(F.sum("_size").alias("_size"))
-    placed = schedule([(r["_size"], r["_job"]) for r in jobs.collect()], shards)
-    plan = spark.createDataFrame(list(placed.items()) or [("", 0)], "_job string, shard int")
+    of_key = F.concat(F.lit("z"), F.pmod(F.xxhash64(key), F.lit(shards * fine)).cast("string"))
+    big = F.col("size") >= limit  # keys are hexadecimal, bundles start with z; at most shards * fine of these: each has that share of the total
+    jobs = groups.groupBy(F.when(big, F.col(key)).otherwise(of_key).alias("job")).agg(F.sum("size").alias("size"))
+    placed = schedule([(r["size"], r["job"]) for r in jobs.collect()], shards)
+    plan = spark.createDataFrame(list(placed.items()) or [("", 0)], f"{job} string, shard int")
     # the plan has at most 2 * shards * fine rows of two short fields, so both joins may broadcast it
-    small = F.broadcast(plan.where(F.col("_job").startswith("z")).withColumnRenamed("shard", "_s1").withColumnRenamed("_job", "_b"))
-    large = F.broadcast(plan.where(~F.col("_job").startswith("z")).withColumnRenamed("shard", "_s2").withColumnRenamed("_job", "_k"))
-    dealt = (
-        rows.withColumn("_b", bundle)
-        .join(large, F.col("_key") == F.col("_k"), "left")
-        .join(small, "_b", "left")
-        .select(*names, F.coalesce("_s2", "_s1").alias("shard"))
-    )
-    return numbered(dealt, "shard", "slot", order)
-
-
-def numbered(rows: DataFrame, by: str, slot: str, order: list[str]) -> DataFrame:
-    """rows with `slot`: 0, 1, ... in each value of `by`, without putting all rows of a value in one task.
-
-    Rows of a value are dealt by a hash of `order` into parts of about NUMBERED rows; each part is
-    numbered by itself and starts where the parts before it end.
-    """
-    rows = stored(rows)
-    most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    parts = max(8, -(-most // NUMBERED))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    sums = rows.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    start = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(by, "_part", F.coalesce(start, F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1
-    return skew_join(rows.withColumn("_local", local), starts, [by, "_part"]).withColumn(slot, (F.col("_start") + F.col("_local")).cast("long")).drop("_part", "_local", "_start")
+    of_bundle = F.broadcast(plan.where(F.col(job).startswith("z")).select(F.col(job).alias(bundle), F.col("shard").alias(small)))
+    of_group = F.broadcast(plan.where(~F.col(job).startswith("z")).select(F.col(job).alias(key), F.col("shard").alias(large)))
+    dealt = rows.withColumn(bundle, of_key).join(of_group, key, "left").join(of_bundle, bundle, "left").select(*names, F.coalesce(large, small).alias("shard"))
+    return ranked(dealt, order, "slot", ["shard"])
