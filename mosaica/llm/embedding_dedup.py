@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from mosaica.llm.common import BLOCK, components, forest, grouped, ready, skew_join, stored
 
@@ -25,8 +26,9 @@ from mosaica.llm.common import BLOCK, components, forest, grouped, ready, skew_j
 SAMPLE = 20_000
 #: Share of neighbours at the threshold that the traversal is to reach from one side.
 RECALL = 0.999
-#: Vectors of a label that a cell should hold on average, and the largest codebook.
-PER_CELL, MOST_WORDS = 64, 256
+#: Vectors of a label that a cell should hold on average, and the largest codebook (the sample has ten vectors for each of its words).
+#: Cells keep that size up to PER_CELL * MOST_WORDS ** 2 (268 million) vectors of a label; beyond, they grow.
+PER_CELL, MOST_WORDS = 64, 2048
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -92,6 +94,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _number(kind: DataType) -> str:
+    """float where the components are: they travel as they are, and are compared as doubles."""
+    return "float" if kind.simpleString() == "float" else "double"
+
+
 def usable(vector: F.Column) -> F.Column:
     """Whether a vector can link: not null, no null or non-finite component, not all zero."""
     ok = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
@@ -125,9 +132,9 @@ def near_duplicates(
     with equal ids each keep their row. An empty table gives no rows.
     """
     ready(rows.sparkSession)
-    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast(f"array<{_number(rows.schema[vector].dataType.elementType)}>").alias("v"))
     ok = F.col("label").isNotNull() & usable(F.col("v"))
-    keyed = rows.select("vec_id", "label", "v", F.when(ok, F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))).alias("node"))
+    keyed = rows.select("vec_id", "label", "v", F.when(ok, F.xxhash64("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))).alias("node"))
     keyed = stored(keyed)
     classes = keyed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = stored(classes)
@@ -165,7 +172,7 @@ def _verified(classes: DataFrame, index: MultiIndex, cosine: float, block: int)
             node, lab, n, v = (batch.column(i) for i in range(4))
             if not batch.num_rows:
                 continue
-            x = _unit(v.values.to_numpy().reshape(-1, width))
+            x = _unit(v.values.to_numpy().reshape(-1, width).astype(float))
             cells, far = index.borders(x)
             own = cells[0] * words + cells[1]
             seen = [index.visits(far, q) for q in range(len(x))]
@@ -177,7 +184,7 @@ def _verified(classes: DataFrame, index: MultiIndex, cosine: float, block: int)
             )
 
     kind = classes.schema["label"].dataType.simpleString()
-    dealt = classes.where(F.size("v") == width).select("node", "label", "n", "v").mapInArrow(deal, f"label {kind}, cell long, home boolean, node long, n long, v array<double>")
+    dealt = classes.where(F.size("v") == width).select("node", "label", "n", "v").mapInArrow(deal, f"label {kind}, cell long, home boolean, node long, n long, v {classes.schema['v'].dataType.simpleString()}")
     dealt = stored(dealt.withColumn("key", F.xxhash64("label", "cell")))
     # a cell's members are compared with its visitors, in parts of at most about `block` rows each
     counts = dealt.groupBy("key").agg(F.count_if("home").alias("_h"), F.count(F.lit(1)).alias("_q")).where("_h > 0 and _q > 1")
