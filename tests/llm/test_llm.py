@@ -215,7 +215,7 @@ def test_extents_against_all_intervals():
         a[: c - 25] ^= np.uint64(0x5555 << 40)
         a[c + 40 :] ^= np.uint64(0x3333 << 40)
         k = c if cut > 80 else c + t % 4 - t % 3
-        x, y = (np.frombuffer(substring.context(h, p), np.uint16)[None] for h, p in ((a, c), (b, k)))
+        x, y = (substring.contexts(h, np.array([p])) for h, p in ((a, c), (b, k)))
         sa, sb = substring.tokens(a), substring.tokens(b)
         place = {v: i for i, v in enumerate(sb)}
         at = [place.get(v) for v in sa]
