@@ -238,6 +238,39 @@ def test_many_cells_of_vectors_reach_the_recall(spark):
     assert want > 300 and 0.99 * want <= got <= want
 
 
+def edited(seed, n, kind):
+    """A passage of n words, and it with words replaced, inserted or deleted at random places, as many as leave its shingles a similarity of 0.8."""
+    r, p = random.Random(seed), prose(10_000 + seed, n).split()
+    while True:
+        q = list(p)
+        for _ in range(r.randrange(1, 2 + n // 60)):
+            at = r.randrange(2, len(q) - 2)
+            q[at : at + (kind != "inserted")] = [] if kind == "deleted" else [f"new{r.randrange(99)}"]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q))
+        if len(q) >= 50 and len(a & b) >= 0.8 * len(a | b):
+            return p, q
+
+
+def test_edited_passages_are_found_and_covered(spark):
+    made = [(k, n, *edited(1000 * n + 10 * i + j, n, k)) for j, k in enumerate(("replaced", "inserted", "deleted")) for n in (55, 70, 90, 120, 200, 300) for i in range(8)]
+    texts = [prose(1_000_000 + 2 * i + side, 70) + " " + " ".join(pair[side]) + " " + prose(2_000_000 + 2 * i + side, 70) for i, (_, _, *pair) in enumerate(made) for side in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {}
+    for r in substring.duplicate_passages(df).collect():
+        assert r["doc_id"] % 2 == 1 and r["copy_of"] == r["doc_id"] - 1
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for kind in ("replaced", "inserted", "deleted"):
+        found, covered = [], []
+        for i, (k, _, _, q) in enumerate(made):
+            if k == kind:
+                held = {p for lo, hi in spans.get(2 * i + 1, []) for p in range(lo, hi)}
+                found.append(bool(held))
+                covered.append(len(held & set(range(70, 70 + len(q)))) / len(q) if held else None)
+        share = [c for c in covered if c is not None]
+        print(kind, sum(found), len(found), round(sum(share) / len(share), 3))
+        assert sum(found) >= 0.9 * len(found) and sum(share) >= 0.9 * len(share)
+
+
 def test_weak_labels_find_the_labellers_accuracies():
     rng, n = np.random.default_rng(5), 40_000
     kinds = ["a", "a", "b", "b", "a", "b"]  # a kind with fewer than three labellers is not told exactly from votes
