@@ -53,6 +53,16 @@ def cost_matrix(left: DataFrame, right: DataFrame, batch: str, a: str = "a", b:
     return left.join(right, batch).withColumn("cost", distance(a, b)).drop(a, b)
 
 
+def paired_loss(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """n, mean_loss and sum_loss of diagrams paired by `key` (left: key, a; right: key, b). A key without a partner is an error."""
+    for one, other in ((left, right), (right, left)):
+        alone = one.join(other.select(key), key, "left_anti").first()
+        if alone is not None:
+            raise ValueError(f"{key} {alone[key]!r} has no partner")
+    d = left.join(right, key).select(distance("a", "b").alias("d"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_loss"), F.sum("d").alias("sum_loss"))
+
+
 #: Entries of a cost matrix that one task takes on; the assignment of a batch can't be split.
 MOST_COSTS = 4_000_000
 

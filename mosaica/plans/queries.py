@@ -461,7 +461,10 @@ def a11(spark, d):
 
 @query("a13_paired_loss", duck("SELECT count(*) AS n, round(avg(d), 6) AS mean_loss, round(sum(d), 4) AS sum_loss FROM dist", before=POINTS))
 def a13(spark, d):
-    return point_pairs(spark, d).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("mean_loss"), F.round(F.sum("d"), 4).alias("sum_loss"))
+    p = point_diagrams(spark, d)
+    both = p.groupBy("tile").count().where("count = 2").select("tile")
+    a, b = (side(p, x, n).join(both, "tile", "left_semi") for x, n in (("A", "a"), ("N", "b")))
+    return reports.paired_loss(a, b, "tile").select("n", r6("mean_loss").alias("mean_loss"), F.round("sum_loss", 4).alias("sum_loss"))
 
 
 @query("s09_diagram_rows")

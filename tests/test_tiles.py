@@ -164,6 +164,9 @@ def test_errors_where_nothing_can_be_compared(spark):
         pairing.sampled(t, 7, sample="first")
     with pytest.raises(ValueError):
         persistence.projected_lists(F.col("d"), "height", 0)
+    a, b = (spark.sql(f"SELECT {t} AS tile, struct(array(1D) AS p0, array(2D) AS p1) AS {n}") for t, n in ((1, "a"), (2, "b")))
+    with pytest.raises(ValueError, match="partner"):
+        reports.paired_loss(a, b, "tile")
     costs = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 2.0)], "batch int, i int, j int, cost double")
     reports.MOST_COSTS, was = 1, reports.MOST_COSTS
     try:
