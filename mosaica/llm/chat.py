@@ -144,34 +144,53 @@ def prefix_tree(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the emitted segments.
 
-    The formatted text of each conversation is put together from its nodes and parsed; what the loss mask
-    covers is taken from the parsed places, unescaped.
+    The formatted turns of each conversation are read from its nodes in order and parsed; what the loss mask
+    covers is taken from the parsed places, unescaped. Repeated turns count each time; an empty table gives no rows.
     """
-    parts = skew_join(members, nodes.select("node", "position", "header", "body", "loss"), ["node"])
-    convs = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "position", "header", "body", "loss"))).alias("t"))
+    ident = members.schema["conv_id"].dataType.simpleString()
+    parts = skew_join(members, nodes.select("node", "position", "header", "body", "loss"), ["node"]).select("conv_id", "depth", "position", "loss", "header", "body")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    class Reader:
+        """What is known of a conversation whose turns come one after the other; none of them is kept."""
+
+        def __init__(self, conv):
+            self.conv, self.turns, self.whole, self.loss, self.masked, self.at = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+
+        def take(self, position: int, loss: bool, header: str, body: str) -> None:
+            if position != self.at:
+                raise ValueError("position ids have a gap")
+            formatted = header + body
+            for role, text, lo, hi in parse(formatted):
+                self.turns += 1
+                self.whole.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if loss:
+                    masked = unescape(formatted[lo:hi])
+                    self.masked += len(masked)
+                    self.loss.update(masked.encode("utf-8", "surrogatepass"))
+            self.at += len(formatted)
+
+        def row(self) -> tuple:
+            return self.conv, self.turns, self.whole.hexdigest(), self.masked, self.loss.hexdigest(), self.at
 
     def run(batches):
+        reader = None
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                formatted = "".join(x["header"] + x["body"] for x in t)
-                turns = parse(formatted)
-                masked, at = [], 0
-                for x in t:
-                    if x["position"] != at:
-                        raise ValueError("position ids have a gap")
-                    if x["loss"]:
-                        lo = at + len(x["header"])
-                        masked.append(unescape(formatted[lo : at + len(x["header"]) + len(x["body"]) - len(END)]))
-                    at += len(x["header"]) + len(x["body"])
-                whole = "".join(f"{r}\n{s}\n" for r, s, _, _ in turns)
-                loss = "".join(masked)
-                sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((len(turns), sha(whole), len(loss), sha(loss), len(formatted)))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            if cols:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    ident = members.schema["conv_id"].dataType.simpleString()
-    return convs.mapInArrow(run, f"conv_id {ident}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            done = []
+            for conv, _, *turn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if reader is None or reader.conv != conv:
+                    done += [reader.row()] if reader else []
+                    reader = Reader(conv)
+                reader.take(*turn)
+            if done:
+                yield batch_of(done, batch.schema.field(0).type)
+        if reader:
+            yield batch_of([reader.row()], batch.schema.field(0).type)
+
+    def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    # turns of a conversation pass through one task in order, a batch at a time
+    return parts.repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(run, f"conv_id {ident}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
