@@ -71,12 +71,12 @@ class Profiles:
     tops: list[np.ndarray]
 
     def __post_init__(self):
-        held = np.unique(np.concatenate([np.zeros(0, np.int64), *self.tops])).astype(np.int64)
-        self.place = np.full(1 << BITS, len(held), np.int32)  # the last column is of n-grams that no profile has
-        self.place[held] = np.arange(len(held))
-        self.rank = np.full((len(self.langs), len(held) + 1), -1, np.int16)
-        for r, top in zip(self.rank, self.tops, strict=True):
-            r[self.place[top]] = np.arange(len(top))
+        # for each n-gram the profiles that hold it, with its rank there
+        gram = np.concatenate([np.zeros(0, np.int64), *self.tops])
+        order = np.argsort(gram, kind="stable")
+        self.start = np.searchsorted(gram[order], np.arange((1 << BITS) + 1)).astype(np.int32)
+        self.lang = np.concatenate([np.zeros(0, np.int32), *(np.full(len(t), i, np.int32) for i, t in enumerate(self.tops))])[order]
+        self.rank = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(t), dtype=np.int32) for t in self.tops)])[order]
 
     def __reduce__(self):
         return Profiles, (self.langs, self.tops)
@@ -87,8 +87,10 @@ class Profiles:
         if not self.langs or not points.any():
             return "und", 0.0
         own = ranked(*grams(points))
-        r = self.rank[:, self.place[own]].astype(np.int64)
-        far = np.where(r < 0, TOP, np.abs(r - np.arange(len(own)))).sum(1)
+        first, n = self.start[own], self.start[own + 1] - self.start[own]
+        held = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nearer = TOP - np.abs(self.rank[held] - np.repeat(np.arange(len(own)), n))  # than if the profile lacked it
+        far = TOP * len(own) - np.bincount(self.lang[held], nearer, len(self.langs))
         best = int(far.argmin())
         return self.langs[best], float(1 - far[best] / (TOP * len(own)))
 
