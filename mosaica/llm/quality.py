@@ -228,3 +228,9 @@ def classify(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFra
     """
     scorer = train(docs, weak_labels(docs, text), text)
     return docs.drop(*({"quality_score", "kept"} - {text})).withColumn("quality_score", quality_score(scorer)(F.col(text))).withColumn("kept", F.col("quality_score") >= keep)
+
+
+def good(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of docs (every column as it is) that classify() keeps."""
+    scorer = train(docs, weak_labels(docs, text), text)
+    return docs.where(quality_score(scorer)(F.col(text)) >= keep)

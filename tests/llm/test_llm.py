@@ -297,11 +297,11 @@ def test_quality_finds_each_kind_of_fault(spark):
 def test_columns_with_the_operators_own_names_stay(spark, texts):
     import corpus_pipeline
 
-    names = ["_t", "_text", "_id", "_spans", "_hash", "_nth", "th", "hash", "of"]
+    names = ["_t", "_text", "_id", "_spans", "_hash", "_nth", "th", "hash", "of", "kept", "quality_score", "_new"]
     df = docs(spark, texts).select("doc_id", "text", *[F.col("shard").alias(n) for n in names])
     items = spark.createDataFrame([(1, prose(500, 40))], "item_id long, text string")
     for out in (
-        quality.classify(df).drop("quality_score", "kept"),
+        corpus_pipeline.good_documents(spark, df, ""),
         substring.remove_passages(df),
         decontaminate.clean(df, items),
         corpus_pipeline.one_of_each(spark, df, ""),
