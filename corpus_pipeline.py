@@ -20,7 +20,7 @@ from mosaica.llm.queries import TOKENIZER
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; those without words go."""
-    return quality.classify(docs).where("kept").select(*docs.columns)
+    return quality.good(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
