@@ -37,7 +37,7 @@ FIRST_BLOCK, MOST_BLOCK = 8, 128
 TOGETHER, AT_ONCE = 1 << 17, 1 << 18
 #: Bytes of a text that are split into words at a time.
 STEP = 1 << 20
-#: 7 * 2 ** 20 + 1; 3 generates its units. Products of two residues around zero and sums of MOST_BLOCK of them are exact doubles.
+#: 7 * 2 ** 20 + 1; 3 generates its units. Products of two residues around zero and sums of twice MOST_BLOCK of them are exact doubles.
 PRIME, ROOT = 7340033, 3
 
 _space = re.compile(rb"[\x09-\x0d ]")
@@ -76,19 +76,25 @@ def transform(x: np.ndarray, inverse: bool = False) -> np.ndarray:
     return y.transpose(0, 2, 1).reshape(rows, n)
 
 
-def no_mismatch(r: np.ndarray, starts: np.ndarray, block: int, first: int) -> np.ndarray:
-    """For blocks of residues r at `starts` whether the sum of squared differences to the places first .. first + block - 1 later is zero modulo the prime."""
-    n = 2 * block
-    wide = np.concatenate([r, np.zeros(first + n)])
-    u = np.zeros((len(starts), n))
-    u[:, :block] = r[starts[:, None] + np.arange(block)]
-    v = wide[(starts + first)[:, None] + np.arange(n)]
+def _sums(x: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each n whole numbers in a row."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(x.astype(np.int64))])
+    return (total[n:] - total[:-n]).astype(float)
+
+
+def no_mismatch(r: np.ndarray, at: int, rows: int, step: int, block: int, first: int) -> np.ndarray:
+    """For blocks of residues r at `at`, at + step, ... whether the sum of squared differences to the places first .. first + block - 1 later is zero modulo the prime."""
+    n, stop = 2 * block, at + (rows - 1) * step
+    wide = r[at : stop + first + n]
+    wide = np.concatenate([wide, np.zeros(stop + first + n - at - len(wide))])
+    each = lambda x, start, size: np.lib.stride_tricks.sliding_window_view(x[start : start + stop - at + size], size)[::step]
+    u = np.zeros((rows, n))
+    u[:, :block] = each(wide, 0, block)
     back = np.concatenate([[0], np.arange(n - 1, 0, -1)])  # the transform of a reversed row
-    product = _mod(transform(u)[:, back] * transform(v))
-    both = _mod(transform(product, True) * _mod(np.array(pow(n, -1, PRIME), float)))[:, :block]
-    squares = np.concatenate([np.zeros((len(v), 1)), np.cumsum(_mod(v * v), 1)], 1)
-    own = _mod((u * u)).sum(1, keepdims=True)
-    return _mod(own + squares[:, block : 2 * block] - squares[:, :block] - 2 * both) == 0
+    product = _mod(transform(u)[:, back] * transform(each(wide, first, n)))
+    both = _mod(transform(product, True)[:, :block] * _mod(np.array(pow(n, -1, PRIME), float)))
+    squares = _sums(wide * wide, block)
+    return _mod(each(squares, 0, 1) + each(squares, first, block) - 2 * both) == 0
 
 
 class _Seeds:
@@ -146,7 +152,7 @@ def _found(words: np.ndarray, residues: np.ndarray, b: int) -> Iterator[tuple[in
         starts = np.arange(0, len(words) - first - block + 1, b)
         for k in range(0, len(starts), rows):
             part = starts[k : k + rows]
-            zero = no_mismatch(residues, part, block, first)
+            zero = no_mismatch(residues, int(part[0]), len(part), b, block, first)
             zero[:, high - first :] = False
             which, far = np.nonzero(zero)
             if not len(which):
@@ -184,7 +190,7 @@ def runs_of(texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         words = np.concatenate([x for i, s in enumerate(some.tolist()) for x in (texts[s], [-1 - i])])
         ends = np.cumsum(size[some] + 1)
         h = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        residues = _mod(((h ^ (h >> np.uint64(29))) % np.uint64(PRIME)).astype(float))
+        residues = ((h ^ h >> np.uint64(29)) & np.uint64(0xFFFF)).astype(float) - 0x8000
         for start, length, period in _found(words, residues, b):
             i = int(np.searchsorted(ends, start, "right"))
             out[some[i]].add((int(start - (ends[i] - size[some[i]] - 1)), length, period))
@@ -206,16 +212,22 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def _numbered(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
-    """The number of each word of a text; new words get the next numbers."""
+class _Numbers(dict):
+    """A number for each word; a new one gets the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _numbered(text: bytes, ids: _Numbers) -> np.ndarray:
+    """The number of each word of a text."""
     out, at = [], 0
     while at < len(text):
         stop = min(len(text), at + STEP)
         if stop < len(text):  # up to white space
             stop = found.start() if (found := _space.search(text, stop)) else len(text)
         words = text[at:stop].split()
-        for w in set(words) - ids.keys():
-            ids[w] = len(ids)
         out.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
         at = stop
     return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -239,7 +251,7 @@ def _over_texts(finish: Callable[[np.ndarray, list[bytes], list[tuple[int, int,
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, how in batches:
-            out, held, ids = [], [], {}
+            out, held, ids = [], [], _Numbers()
 
             def flush(out=out, held=held, ids=ids):
                 names = list(ids)
