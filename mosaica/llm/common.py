@@ -41,6 +41,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def col(name: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def skew_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows joined with groups, which has one row for each key.
 
@@ -48,8 +53,8 @@ def skew_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inn
     reusing the partitioning of the aggregate that made `groups`; it is short, as it travels with every row),
     so adaptive execution can split the partition of a hot key and copy the one matching row.
     """
-    mark = F.xxhash64(*on).bitwiseAND(F.lit(127)).cast("tinyint")
-    return rows.withColumn("_mark", mark).join(groups.withColumn("_mark", mark), ["_mark", *on], how).drop("_mark")
+    mark, name = F.xxhash64(*on).bitwiseAND(F.lit(127)).cast("tinyint"), free(rows, "_mark")
+    return rows.withColumn(name, mark).join(groups.withColumn(name, mark), [name, *on], how).drop(name)
 
 
 class Memo(dict):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import per_text, ready, stored
+from mosaica.llm.common import col, per_text, ready, stored
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight that a retrieved passage holds, and of its shingles that a verified one holds.
@@ -76,7 +76,7 @@ class LengthClass:
 
     def __init__(self, ids: list[int], codes: list[np.ndarray], parts: list[list[np.ndarray]], idf: np.ndarray, df: np.ndarray, mean: float, threshold: float, block: int):
         rarest = [min((int(df[t]), int(t)) for t in c) for c in codes]
-        order = sorted(range(len(ids)), key=lambda i: (rarest[i], ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (rarest[i], ids[i] is not None, ids[i] or 0))  # a null id comes first
         self.ids = [ids[i] for i in order]
         self.parts = [parts[i] for i in order]
         codes = [codes[i] for i in order]
@@ -209,7 +209,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     further passes over docs, one index at a time; none is left out. Items without words match nothing; null and empty texts hold
     nothing; copies of an item are all reported, as are repeated rows of docs. An empty table on either side gives no rows.
     """
-    docs, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+    docs, out = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), None
     names = ("item_id", "question_overlap", "answer_overlap", "overlap")
     for index, alone in _indexes(docs, items, item_id, item_text, threshold, overlap):
 
@@ -234,7 +234,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         def make(index=index):
             return lambda t: bool(index.value.search(t))
 
-        docs = docs.where(~per_text(make, "boolean", pa.bool_())(F.col(text)))
+        docs = docs.where(~per_text(make, "boolean", pa.bool_())(col(text)))
         if not alone:
             docs = stored(docs)
             index.destroy()
@@ -244,7 +244,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 def _indexes(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float, overlap: float) -> Iterator[tuple]:
     """Broadcast indexes of all items, one after the other, and whether there is but one."""
     spark = ready(docs.sparkSession)
-    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    items = items.where(col(item_text).isNotNull()).select(col(item_id).cast("long").alias("i"), col(item_text).cast("binary").alias("t"))
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     passes = max(1, -(-n // MOST_ITEMS), -(-size // MOST_BYTES))
     for k in range(passes):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import free, map_batches, per_text, ready, skew_join, stored
+from mosaica.llm.common import col, free, map_batches, per_text, ready, skew_join, stored
 
 #: Filters that can be audited together; there are 720 orders of six.
 MOST = 6
@@ -48,14 +48,14 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name:
     """
     ready(docs.sparkSession)
     docs = docs.drop(name) if name not in (doc_id, text) else docs
-    own = {n: free(docs, f"_{n}") for n in ("mask", "hash", "crc", "bytes", "first")}
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    own = {n: free(docs, f"_{n}") for n in ("mask", "hash", "crc", "bytes", "first", "last")}
+    kept = [col(c) for c in docs.columns if c != text]
     mask = per_text(lambda: text_failures, "tinyint", pa.int8())
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    whole = F.coalesce(col(text), F.lit("")).cast("binary")
     rows = stored(docs.select(*kept, mask(whole).alias(own["mask"]), F.xxhash64(whole).alias(own["hash"]), F.crc32(whole).alias(own["crc"]), F.octet_length(whole).alias(own["bytes"])))
     key = [own["hash"], own["crc"], own["bytes"]]
-    ident = F.col(f"`{doc_id}`")
-    firsts = rows.groupBy(*key).agg(F.min(ident).alias(own["first"]), F.max(ident).alias("_last")).where(f"{own['first']} < _last").select(*key, own["first"])
+    ident = col(doc_id)
+    firsts = rows.groupBy(*key).agg(F.min(ident).alias(own["first"]), F.max(ident).alias(own["last"])).where(F.col(own["first"]) < F.col(own["last"])).select(*key, own["first"])
     both = skew_join(rows, firsts, key, "left")
     copy = F.coalesce(ident > F.col(own["first"]), F.lit(False)).cast("int")
     return both.select(*kept, (F.col(own["mask"]).cast("int") + F.shiftleft(copy, 4)).alias(name))
@@ -85,7 +85,7 @@ def interactions(rows: DataFrame, part: Column, names: str, mask: str = "mask",
     orders, steps = removal_steps(k)
     extra = list(lost)
     at = {f: n for n, f in enumerate(["_n", *extra])}
-    counted = rows.groupBy(F.coalesce(part.cast("string"), F.lit("")).alias("part"), F.col(f"`{mask}`").cast("int").alias("_mask"))
+    counted = rows.groupBy(F.coalesce(part.cast("string"), F.lit("")).alias("part"), col(mask).cast("int").alias("_mask"))
     counted = counted.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in lost.items()])
     # a list of at most 2 ** k masks for each part
     by_part = counted.groupBy("part").agg(F.collect_list(F.struct("_mask", *at)).alias("_w"))
@@ -125,7 +125,7 @@ def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     labels: doc_id, quality, toxic. A document is good (toxic) if any row of its id says quality = 1 (toxic = 1); ids that are null match none.
     Repeated rows of docs count each; an empty table gives no rows.
     """
-    masks = failures(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{part}`").alias("part")))
+    masks = failures(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), col(part).alias("part")))
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     rows = skew_join(masks, known, ["doc_id"], "left")
     return interactions(rows, F.col("part"), "ABCDE", lost={"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})

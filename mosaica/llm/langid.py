@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mosaica.llm.common import free, map_batches, per_text, ready
+from mosaica.llm.common import col, free, map_batches, per_text, ready
 
 #: N-grams in a profile, and bits of an n-gram.
 TOP, BITS = 300, 20
@@ -102,7 +102,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rows there are no languages. More than MOST_LANGS languages are an error, as profiles go to every task.
     """
     ready(docs.sparkSession)
-    docs = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    docs = docs.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), col(key).alias("key"))
     share = min(1.0, sample / max(docs.count(), 1))
     docs = docs.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 40)) <= int(share * (1 << 40))).select("lang", "text")
 
@@ -142,8 +142,8 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     def make():
         return lambda t: dict(zip(("lang", "score"), shared.value.predict(t.decode("utf-8", "surrogatepass")), strict=True))
 
-    rest = [F.col(c) for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = [col(c) for c in docs.columns if c not in (text, "lang_pred", "score")]
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
     own = free(docs, "_found")
-    rows = docs.select(*rest, per_text(make, "struct<lang: string, score: double>", kind)(F.col(text)).alias(own))
+    rows = docs.select(*rest, per_text(make, "struct<lang: string, score: double>", kind)(col(text)).alias(own))
     return rows.select(*rest, F.col(own)["lang"].alias("lang_pred"), F.col(own)["score"].alias("score"))

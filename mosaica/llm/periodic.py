@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import ready
+from mosaica.llm.common import col, ready
 
 #: Words of the shortest run, and periods that it holds at least.
 LEAST, PERIODS = 24, 3
@@ -279,7 +279,7 @@ def _same(words: np.ndarray, _: int) -> np.ndarray:
 
 
 def _binary(docs: DataFrame, text: str) -> Column:
-    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")
 
 
 RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
@@ -299,7 +299,7 @@ def collapsed(docs: DataFrame, text: str = "text") -> DataFrame:
     def make(words, names, runs):
         return b" ".join(map(names.__getitem__, words[kept_words(len(words), runs)].tolist())).decode("utf-8", "surrogatepass") if runs else None
 
-    return docs.withColumn(text, F.coalesce(_over_texts(make, "string", pa.string(), _binary(docs, text), F.lit(None).cast("long"), _same), F.col(f"`{text}`")))
+    return docs.withColumn(text, F.coalesce(_over_texts(make, "string", pa.string(), _binary(docs, text), F.lit(None).cast("long"), _same), col(text)))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", change: Column | None = None, changed: Callable[[np.ndarray, int], np.ndarray] = _same) -> DataFrame:
@@ -312,4 +312,4 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", change:
     ready(docs.sparkSession)
     kind = "struct<" + ", ".join(f"{n}: {'string' if t == pa.string() else 'long'}" for n, t in DIGESTS.items()) + ">"
     made = _over_texts(_summary, kind, pa.struct(list(DIGESTS.items())), _binary(docs, text), (F.lit(None) if change is None else change).cast("long"), changed)
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), made.alias("d")).select("doc_id", "d.*")
+    return docs.select(col(doc_id).alias("doc_id"), made.alias("d")).select("doc_id", "d.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import free, ready
+from mosaica.llm.common import col, free, ready
 
 #: Kinds of spans, in the order that breaks ties; the first four are the base ones.
 KINDS = ["email", "ip", "card", "phone", "url", "account"]
@@ -177,7 +177,7 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> Data
     """docs with `name`: the personal data of each text as (kind, start, end) in code points, end excluded, by start and then kind; [] for a null or clean text."""
     ready(docs.sparkSession)
     make = lambda _, spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
-    return docs.withColumn(name, _over_texts(make, "array<struct<kind: string, start: long, end: long>>", SPAN, F.col(f"`{text}`")))
+    return docs.withColumn(name, _over_texts(make, "array<struct<kind: string, start: long, end: long>>", SPAN, col(text)))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -193,10 +193,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with [EMAIL], [IP], [CARD], [PHONE], [URL] or [ACCOUNT] for personal data; clean and null texts stay as they are."""
     ready(docs.sparkSession)
-    new = _over_texts(lambda t, spans: masked(t, spans) if spans else None, "string", pa.string(), F.col(f"`{text}`"))
+    new = _over_texts(lambda t, spans: masked(t, spans) if spans else None, "string", pa.string(), col(text))
     own = free(docs, "_masked")
     rows = docs.withColumn(own, new)
-    return rows.withColumn(text, F.coalesce(own, F.col(f"`{text}`"))).drop(own)
+    return rows.withColumn(text, F.coalesce(own, col(text))).drop(own)
 
 
 DIGESTS = {**{f"n_{k}": pa.int64() for k in KINDS}, "base_sha256": pa.string(), "spans": pa.string()}
@@ -218,5 +218,5 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     ready(docs.sparkSession)
     kind = "struct<" + ", ".join(f"{n}: {'string' if t == pa.string() else 'long'}" for n, t in DIGESTS.items()) + ">"
-    made = _over_texts(_summary, kind, pa.struct(list(DIGESTS.items())), F.col(f"`{text}`"))
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), made.alias("d")).select("doc_id", "d.*")
+    made = _over_texts(_summary, kind, pa.struct(list(DIGESTS.items())), col(text))
+    return docs.select(col(doc_id).alias("doc_id"), made.alias("d")).select("doc_id", "d.*")

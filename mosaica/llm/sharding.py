@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import free, ready, stored
+from mosaica.llm.common import col, free, ready, stored
 from mosaica.operators.ordering import ranked
 
 #: Jobs of the average size for each shard; 2 * shards * FINE bounds what reaches the driver.
@@ -43,8 +43,8 @@ def shard(rows: DataFrame, group: str, size: str, order: list[str], shards: int
     spark = ready(rows.sparkSession)
     names = [c for c in rows.columns if c not in ("shard", "slot", group)]
     key, bundle, large, small, job = (free(rows, x) for x in ("_key", "_bundle", "_large", "_small", "_job"))
-    rows = rows.select(*names, F.sha2(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")), 256).substr(1, 32).alias(key))
-    groups = stored(rows.groupBy(key).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("size")))
+    rows = rows.select(*map(col, names), F.sha2(F.coalesce(F.concat(F.lit("="), col(group).cast("string")), F.lit("null")), 256).substr(1, 32).alias(key))
+    groups = stored(rows.groupBy(key).agg(F.sum(F.coalesce(col(size), F.lit(0))).alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
     limit = total // (shards * fine) + 1
     of_key = F.concat(F.lit("z"), F.pmod(F.xxhash64(key), F.lit(shards * fine)).cast("string"))
@@ -55,5 +55,5 @@ def shard(rows: DataFrame, group: str, size: str, order: list[str], shards: int
     # the plan has at most 2 * shards * fine rows of two short fields, so both joins may broadcast it
     of_bundle = F.broadcast(plan.where(F.col(job).startswith("z")).select(F.col(job).alias(bundle), F.col("shard").alias(small)))
     of_group = F.broadcast(plan.where(~F.col(job).startswith("z")).select(F.col(job).alias(key), F.col("shard").alias(large)))
-    dealt = rows.withColumn(bundle, of_key).join(of_group, key, "left").join(of_bundle, bundle, "left").select(*names, F.coalesce(large, small).alias("shard"))
+    dealt = rows.withColumn(bundle, of_key).join(of_group, key, "left").join(of_bundle, bundle, "left").select(*map(col, names), F.coalesce(large, small).alias("shard"))
     return ranked(dealt, order, "slot", ["shard"])

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import per_text, ready, stored
+from mosaica.llm.common import col, free, per_text, ready, stored
 
 #: Labelled rows that all is learnt from (an expected number: rows are drawn by a hash). It also bounds the lexicon.
 SAMPLE = 24_000
@@ -96,9 +96,9 @@ class Model:
         Null and empty texts are scored like any other; repeated rows score alike; an empty table gives no rows.
         """
         ready(docs.sparkSession)
-        rest = [F.col(c) for c in docs.columns if c not in (text, "score", "predicted")]
+        rest = [col(c) for c in docs.columns if c not in (text, "score", "predicted")]
         # the columns of docs travel in one, so that they can't clash with those of the trees
-        rows = docs.select(F.struct(F.lit(0).alias("_none"), *rest).alias("row"), array_to_vector(features(docs.sparkSession, self.lexicon)(F.col(text))).alias("features"))
+        rows = docs.select(F.struct(F.lit(0).alias(free(docs, "_none")), *rest).alias("row"), array_to_vector(features(docs.sparkSession, self.lexicon)(col(text))).alias("features"))
         if self.trees is None:
             scored = rows.select("row", F.lit(0.0).alias("score"))
         else:
@@ -113,7 +113,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     Without rows of both labels every score is 0.
     """
     ready(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
+    rows = labelled.where(col(label).isNotNull()).select(col(key).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"), col(label).cast("double").alias("label"))
     rows = stored(_drawn(rows, "key", sample)).repartition(8)
     lexicon = learn_lexicon(rows)
     x = stored(rows.select("key", "label", features(rows.sparkSession, lexicon)(F.col("text")).alias("x")))
