@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mosaica.llm import bpe, decontaminate, quality, simhash, substring
-from mosaica.llm.common import free, stored, table
+from mosaica.llm.common import col, free, stored, table
 from mosaica.llm.queries import TOKENIZER
 
 
@@ -29,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, digest, nth = free(docs, "_id"), free(docs, "_hash"), free(docs, "_nth")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").withColumn(digest, F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy("doc_id"))
-    return rows.withColumn(nth, place).where(F.col(nth) == 1).select(*docs.columns)
+    return rows.withColumn(nth, place).where(F.col(nth) == 1).select(*map(col, docs.columns))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
