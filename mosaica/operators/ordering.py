@@ -16,20 +16,21 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
-def ranked(rows: DataFrame, order: list[str], name: str, groups: list[str] | None = None) -> DataFrame:
+def ranked(rows: DataFrame, order: list[str], name: str, groups: list[str] | None = None, strict: bool = False) -> DataFrame:
     """rows with `name` long: their place 0, 1, ... in order of the columns `order`, in each group if `groups` are named.
 
     Rows are dealt by ranges of groups and order, sorted within each partition and written down with their place there; a
     row's place is that plus the sizes of the partitions before, less where its group starts. Equal rows get different
-    places, in any order, and a range of them can be split. A column called `name` is replaced.
+    places, in any order, and a range of them can be split. A column called `name` is replaced. `strict` says that no two rows of a group are
+    equal in `order`: then one write is enough, where otherwise a salt is written down first that splits equal rows.
     """
     groups = groups or []
     rows = rows.drop(name) if name not in [*groups, *order] else rows
     salt, at, part, start, first = (_free(rows, f"_{x}") for x in ("salt", "at", "part", "start", "first"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the salt is written down before rows are dealt by it, so a task that runs again deals them alike
-    rows = stored(rows.withColumn(salt, F.rand(7)))
-    by = [*groups, *order, salt]
+    rows = rows if strict else stored(rows.withColumn(salt, F.rand(7)))
+    by = [*groups, *order, *([] if strict else [salt])]
     rows = stored(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()).drop(salt))
     rows = rows.withColumn(part, F.shiftright(at, 33))
     counts = sorted(tuple(r) for r in rows.groupBy(part).count().collect())  # a row for each partition

@@ -27,6 +27,9 @@ def matched_pairs(tiles: DataFrame) -> DataFrame:
     """
     one = tiles.groupBy("marker", "stem").agg(F.max(F.when(F.col("domain") == "A", F.col("name"))).alias("a"), F.max(F.when(F.col("domain") == "B", F.col("name"))).alias("b"))
     stems = one.where("a is not null and b is not null").withColumn("how", F.lit("stem"))
+    markers = tiles.select("marker").distinct()
+    if markers.join(stems.select("marker").distinct(), "marker", "left_anti").isEmpty():
+        return stems
     left = ranked(tiles.join(stems.select("marker").distinct(), "marker", "left_anti").select("marker", "domain", "stem", "name"), ["name"], "nth", ["marker", "domain"])
     a, b = left.where("domain = 'A'").select("marker", "nth", F.col("stem"), F.col("name").alias("a")), left.where("domain = 'B'").select("marker", "nth", F.col("name").alias("b"))
     return stems.unionByName(a.join(b, ["marker", "nth"]).select("marker", "stem", "a", "b", F.lit("order").alias("how")))
@@ -41,7 +44,7 @@ def sampled(pairs: DataFrame, seed: int, offset: int = 0, limit: int = 0, sample
         raise ValueError(f"sample must be random or head, not {sample!r}")
     key = "_seeded"
     keyed = pairs.withColumn(key, seeded(seed, "stem") if sample == "random" else F.lit(""))
-    out = ranked(keyed, [key, "stem"], "pair_idx", ["marker"]).drop(key)
+    out = ranked(keyed, [key, "stem"], "pair_idx", ["marker"], strict=True).drop(key)  # a pair for each stem
     return out.where((F.col("pair_idx") >= offset) & ((F.lit(limit) == 0) | (F.col("pair_idx") < offset + limit)))
 
 
@@ -66,7 +69,7 @@ def free_partners(pairs: DataFrame, seed: int, shuffles: int) -> DataFrame:
     """Like strict_partners over all pairs of a marker: each one's partner is the next in a seeded circle; a lone pair is its own."""
     each = pairs.select("marker", "pair_idx", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle_no"))
     each = each.withColumn("_seeded", seeded(seed, "pair_idx", "shuffle_no"))
-    circle = ranked(each, ["_seeded", "pair_idx"], "at", ["marker", "shuffle_no"]).drop("_seeded")
+    circle = ranked(each, ["_seeded", "pair_idx"], "at", ["marker", "shuffle_no"], strict=True).drop("_seeded")
     n = circle.groupBy("marker", "shuffle_no").agg(F.count(F.lit(1)).alias("n"))
     here = circle.join(n, ["marker", "shuffle_no"]).withColumn("at", (F.col("at") + 1) % F.col("n"))
     return here.join(circle.withColumnRenamed("pair_idx", "partner_idx"), ["marker", "shuffle_no", "at"]).select("marker", "shuffle_no", "pair_idx", "partner_idx")
@@ -78,7 +81,7 @@ def holdout(tiles: DataFrame, share: float, seed: int) -> DataFrame:
     A marker without a source in both domains is an error.
     """
     both = tiles.groupBy("marker", "slide").agg(F.countDistinct("domain").alias("d")).where("d = 2")
-    order = ranked(both.select("marker", "slide", seeded(seed, "slide").alias("_seeded")), ["_seeded", "slide"], "nth", ["marker"])
+    order = ranked(both.select("marker", "slide", seeded(seed, "slide").alias("_seeded")), ["_seeded", "slide"], "nth", ["marker"], strict=True)
     n = order.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
     lacking = tiles.select("marker").distinct().join(n, "marker", "left_anti").first()
     if lacking:

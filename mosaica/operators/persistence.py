@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaica.functions import optics
-from mosaica.operators.tiling import by_size, pooled
+from mosaica.operators.tiling import OWN, bilinear, by_size, by_stains, pooled, resize
 
 
 #: Pixels that are worked on together: several small tiles, or one large one.
@@ -110,60 +110,90 @@ def diagram(field: np.ndarray) -> list[tuple]:
     return list(zip(*(got[k].tolist() for k in got if k != "tile"), strict=True))
 
 
-PACKED = "struct<birth0: array<double>, death0: array<double>, birth1: array<double>, death1: array<double>>"
+VALUES = [f"{n}{k}" for k in (0, 1) for n in ("birth", "death")]
+PLACES = [f"{n}_{c}{k}" for k in (0, 1) for n in ("birth", "death") for c in "yx"]
 
 
-def tile_diagrams(tiles: DataFrame, specs: dict[str, list[str]], downsamples: list[int], name: str = "diagrams", domain: str = "domain", combine: str = "sum", vectors: dict | None = None, decimals: int | None = None) -> DataFrame:
+def packed_type(places: bool = False) -> tuple[str, pa.DataType]:
+    """The type of a packed diagram, for Spark and for Arrow: lists of births and deaths of each dimension and, with `places`, of the pixels that give them."""
+    spark = ", ".join([*(f"{n}: array<double>" for n in VALUES), *(f"{n}: array<int>" for n in PLACES if places)])
+    return f"struct<{spark}>", pa.struct([*((n, pa.list_(pa.float64())) for n in VALUES), *((n, pa.list_(pa.int32())) for n in PLACES if places)])
+
+
+def tile_diagrams(
+    tiles: DataFrame,
+    specs: dict[str, list[str]],
+    downsamples: list[int],
+    name: str = "diagrams",
+    domain: str = "domain",
+    combine: str = "sum",
+    vectors: dict | None = None,
+    decimals: int | None = None,
+    own: bool = False,
+    size: int = 0,
+    invert: bool = True,
+    places: bool = False,
+) -> DataFrame:
     """tiles (domain, h, w, rgb binary, and more) with an array of (spec, downsample, d): a diagram for each field of the tile's domain and each downsampling.
 
-    Fields are inverted (strong stains come first); `decimals` rounds them; `vectors` are each domain's own stains. Colours are pooled before the field is
-    taken, which drops what is left at the right and bottom. One pass from the bytes to the points, tile by tile: nothing is shuffled, and no
-    pixel becomes a row. A tile of a domain without specs gets an empty array.
+    Fields are inverted (strong stains come first) unless `invert` is false; `decimals` rounds them; `vectors` are each domain's stains, and with `own` a tile's columns stain1
+    and stain2 are its stains of these names (null: none). `size` makes tiles squares of that side first. Then colours are pooled and the field is
+    taken, which drops what is left at the right and bottom. With `places` the pixels (of the pooled field) that give each birth and death are
+    kept. One pass from the bytes to the points, tile by tile: nothing is shuffled, and no pixel becomes a row. A tile of a domain without specs gets an empty array.
     """
+    kind, arrow = packed_type(places)
+    arrow = pa.list_(pa.struct([("spec", pa.string()), ("downsample", pa.int32()), ("d", arrow)]))
 
-    def run(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+    def points(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array, first: list, second: list) -> pa.Array:
         out: list[list] = [[] for _ in range(len(rgb))]
         who = np.array(domains.to_pylist(), object)
         for rows, images in by_size(h, w, rgb):
+            images = images if not size or images.shape[1:3] == (size, size) else resize(images, size, bilinear)
+            parts = list(by_stains(rows, first, second)) if own else [(np.arange(len(rows)), {})]
             for k in downsamples:
                 small = pooled(images, k)
-                for d, names in specs.items():
-                    at = np.flatnonzero(who[rows] == d)
-                    for spec in dict.fromkeys(names) if len(at) else ():
-                        f = -optics.field_array(spec, small[at], combine, (vectors or {}).get(d))
-                        f = f if decimals is None else np.round(f, decimals)
-                        for row, points in zip(rows[at], _by_tile(diagrams_of(f), len(at)), strict=True):
-                            out[row].append({"spec": spec, "downsample": k, "d": points})
-        return pa.array(out, ARROW)
+                for part, stains in parts:
+                    for d, names in specs.items():
+                        at = part[who[rows[part]] == d]
+                        for spec in dict.fromkeys(names) if len(at) else ():
+                            f = optics.field_array(spec, small[at], combine, (vectors or {}).get(d, {}) | stains)
+                            f = -f if invert else f
+                            f = f if decimals is None else np.round(f, decimals)
+                            for row, found in zip(rows[at], _by_tile(diagrams_of(f), len(at), places), strict=True):
+                                out[row].append({"spec": spec, "downsample": k, "d": found})
+        return pa.array(out, arrow)
 
-    made = F.arrow_udf(run, f"array<struct<spec: string, downsample: int, d: {PACKED}>>").asNondeterministic()
-    return tiles.withColumn(name, made(F.col(domain), F.col("h"), F.col("w"), F.col("rgb")))
+    def alike(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+        return points(domains, h, w, rgb, [], [])
 
+    def each(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        return points(domains, h, w, rgb, first.to_pylist(), second.to_pylist())
 
-_LISTS = pa.struct([(n, pa.list_(pa.float64())) for n in ("birth0", "death0", "birth1", "death1")])
-ARROW = pa.list_(pa.struct([("spec", pa.string()), ("downsample", pa.int32()), ("d", _LISTS)]))
+    made = F.arrow_udf(each if own else alike, f"array<struct<spec: string, downsample: int, d: {kind}>>").asNondeterministic()
+    return tiles.withColumn(name, made(*map(F.col, [domain, "h", "w", "rgb", *(OWN if own else [])])))
 
 
-def _by_tile(found: dict[str, np.ndarray], tiles: int) -> list[dict]:
+def _by_tile(found: dict[str, np.ndarray], tiles: int, places: bool = False) -> list[dict]:
     """The points of each tile as lists, by dimension."""
     out: list[dict] = [{} for _ in range(tiles)]
     for dim in (0, 1):
         some = found["dim"] == dim
         order = np.argsort(found["tile"][some], kind="stable")
         at = np.searchsorted(found["tile"][some][order], np.arange(tiles + 1))
-        for n in ("birth", "death"):
+        for n in ("birth", "death", *(("birth_y", "birth_x", "death_y", "death_x") if places else ())):
             values = found[n][some][order]
             for t in range(tiles):
                 out[t][f"{n}{dim}"] = values[at[t] : at[t + 1]]
     return out
 
 
-def diagram_rows(tiles: DataFrame, keys: list[str], name: str = "diagrams") -> DataFrame:
-    """The points of tile_diagrams() as rows: keys, spec, downsample, dim, birth, death."""
+def diagram_rows(tiles: DataFrame, keys: list[str], name: str = "diagrams", places: bool = False) -> DataFrame:
+    """The points of tile_diagrams() as rows: keys, spec, downsample, dim, birth, death and, with `places`, birth_y, birth_x, death_y, death_x."""
     each = tiles.select(*keys, F.explode(name).alias("x")).select(*keys, "x.spec", "x.downsample", F.col("x.d").alias("d"))
-    point = lambda k: F.transform(F.arrays_zip(F.col(f"d.birth{k}").alias("birth"), F.col(f"d.death{k}").alias("death")), lambda p: F.struct(F.lit(k).alias("dim"), p["birth"].alias("birth"), p["death"].alias("death")))
+    names = ["birth", "death", *(["birth_y", "birth_x", "death_y", "death_x"] if places else [])]
+    point = lambda k: F.transform(F.arrays_zip(*[F.col(f"d.{n}{k}").alias(n) for n in names]), lambda p: F.struct(F.lit(k).alias("dim"), *[p[n].alias(n) for n in names]))
     rows = each.select(*keys, "spec", "downsample", F.explode(F.concat(point(0), point(1))).alias("p"))
-    return rows.select(*keys, "spec", "downsample", "p.dim", "p.birth", "p.death")
+    return rows.select(*keys, "spec", "downsample", "p.dim", *[f"p.{n}" for n in names])
 
 
 def projected(kind: str | dict[int, str], dim: int) -> Column:

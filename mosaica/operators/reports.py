@@ -82,6 +82,13 @@ def matched_loss(costs: DataFrame, batch: str, row: str, col: str) -> DataFrame:
     return costs.select(batch, row, col, "cost").groupBy(batch).applyInPandas(solve, f"{batch} {kind}, matched long, mean_loss double, sum_loss double")
 
 
+def matched_sets(left: DataFrame, right: DataFrame, batch: str, row: str, col: str, a: str = "a", b: str = "b") -> DataFrame:
+    """matched_loss() of the diagrams of each batch (left: batch, row, a; right: batch, col, b); a batch that one side lacks has matched, mean_loss and sum_loss 0."""
+    every = left.select(batch).union(right.select(batch)).distinct()
+    got = matched_loss(cost_matrix(left, right, batch, a, b), batch, row, col)
+    return every.join(got, batch, "left").na.fill(0, ["matched", "mean_loss", "sum_loss"])
+
+
 def confirm_set(screen: DataFrame, second: DataFrame) -> DataFrame:
     """The best settings of the screen with their place and, from the strict rows of the second slice, confirm_auroc and n_tiles.
 
@@ -93,6 +100,7 @@ def confirm_set(screen: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def setting_label() -> Column:
+    """A setting in words. The format is a fixed value."""
     return F.format_string("%s / %s  ds=%d dims=%s proj=%s", *SETTING)
 
 

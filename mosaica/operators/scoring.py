@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +22,12 @@ def auroc(rows: DataFrame, keys: list[str], value: str, wrong: str) -> DataFrame
 
     Values are counted first, so the running sum sees distinct values only and no pairs are made.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count_if(~F.col(wrong)).alias("t"), F.count_if(wrong).alias("w"))
+    return weighted_auroc(rows, keys, value, (~F.col(wrong)).cast("long"), F.col(wrong).cast("long"))
+
+
+def weighted_auroc(rows: DataFrame, keys: list[str], value: str, true: Column, wrong: Column) -> DataFrame:
+    """auroc() of rows that stand for `true` true and `wrong` wrong pairs each (whole numbers)."""
+    counts = rows.groupBy(*keys, value).agg(F.sum(true).alias("t"), F.sum(wrong).alias("w"))
     summed = running(counts, keys, [F.desc(value)], F.col("w"), "above")
     got = summed.groupBy(*keys).agg(F.sum(F.col("t") * (F.col("above") + F.col("w") / 2)).alias("u"), F.sum("t").alias("n_true"), F.sum("w").alias("n_wrong"))
     return got.select(*keys, (F.col("u") / F.nullif(F.col("n_true") * F.col("n_wrong"), F.lit(0))).alias("auroc"), "n_true", "n_wrong")
@@ -30,10 +35,16 @@ def auroc(rows: DataFrame, keys: list[str], value: str, wrong: str) -> DataFrame
 
 def score_rows(rows: DataFrame, keys: list[str], value: str, wrong: str) -> DataFrame:
     """The score of each combination: means, their ratio (infinite if the true mean is 0), AUROC and its error at the number of true pairs."""
-    means = rows.groupBy(*keys).agg(F.avg(F.when(~F.col(wrong), F.col(value))).alias("true_mean"), F.avg(F.when(F.col(wrong), F.col(value))).alias("wrong_mean"))
+    return weighted_scores(rows, keys, value, (~F.col(wrong)).cast("long"), F.col(wrong).cast("long"))
+
+
+def weighted_scores(rows: DataFrame, keys: list[str], value: str, true: Column, wrong: Column) -> DataFrame:
+    """score_rows() of rows that stand for `true` true and `wrong` wrong pairs each (whole numbers), as where a pair comes up in several shuffles."""
+    mean = lambda w: F.sum(F.col(value) * w) / F.nullif(F.sum(w), F.lit(0))
+    means = rows.groupBy(*keys).agg(mean(true).alias("true_mean"), mean(wrong).alias("wrong_mean"))
     ratio = F.when(F.col("true_mean") == 0, F.lit(float("inf"))).otherwise(F.col("wrong_mean") / F.nullif("true_mean", F.lit(0.0)))
     n = F.col("n_true")
-    return means.join(auroc(rows, keys, value, wrong), keys).withColumn("ratio", ratio).withColumn("auroc_se", auroc_se(F.col("auroc"), n, n))
+    return means.join(weighted_auroc(rows, keys, value, true, wrong), keys).withColumn("ratio", ratio).withColumn("auroc_se", auroc_se(F.col("auroc"), n, n))
 
 
 def top_candidates(screen: DataFrame, k: int = TOP_K) -> DataFrame:

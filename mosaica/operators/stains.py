@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from mosaica.functions.optics import angle, od_estimation
 from mosaica.operators.ordering import percentiles, ranked
 from mosaica.operators.pairing import seeded
-from mosaica.operators.tiling import bilinear, by_size, resize
+from mosaica.operators.tiling import OWN, bilinear, by_size, resize, small
 
 MIN_OD, MAX_OD, LEAST = 0.05, 1.0, 1000
 #: Tiles of a domain, longest side of a tile and pixels of a tile that an estimate takes.
@@ -127,11 +127,26 @@ def for_run(pairs: DataFrame, keys: list[str], domain: str = "domain", pin: bool
     rows = rows.select(*keys, "a1", "a2", b1.alias("was"), b2.alias("b2"), (F.col("a1") if pin else b1).alias("b1"))
     rows = rows.withColumns({"separation_a": angle(F.col("a1"), F.col("a2")), "separation_b": angle(F.col("b1"), F.col("b2")), "shared_angle": angle(F.col("a1"), F.col("b1")), "_moved": angle(F.col("was"), F.col("a1"))})
     close = lambda x: F.when(F.col(f"separation_{x.lower()}") < min_separation, F.format_string(f"domain {x} stains are only %.1f degrees apart", f"separation_{x.lower()}"))
-    pinned = F.format_string("domain B stain1 pinned to domain A stain1 (was %.1f degrees away)", "_moved") if pin else F.lit(None).cast("string")
+    pinned = F.format_string("first stain of B replaced by that of A, which lay %.1f degrees off", "_moved") if pin else F.lit(None).cast("string")
     return rows.withColumn("warnings", F.array_compact(F.array(pinned, close("A"), close("B")))).drop("was", "_moved")
 
 
-def vector_rows(run: DataFrame, marker: str, source: str) -> DataFrame:
-    """for_run() as the rows of a table of stain vectors: marker, vectors, domain, stain1, stain2, separation_deg."""
+def attached(tiles: DataFrame, vectors: DataFrame, keys: tuple[str, ...] = ("marker", "domain"), needed: bool = False) -> DataFrame:
+    """tiles with stain1 and stain2 of their key (null: none), from a table of stain vectors with one row for each key. Columns of these names are replaced.
+
+    The table is broadcast where it is small, so tiles stay where they are. More than one row for a key is an error, and with `needed` a key without vectors is too.
+    """
+    table = vectors.select(*keys, *OWN)
+    again = table.groupBy(*keys).count().where("count > 1").first()
+    if again:
+        raise ValueError(f"several stain vectors for {', '.join(str(again[k]) for k in keys)}")
+    if needed and (lacking := tiles.select(*keys).distinct().join(table, list(keys), "left_anti").first()):
+        raise ValueError(f"no stain vectors for {', '.join(str(lacking[k]) for k in keys)}")
+    return tiles.drop(*OWN).join(small(table), list(keys), "left")
+
+
+def vector_rows(run: DataFrame, keys: str | tuple[str, ...], source: str) -> DataFrame:
+    """for_run() as the rows of a table of stain vectors: marker (the first of keys, and any others), vectors, domain, stain1, stain2, separation_deg."""
+    marker, *more = (keys,) if isinstance(keys, str) else keys
     both = [F.struct(F.lit(x).alias("domain"), F.col(f"{x.lower()}1").alias("stain1"), F.col(f"{x.lower()}2").alias("stain2"), F.col(f"separation_{x.lower()}").alias("separation_deg")) for x in "AB"]
-    return run.select(F.col(marker).alias("marker"), F.lit(source).alias("vectors"), F.explode(F.array(*both)).alias("v")).select("marker", "vectors", "v.*")
+    return run.select(F.col(marker).alias("marker"), *more, F.lit(source).alias("vectors"), F.explode(F.array(*both)).alias("v")).select("marker", *more, "vectors", "v.*")

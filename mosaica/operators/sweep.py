@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.operators import pairing, persistence, scoring
+from mosaica.operators import pairing, persistence, scoring, stains, tiling
 from mosaica.sources.scratch import stored
 
 COMBO = ["field_a", "field_b", "downsample", "dims", "projection"]
@@ -77,10 +77,11 @@ def setting_distances(pairs: DataFrame, a: str, b: str, chosen: list[tuple], dec
     return pairs.withColumn("distances", F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(a), F.col(b)))
 
 
-def by_setting(rows: DataFrame, keys: list[str], chosen: list[tuple]) -> DataFrame:
-    """Score rows of (keys, wrong, distances): one for each key and setting, with combo_no and the setting's parts."""
-    long = rows.select(*keys, "wrong", F.posexplode("distances").alias("combo_no", "d"))
-    return scoring.score_rows(long, [*keys, "combo_no"], "d", "wrong").join(F.broadcast(combinations(rows.sparkSession, chosen)), "combo_no")  # a row for each setting
+def by_setting(rows: DataFrame, keys: list[str], chosen: list[tuple], true: str = "true_pairs", wrong: str = "wrong_pairs") -> DataFrame:
+    """Score rows of (keys, true, wrong, distances): one for each key and setting, with combo_no and the setting's parts. A row stands for so many true and wrong pairs."""
+    long = rows.select(*keys, true, wrong, F.posexplode("distances").alias("combo_no", "d"))
+    got = scoring.weighted_scores(long, [*keys, "combo_no"], "d", F.col(true), F.col(wrong))
+    return got.join(F.broadcast(combinations(rows.sparkSession, chosen)), "combo_no")  # a row for each setting
 
 
 def score_fields(
@@ -94,45 +95,85 @@ def score_fields(
     sample: str = "random",
     slides: str = pairing.SLIDE,
     combine: str = "sum",
-    vectors: dict | None = None,
+    vectors: dict | DataFrame | None = None,
     decimals: int | None = None,
+    image_size: int = 0,
+    invert: bool = True,
 ) -> DataFrame:
     """A score row for each marker and chosen setting: how well distances tell true pairs of tiles from wrong ones.
 
     tiles: marker, domain, stem, name, h, w, rgb. `control`: strict takes wrong partners from the same slide (pairs without one are left out
-    of both sides), unstratified from all pairs. offset and limit name a slice of each marker's pairs. Adds marker,
-    control, offset, limit, seed, shuffles, n_pairs, n_tiles and field_combine to each row. No pair to compare is an error.
+    of both sides), unstratified from all pairs. offset and limit name a slice of each marker's pairs. `vectors`: each domain's stains, or a table of
+    them by marker and domain. `image_size` makes all tiles squares of that side first (0: as they are). Adds marker, n_pairs, n_tiles, groups (slides of the
+    slice; null if unstratified) and every setting of the run to each row, so that runs can be told apart. No pair to compare is an error, and so is a marker without any.
     """
     pairs = sampled_pairs(tiles, seed, offset, limit, sample, slides)
-    made = pair_diagrams(tiles, pairs, chosen, combine, vectors)
-    return pair_scores(pairs, made, chosen, control, shuffles, seed, decimals).withColumns({k: F.lit(v) for k, v in {"offset": offset, "limit": limit, "field_combine": combine}.items()})
+    made = pair_diagrams(tiles, pairs, chosen, combine, vectors, image_size, invert)
+    got = pair_scores(pairs, made, chosen, control, shuffles, seed, decimals)
+    return with_run(got, {"offset": offset, "limit": limit, "sample": sample, "slide_regex": slides if control == "strict" else None, "image_size": image_size, "invert": invert, "field_combine": combine})
+
+
+def with_run(rows: DataFrame, run: dict) -> DataFrame:
+    """rows with a column for each part of a run."""
+    return rows.withColumns({k: F.lit(v).cast("string") if v is None else F.lit(v) for k, v in run.items()})
 
 
 def sampled_pairs(tiles: DataFrame, seed: int = 0, offset: int = 0, limit: int = 0, sample: str = "random", slides: str = pairing.SLIDE) -> DataFrame:
-    """The pairs of a slice with their slide, written down."""
-    return stored(pairing.sampled(pairing.matched_pairs(tiles), seed, offset, limit, sample).withColumn("slide", pairing.slide_of("stem", slides)))
+    """The pairs of a slice with their slide, written down. A marker that has no pair at all is an error."""
+    pairs = stored(pairing.sampled(pairing.matched_pairs(tiles), seed, offset, limit, sample).withColumn("slide", pairing.slide_of("stem", slides)))
+    lacking = tiles.select("marker").distinct().join(pairs.select("marker").distinct(), "marker", "left_anti").first()
+    if lacking:
+        raise ValueError(f"no tiles to compare for {lacking['marker']!r}: a domain is missing, or the slice is past its pairs")
+    return pairs
 
 
-def pair_diagrams(tiles: DataFrame, pairs: DataFrame, chosen: list[tuple], combine: str = "sum", vectors: dict | None = None) -> DataFrame:
-    """marker, domain, name, diagrams: the sorted projections of every tile of the pairs, written down. Each diagram is computed once, for all settings and controls."""
+def pair_diagrams(tiles: DataFrame, pairs: DataFrame, chosen: list[tuple], combine: str = "sum", vectors: dict | DataFrame | None = None, image_size: int = 0, invert: bool = True) -> DataFrame:
+    """marker, domain, name, diagrams: the sorted projections of every tile of the pairs, written down. Each diagram is computed once, for all settings and controls.
+
+    A table of `vectors` gives each marker's tiles their own stains; where a setting names stain1 or stain2, a marker without vectors is an error.
+    """
     fields = {"A": sorted({s[0] for s in chosen}), "B": sorted({s[1] for s in chosen})}
     used = pairs.select("marker", F.explode(F.array(F.struct(F.lit("A").alias("domain"), F.col("a").alias("name")), F.struct(F.lit("B").alias("domain"), F.col("b").alias("name")))).alias("t")).select("marker", "t.*")
-    made = persistence.tile_diagrams(tiles.join(used.distinct(), ["marker", "domain", "name"], "left_semi"), fields, sorted({s[2] for s in chosen}), combine=combine, vectors=vectors)
+    held = tiles.join(used.distinct(), ["marker", "domain", "name"], "left_semi")
+    table = isinstance(vectors, DataFrame)
+    if table:
+        names = {n for specs in fields.values() for s in specs for n in s.replace("+", "/").split("/")}
+        held = stains.attached(held, vectors, needed=bool(names & set(tiling.OWN)))
+    made = persistence.tile_diagrams(held, fields, sorted({s[2] for s in chosen}), combine=combine, vectors=None if table else vectors, own=table, size=image_size, invert=invert)
     return stored(sorted_projections(made).select("marker", "domain", "name", "diagrams"))
 
 
 def pair_scores(pairs: DataFrame, made: DataFrame, chosen: list[tuple], control: str = "strict", shuffles: int = 1, seed: int = 0, decimals: int | None = None) -> DataFrame:
-    """The score rows of a slice under one control, from its pairs and pair_diagrams(); only sorted lists travel, once for each pair."""
+    """The score rows of a slice under one control, from its pairs and pair_diagrams(); only sorted lists travel, once for each pair.
+
+    A marker none of whose pairs has another partner is an error.
+    """
     if control not in ("strict", "unstratified"):
         raise ValueError(f"control must be strict or unstratified, not {control!r}")
     wrong = (pairing.strict_partners if control == "strict" else pairing.free_partners)(pairs, seed, shuffles)
-    wrong = stored(wrong.select("marker", "shuffle_no", "pair_idx", "partner_idx", F.lit(True).alias("wrong")))
-    if wrong.isEmpty():
-        raise ValueError("no pair has another partner: nothing to compare")
-    true = wrong.where("shuffle_no = 0").select("marker", F.lit(-1).alias("shuffle_no"), "pair_idx", F.col("pair_idx").alias("partner_idx"), F.lit(False).alias("wrong"))
-    side = lambda x, idx: pairs.select("marker", F.col("pair_idx").alias(idx), F.col(x).alias("name")).join(made.where(F.col("domain") == x.upper()), ["marker", "name"]).select("marker", idx, F.col("diagrams").alias(x))
-    both = wrong.unionByName(true).join(side("a", "pair_idx"), ["marker", "pair_idx"]).join(side("b", "partner_idx"), ["marker", "partner_idx"])
-    rows = stored(setting_distances(both, "a", "b", chosen, decimals).select("marker", "wrong", "distances"))
-    counts = pairs.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"))
+    wrong = stored(wrong.select("marker", "shuffle_no", "pair_idx", "partner_idx"))
+    lacking = pairs.select("marker").distinct().join(wrong.select("marker").distinct(), "marker", "left_anti").first()
+    if lacking:
+        raise ValueError(f"no pair of {lacking['marker']!r} has another partner: nothing to compare")
+    rows = stored(setting_distances(paired_diagrams(pairs, made, counted_pairs(wrong)), "a", "b", chosen, decimals).select("marker", "true_pairs", "wrong_pairs", "distances"))
+    counts = pairs.groupBy("marker").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("slide").alias("_slides"))
     got = by_setting(rows, ["marker"], chosen).join(counts, "marker").withColumnRenamed("n_true", "n_tiles")
-    return got.withColumns({k: F.lit(v) for k, v in {"control": control, "seed": seed, "shuffles": shuffles}.items()})
+    groups = F.col("_slides") if control == "strict" else F.lit(None).cast("long")
+    return got.withColumn("groups", groups).drop("_slides").withColumns({k: F.lit(v) for k, v in {"control": control, "seed": seed, "shuffles": shuffles}.items()})
+
+
+def counted_pairs(wrong: DataFrame) -> DataFrame:
+    """(marker, pair_idx, partner_idx, true_pairs, wrong_pairs): each two tiles that meet, once, and how often they do as a true and as a wrong pair.
+
+    wrong: marker, shuffle_no from 0, pair_idx, partner_idx. With many shuffles most wrong pairs come up again, so their distances would too.
+    """
+    pair = lambda partner, true: F.struct(partner.alias("partner_idx"), F.lit(int(true)).cast("long").alias("t"), F.lit(int(not true)).cast("long").alias("w"))
+    both = F.when(F.col("shuffle_no") == 0, F.array(pair(F.col("partner_idx"), False), pair(F.col("pair_idx"), True))).otherwise(F.array(pair(F.col("partner_idx"), False)))
+    each = wrong.select("marker", "pair_idx", F.explode(both).alias("x")).select("marker", "pair_idx", "x.*")
+    return each.groupBy("marker", "pair_idx", "partner_idx").agg(F.sum("t").alias("true_pairs"), F.sum("w").alias("wrong_pairs"))
+
+
+def paired_diagrams(pairs: DataFrame, made: DataFrame, meeting: DataFrame) -> DataFrame:
+    """meeting (marker, pair_idx, partner_idx, and more) with the diagrams of A's tile of pair_idx and B's of partner_idx as a and b."""
+    side = lambda x, idx: pairs.select("marker", F.col("pair_idx").alias(idx), F.col(x).alias("name")).join(made.where(F.col("domain") == x.upper()), ["marker", "name"]).select("marker", idx, F.col("diagrams").alias(x))
+    return meeting.join(side("a", "pair_idx"), ["marker", "pair_idx"]).join(side("b", "partner_idx"), ["marker", "partner_idx"])

@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from mosaica.functions import optics
 from mosaica.operators.ordering import percentiles
 
 WHITE = 220
+#: Columns of a tile's own stain vectors, and the names that they have in a field's specification.
+OWN = ["stain1", "stain2"]
+#: Rows of a table of keys that may be broadcast, some 100 bytes each; a larger one is joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Bytes of tiles that one numpy pass takes at a time.
 TOGETHER = 1 << 22
 
@@ -37,17 +42,44 @@ def pooled(images: np.ndarray, k: int) -> np.ndarray:
     return cut.reshape(n, h // k, k, w // k, k, c).mean((2, 4)) if k > 1 else cut
 
 
-def measured(tiles: DataFrame, name: str, kind: str, arrow: pa.DataType, measure: Callable[[np.ndarray], list]) -> DataFrame:
-    """tiles (h, w, rgb binary, and more) with a column that `measure` makes of a stack of images: a value for each; null without pixels."""
+def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """table, to be broadcast if it has at most `most` rows; else Spark chooses how to join it."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
-    def run(h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+
+def by_stains(rows: np.ndarray, first: list, second: list) -> Iterator[tuple[np.ndarray, dict]]:
+    """The rows that have the same two stain vectors, as places within `rows`, and these vectors by name (none where a row has none)."""
+    groups: dict[tuple, list[int]] = {}
+    for place, i in enumerate(rows.tolist()):
+        pair = None if first[i] is None or second[i] is None else (tuple(first[i]), tuple(second[i]))
+        groups.setdefault(pair, []).append(place)
+    for pair, places in groups.items():
+        yield np.array(places), dict(zip(OWN, pair, strict=True)) if pair else {}
+
+
+def measured(tiles: DataFrame, name: str, kind: str, arrow: pa.DataType, measure: Callable[..., list], own: bool = False) -> DataFrame:
+    """tiles (h, w, rgb binary, and more) with a column that `measure` makes of a stack of images: a value for each; null without pixels.
+
+    With `own`, tiles have columns stain1 and stain2, and measure(images, vectors) gets the images of each two vectors by themselves.
+    """
+
+    def filled(h: pa.Array, w: pa.Array, rgb: pa.Array, parts: Callable) -> pa.Array:
         out: list = [None] * len(rgb)
         for rows, images in by_size(h, w, rgb):
-            for i, v in zip(rows, measure(images), strict=True):
-                out[i] = v
+            for places, values in parts(rows, images):
+                for i, v in zip(rows[places], values, strict=True):
+                    out[i] = v
         return pa.array(out, arrow)
 
-    return tiles.withColumn(name, F.arrow_udf(run, kind).asNondeterministic()(F.col("h"), F.col("w"), F.col("rgb")))
+    def alike(h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
+        return filled(h, w, rgb, lambda rows, images: [(slice(None), measure(images))])
+
+    def each(h: pa.Array, w: pa.Array, rgb: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        one, two = first.to_pylist(), second.to_pylist()
+        return filled(h, w, rgb, lambda rows, images: [(p, measure(images[p], v)) for p, v in by_stains(rows, one, two)])
+
+    made = F.arrow_udf(each if own else alike, kind).asNondeterministic()
+    return tiles.withColumn(name, made(*map(F.col, ["h", "w", "rgb", *(OWN if own else [])])))
 
 
 def crop_grid(images: DataFrame, size: int, overlap: int = 0) -> DataFrame:
@@ -93,26 +125,26 @@ def survey(t: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.col("k").cast("long").alias("k"), "decile", *[f"under_{name(u)}" for u in UNDER], *[(F.col(f"under_{name(u)}") / F.col("n")).alias(f"share_{name(u)}") for u in UNDER])
 
 
-def stretched(tiles: DataFrame, spec: str = "gray", combine: str = "max", vectors: dict | None = None, k: int = 1, inverted: bool = False) -> DataFrame:
-    """tiles with `levels`: the field of k x k averages row by row, between its tile's 0.5 and 99.5 percentiles, on 0..1."""
+def stretched(tiles: DataFrame, spec: str = "gray", combine: str = "max", vectors: dict | None = None, k: int = 1, inverted: bool = False, own: bool = False) -> DataFrame:
+    """tiles with `levels`: the field of k x k averages row by row, between its tile's 0.5 and 99.5 percentiles, on 0..1. With `own` by each tile's own stains."""
 
-    def levels(images: np.ndarray) -> list:
-        v = optics.field_array(spec, pooled(images, k), combine, vectors).reshape(len(images), -1)
+    def levels(images: np.ndarray, held: dict | None = None) -> list:
+        v = optics.field_array(spec, pooled(images, k), combine, held or vectors).reshape(len(images), -1)
         v = -v if inverted else v
         lo, hi = np.percentile(v, [0.5, 99.5], axis=1)
         return list(np.clip((v - lo[:, None]) / np.where(hi <= lo, 1e-6, hi - lo)[:, None], 0, 1))
 
-    return measured(tiles, "levels", "array<double>", pa.list_(pa.float64()), levels)
+    return measured(tiles, "levels", "array<double>", pa.list_(pa.float64()), levels, own)
 
 
-def rendered(tiles: DataFrame, spec: str, combine: str = "max", vectors: dict | None = None) -> DataFrame:
-    """tiles with `levels`: the concentration that a spec names as 8-bit levels, dark where it is strong, row by row."""
+def rendered(tiles: DataFrame, spec: str, combine: str = "max", vectors: dict | None = None, own: bool = False) -> DataFrame:
+    """tiles with `levels`: the concentration that a spec names as 8-bit levels, dark where it is strong, row by row. With `own` by each tile's own stains."""
 
-    def levels(images: np.ndarray) -> list:
-        c = optics.field_array(spec, images.astype(float), combine, vectors).reshape(len(images), -1)
+    def levels(images: np.ndarray, held: dict | None = None) -> list:
+        c = optics.field_array(spec, images.astype(float), combine, held or vectors).reshape(len(images), -1)
         return list(np.clip(np.rint(255.0 * 10.0 ** -np.maximum(c, 0.0)), 0, 255).astype(np.int32))
 
-    return measured(tiles, "levels", "array<int>", pa.list_(pa.int32()), levels)
+    return measured(tiles, "levels", "array<int>", pa.list_(pa.int32()), levels, own)
 
 
 def downsampled(tiles: DataFrame, k: int) -> DataFrame:
@@ -121,10 +153,10 @@ def downsampled(tiles: DataFrame, k: int) -> DataFrame:
     return measured(tiles, "pooled", "array<array<double>>", kind, lambda images: [list(x.reshape(-1, 3).T) for x in pooled(images, k)])
 
 
-def pending(wanted: DataFrame, done: DataFrame, key: str, limit: int = 0) -> DataFrame:
+def pending(wanted: DataFrame, done: DataFrame, key: str | list[str], limit: int = 0) -> DataFrame:
     """What is wanted and not done yet, in order of the key; done rows don't count against the limit (0: none)."""
     rest = wanted.join(done, key, "left_anti")
-    return rest.orderBy(key).limit(limit) if limit else rest
+    return rest.orderBy(*([key] if isinstance(key, str) else key)).limit(limit) if limit else rest
 
 
 def _weights(n: int, m: int, kernel: Callable[[np.ndarray], np.ndarray], support: float) -> np.ndarray:
@@ -172,9 +204,14 @@ def loaded(tiles: DataFrame, size: int) -> DataFrame:
     return measured(tiles, "x", "array<double>", pa.list_(pa.float64()), scaled)
 
 
-def cropped(images: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """The crops of images (h, w, rgb binary, and more): grid_row, grid_col, top, left, and h, w and rgb of the crop. Crops of an image are cut in the task that holds it."""
+def cropped(images: DataFrame, size: int, overlap: int = 0, done: DataFrame | None = None) -> DataFrame:
+    """The crops of images (h, w, rgb binary, and more): grid_row, grid_col, top, left, and h, w and rgb of the crop. Crops of an image are cut in the task that holds it.
+
+    Places that `done` (columns of images, grid_row, grid_col) lists are not cut again.
+    """
     places = crop_grid(images.select(*[c for c in images.columns if c != "rgb"], "rgb"), size, overlap)
+    if done is not None:
+        places = places.join(small(done), done.columns, "left_anti")
 
     def run(w: pa.Array, rgb: pa.Array, top: pa.Array, left: pa.Array) -> pa.Array:
         out = []
@@ -187,17 +224,17 @@ def cropped(images: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     return places.withColumn("rgb", made).withColumns({"h": F.lit(size), "w": F.lit(size)})
 
 
-def translate(tiles: DataFrame, tile: str, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """tiles with `out`: the model's answer to an array on -1..1, brought to 0..1 and clamped. The model is made once a batch stream."""
-
-    return tiles.withColumn("out", _iterated(make_model)(F.col(tile)))
+def translate(tiles: DataFrame, tile: str, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], values: int, batch: int = 64) -> DataFrame:
+    """tiles with `out`: the model's answer to arrays of `values` numbers on -1..1, brought to 0..1 and clamped; null for a null array.
 
+    The model is made once in each Python worker and gets `batch` tiles at a time as an array (tiles, values); it answers with one of as many rows.
+    """
 
-def _iterated(make_model) -> Callable[[Column], Column]:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable[[np.ndarray], np.ndarray]:
         model = make_model()
-        for s in batches:
-            yield pd.Series([np.clip((model(np.asarray(x, float)) + 1) / 2, 0, 1) for x in s])
+        return lambda x: np.clip((np.asarray(model(np.asarray(x, float).reshape(len(x), values)), float).reshape(len(x), -1) + 1) / 2, 0, 1)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<double>")
+    kind = tiles.schema[tile].dataType.elementType.simpleString()
+    none = F.array_repeat(F.lit(0).cast(kind), values)  # batches can't hold nulls
+    answer = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[values]])
+    return tiles.withColumn("out", F.when(F.col(tile).isNotNull(), answer(F.coalesce(tile, none))))

@@ -15,7 +15,7 @@ from mosaica.operators import pairing, persistence, registration, reports, scori
 from mosaica.plans import jobs
 from mosaica.sources import fixtures, images
 from mosaica.sources.fixtures import duck, fixture
-from mosaica.sources.scratch import shared_dir
+from mosaica.sources.scratch import shared_dir, stored
 
 KEY = ["vec_id", "domain"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,33 @@ def j03(spark, d):
     return registration.registered_pairs(cases(spark, d), 512)
 
 
+#: Images that are there: all but every 13th; B places no tile of every fourth case, and of the others one place twice.
+INDEXED = CASES.split(",\n good AS")[0] + """,
+ there AS (SELECT * FROM cases WHERE hash_of(case_id, id) % 13 <> 5),
+ placed AS (SELECT *, CAST(x AS INT) AS xi, CAST(y AS INT) AS yi FROM cases WHERE case_id NOT IN (SELECT case_id FROM cases WHERE x = 'n/a') AND NOT (domain = 'B' AND num_of(case_id) % 4 = 1)),
+ pa AS (SELECT * FROM placed WHERE domain = 'A'), pb AS (SELECT case_id, xi, yi, id FROM placed WHERE domain = 'B' AND id <> '7' UNION ALL SELECT case_id, 1536, 0, id FROM placed WHERE domain = 'B' AND id = '7'),
+ lastb AS (SELECT case_id, xi, yi, arg_max(id, CAST(id AS INT)) AS id FROM pb GROUP BY ALL),
+ bycoord AS (SELECT a.case_id, a.id AS id_a, b.id AS id_b, 'coordinate' AS how, concat(a.case_id, '_', CAST(a.yi // 512 // 2 AS VARCHAR), '_', CAST(a.xi // 512 // 2 AS VARCHAR), '_r', CAST(a.yi // 512 % 2 AS VARCHAR), 'c', CAST(a.xi // 512 % 2 AS VARCHAR)) AS name FROM pa a JOIN lastb b USING (case_id, xi, yi)),
+ byid AS (SELECT a.case_id, a.id AS id_a, b.id AS id_b, 'id' AS how, concat(a.case_id, '_', a.id) AS name FROM there a JOIN there b ON a.domain = 'A' AND b.domain = 'B' AND a.case_id = b.case_id AND a.id = b.id WHERE a.case_id NOT IN (SELECT case_id FROM pb)),
+ found AS (SELECT * FROM (SELECT * FROM bycoord UNION ALL SELECT * FROM byid) p WHERE EXISTS (SELECT 1 FROM there t WHERE t.domain = 'A' AND t.case_id = p.case_id AND t.id = p.id_a) AND EXISTS (SELECT 1 FROM there t WHERE t.domain = 'B' AND t.case_id = p.case_id AND t.id = p.id_b))"""
+INDEXED = INDEXED.replace("hash_of(case_id, id)", "(CAST(substr(case_id, 2) AS INT) * 7 + CAST(id AS INT))").replace("num_of(case_id)", "CAST(substr(case_id, 2) AS INT)")
+
+
+@query("j03_j04_indexed_places", duck("SELECT * FROM found", before=INDEXED))
+def j03_indexed(spark, d):
+    """Pairs by the files that place tiles and the images that are there: both sides of registered_pairs()."""
+    c = cases(spark, d)
+    number = "CAST(substr(case_id, 2) AS INT)"
+    there = c.where(f"({number} * 7 + CAST(id AS INT)) % 13 <> 5").select("domain", "case_id", "id")
+    bad = c.where("x = 'n/a'").select("case_id")
+    placed = c.join(bad, "case_id", "left_anti").where(f"NOT (domain = 'B' AND {number} % 4 = 1)")
+    twice = (F.col("domain") == "B") & (F.col("id") == "7")
+    placed = placed.select("domain", "case_id", "id", *[F.when(twice, v).otherwise(F.col(k).cast("long")).alias(k) for k, v in (("x", 1536), ("y", 0))], F.lit(512).cast("long").alias("tile_size"), F.col("id").cast("int").alias("line"))
+    shared = there.groupBy("case_id").agg(F.countDistinct("domain").alias("n")).where("n = 2").select("case_id")
+    meta = registration.located(placed, there).join(shared, "case_id", "left_semi")
+    return registration.registered_pairs(meta, "tile_size", there, "line")
+
+
 @query("a09_registration_report", duck("""SELECT c.case_id, c.tiles_a, c.tiles_b, coalesce(p.paired, 0) AS paired, round(p.agree, 6) AS id_agreement FROM
   (SELECT case_id, count(*) FILTER (WHERE domain = 'A') AS tiles_a, count(*) FILTER (WHERE domain = 'B') AS tiles_b FROM cases GROUP BY ALL) c
   LEFT JOIN (SELECT case_id, count(*) AS paired, avg(CASE WHEN id_a = id_b THEN 1.0 ELSE 0.0 END) AS agree FROM pairs GROUP BY ALL) p USING (case_id) WHERE tiles_a > 0 AND tiles_b > 0""", before=CASES))
@@ -216,9 +243,18 @@ def a08(spark, d):
 @query("j10_a22_pair_filter", duck("""SELECT m.marker, count(*) AS kept, count(*) // 2 AS per_slice, round(0.5 + 2.58 * sqrt(0.16667 / greatest(count(*) // 2, 1)), 6) AS bar
   FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.domain = 'A' AND b.domain = 'B' JOIN tiles m ON m.vec_id = a.vec_id AND m.domain = 'A' WHERE least(a.tissue, b.tissue) >= 0.5 GROUP BY m.marker""", "pixels", "tiles", before=TISSUE))
 def j10(spark, d):
-    t = tiling.tissue(tile_images(spark, d))
-    a, b = (t.where(f"domain = '{x}'").select("marker", "vec_id", F.col("tissue").alias(x)) for x in "AB")
-    return registration.power(a.join(b, ["marker", "vec_id"]).where("least(A, B) >= 0.5"), ["marker"]).withColumn("bar", r6("bar"))
+    t = tiling.tissue(tile_images(spark, d)).select("domain", F.col("marker").alias("case_id"), F.col("vec_id").alias("id"), "tissue")
+    a, b = (t.where(f"domain = '{x.upper()}'").select("case_id", "id", F.col("id").alias(f"id_{x}")) for x in "ab")
+    kept = registration.with_tissue(a.join(b, ["case_id", "id"]), t, 0.5).withColumnRenamed("case_id", "marker")
+    return registration.power(kept, ["marker"]).withColumn("bar", r6("bar"))
+
+
+@query("j10_training_filter", duck("""SELECT m.marker AS case_id, t.domain, count(*) AS tiles FROM t JOIN tiles m USING (vec_id, domain) WHERE tissue >= 0.5 AND m.marker <> 'PR' GROUP BY ALL""", "pixels", "tiles", before=TISSUE))
+def j10_training(spark, d):
+    """Training tiles: each side alone, without a held-out case."""
+    t = stored(tiling.tissue(tile_images(spark, d)).select("domain", F.col("marker").alias("case_id"), F.col("vec_id").alias("id"), "tissue"))
+    held = t.where("case_id = 'PR'").select("case_id")
+    return registration.training_tiles(t.drop("tissue"), t, held, 0.5).groupBy("case_id", "domain").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 # ---- pairs, partners, splits
@@ -264,6 +300,17 @@ def j05(spark, d):
     return pairing.strict_partners(pairs(spark, d), 7, 3)
 
 
+@query("j08_counted_pairs", duck("""SELECT marker, pair_idx, partner_idx, CAST(sum(t) AS BIGINT) AS true_pairs, CAST(sum(w) AS BIGINT) AS wrong_pairs FROM
+  (SELECT a.marker, a.pair_idx, b.pair_idx AS partner_idx, 0 AS t, 1 AS w FROM
+   (SELECT *, row_number() OVER (PARTITION BY marker, slide ORDER BY pair_idx) - 1 AS rn, count(*) OVER (PARTITION BY marker, slide) AS n FROM tp) a CROSS JOIN range(10) s(shuffle_no)
+   JOIN (SELECT marker, slide, pair_idx, row_number() OVER (PARTITION BY marker, slide ORDER BY pair_idx) - 1 AS rn FROM tp) b ON a.marker = b.marker AND a.slide = b.slide
+   WHERE n > 1 AND b.rn = (a.rn + 1 + CAST(concat('0x', substr(md5(concat('7:', a.slide, ':', CAST(shuffle_no AS VARCHAR))), 1, 8)) AS BIGINT) % (n - 1)) % n
+   UNION ALL SELECT marker, pair_idx, pair_idx, 1, 0 FROM (SELECT *, count(*) OVER (PARTITION BY marker, slide) AS n FROM tp) WHERE n > 1) GROUP BY ALL""", "tiles", before=PAIRS))
+def j08_counted(spark, d):
+    """What ten shuffles compare: each two tiles once, with how often they meet."""
+    return sweep.counted_pairs(pairing.strict_partners(pairs(spark, d), 7, 10))
+
+
 @query("j06_free_partners", duck("""SELECT marker, shuffle_no, pair_idx, coalesce(lead(pair_idx) OVER w, first(pair_idx) OVER (PARTITION BY marker, shuffle_no ORDER BY md5(concat('7:', CAST(pair_idx AS VARCHAR), ':', CAST(shuffle_no AS VARCHAR))), pair_idx)) AS partner_idx
   FROM tp CROSS JOIN range(3) s(shuffle_no) WINDOW w AS (PARTITION BY marker, shuffle_no ORDER BY md5(concat('7:', CAST(pair_idx AS VARCHAR), ':', CAST(shuffle_no AS VARCHAR))), pair_idx)""", "tiles", before=PAIRS))
 def j06(spark, d):
@@ -317,7 +364,7 @@ def s06_tiles(spark, d):
 
 # ---- stains
 
-BIG = "px AS (SELECT l_orderkey % 16 AS tile, 1 + (l_partkey * 7) % 200 AS r, 1 + (l_suppkey * 13 + l_partkey) % 200 AS g, 1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS b FROM lineitem)"
+BIG = "px AS (SELECT l_orderkey % 16 AS tile, l_orderkey % 8 AS marker, CASE WHEN l_orderkey % 16 < 8 THEN 'A' ELSE 'B' END AS domain, 1 + (l_partkey * 7) % 200 AS r, 1 + (l_suppkey * 13 + l_partkey) % 200 AS g, 1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS b FROM lineitem)"
 
 
 def big(spark, d):
@@ -350,8 +397,8 @@ def degrees3(a: str, b: str) -> str:
     return f"degrees(acos(least(1.0, greatest(-1.0, {dot3(a, b)}))))"
 
 
-#: Eigenvalues in closed form, eigenvectors as cross products, percentiles of the angle, and the rules of order; "big" has a marker and a domain.
-PLANE = f"""od AS (SELECT tile % 8 AS marker, CASE WHEN tile < 8 THEN 'A' ELSE 'B' END AS domain, * FROM (SELECT tile, {', '.join(f'{ODE.format(c)} AS o{i}' for i, c in enumerate('rgb'))} FROM px) WHERE greatest(o0, o1, o2) BETWEEN 0.05 AND 1.0),
+#: Eigenvalues in closed form, eigenvectors as cross products, percentiles of the angle, and the rules of order, of pixels px with a marker and a domain.
+PLANE = f"""od AS (SELECT * FROM (SELECT marker, domain, {', '.join(f'{ODE.format(c)} AS o{i}' for i, c in enumerate('rgb'))} FROM px) WHERE greatest(o0, o1, o2) BETWEEN 0.05 AND 1.0),
  mo AS (SELECT marker, domain, count(*) AS n, {', '.join(f'avg(o{i} * o{j}) AS m{i}{j}' for i in range(3) for j in range(i, 3))} FROM od GROUP BY ALL),
  e0 AS (SELECT *, (m00 + m11 + m22) / 3 AS q FROM mo),
  e1 AS (SELECT *, sqrt(((m00 - q) * (m00 - q) + (m11 - q) * (m11 - q) + (m22 - q) * (m22 - q) + 2 * (m01 * m01 + m02 * m02 + m12 * m12)) / 6) AS p FROM e0),
@@ -438,6 +485,56 @@ def a10_euler(spark, d):
     return each.select(*KEY, "t", ((F.col("low") <= F.col("t")).cast("long") + alive(0) - alive(1)).alias("euler"))
 
 
+#: Two stain vectors for each marker and domain: other ones for each.
+MARKED = {(m, x): tuple(optics.STAINS[n] for n in names) for m, both in {"ER": (("hematoxylin", "eosin"), ("dab", "hematoxylin")), "Ki67": (("eosin", "hematoxylin"), ("hematoxylin", "dab")), "PR": (("hematoxylin", "dab"), ("eosin", "dab"))}.items() for x, names in zip("AB", both, strict=True)}
+OWN_CONC = " ".join(f"WHEN m.marker = '{m}' AND p.domain = '{x}' THEN {conc(optics.unit(a), optics.unit(b))}" for (m, x), (a, b) in MARKED.items())
+
+
+def vector_table(spark, marked=MARKED):
+    return spark.createDataFrame([(m, "own", x, list(optics.unit(a)), list(optics.unit(b)), 0.0) for (m, x), (a, b) in marked.items()], images.VECTORS)
+
+
+@query("p14_marker_vectors", duck("SELECT vec_id, domain, t, CAST(sum(CASE WHEN v <= t THEN s ELSE 0 END) AS BIGINT) AS euler FROM cells CROSS JOIN (VALUES (-0.4), (-0.2), (0.0)) h(t) GROUP BY ALL", "pixels", "tiles", before=GRID.replace(GRID.split(",\n corner")[0], f"v AS (SELECT p.vec_id, p.domain, y, x, round(-(CASE {OWN_CONC} END), 3) AS v FROM pixels p JOIN tiles m USING (vec_id, domain))")))
+def p14(spark, d):
+    """Diagrams of the field stain1/stain2, which is another one for each marker and domain."""
+    held = stains.attached(tile_images(spark, d), vector_table(spark), needed=True)
+    made = persistence.tile_diagrams(held, {"A": ["stain1/stain2"], "B": ["stain1/stain2"]}, [1], decimals=3, own=True)
+    low = tiling.measured(made, "low", "double", pa.float64(), lambda x, v: [round(float(-c), 3) for c in optics.field_array("stain1/stain2", x.astype(float), vectors=v).max((1, 2))], own=True)
+    each = low.select(*KEY, "low", F.col("diagrams")[0]["d"].alias("d"), F.explode(F.array(*map(F.lit, (-0.4, -0.2, 0.0)))).alias("t"))
+    alive = lambda k: F.aggregate(F.zip_with(F.col(f"d.birth{k}"), F.col(f"d.death{k}"), lambda b, x: ((b <= F.col("t")) & (F.col("t") < x)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return each.select(*KEY, "t", ((F.col("low") <= F.col("t")).cast("long") + alive(0) - alive(1)).alias("euler"))
+
+
+SOLVED = lambda v, w: f"(({' + '.join(f'd{i} * {v}{i}' for i in range(3))}) - ({dot3(v, w)}) * ({' + '.join(f'd{i} * {w}{i}' for i in range(3))})) / (1 - {dot3(v, w)} * {dot3(v, w)})"
+
+
+@query("a07_p14_estimated_fields", duck(f"""SELECT vec_id, domain, round(avg(CASE domain WHEN 'A' THEN {SOLVED('f', 'g')} ELSE {SOLVED('h', 'k')} END), 4) AS level FROM
+  (SELECT p.vec_id, p.domain, m.marker, {', '.join(f'{ODF.format(c)} AS d{i}' for i, c in enumerate('rgb'))} FROM pixels p JOIN tiles m USING (vec_id, domain)) q JOIN ob USING (marker) GROUP BY ALL""", "pixels", "tiles", before="px AS (SELECT m.marker, p.domain, r, g, b FROM pixels p JOIN tiles m USING (vec_id, domain)), " + PLANE))
+def a07_fields(spark, d):
+    """From tiles to each marker's own estimated vectors, through their table, to the field that they give."""
+    t = stored(tile_images(spark, d))
+    _, vectors = jobs.estimate_stains(t, limit=0, pixels=0)
+    level = tiling.measured(stains.attached(t, stored(vectors), needed=True), "level", "double", pa.float64(), lambda x, v: optics.field_array("stain1/stain2", x.astype(float), vectors=v).mean((1, 2)).tolist(), own=True)
+    return level.select(*KEY, F.round("level", 4).alias("level"))
+
+
+@query("a10_s09_critical_pixels", duck("SELECT vec_id, domain, 0 AS off FROM tiles", "tiles"))
+def a10_places(spark, d):
+    """The written table of diagrams, read again: how many births and deaths of a tile differ from the field at the pixels that are said to give them. At 6 decimals, as it is written."""
+    t = stored(tile_images(spark, d))
+    made = persistence.tile_diagrams(t, {"A": ["gray", "hematoxylin/eosin"], "B": ["gray"]}, [1], places=True)
+    out = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/diagrams-{uuid.uuid4().hex}"
+    images.write_diagrams(persistence.diagram_rows(made, ["marker", *KEY], places=True), out, ["marker", "domain"])
+    level = {"gray": optics.gray(), "hematoxylin/eosin": optics.field("hematoxylin/eosin")}
+    field = pixels(spark, d).select(*KEY, "y", "x", F.explode(F.create_map(*[c for n, v in level.items() for c in (F.lit(n), -v)])).alias("spec", "v"))
+    rows = spark.read.parquet(out)
+    at = lambda n: field.select(*KEY, "spec", F.col("y").alias(f"{n}_y"), F.col("x").cast("int").alias(f"{n}_x"), F.col("v").alias(f"at_{n}"))
+    both = rows.join(at("birth"), [*KEY, "spec", "birth_y", "birth_x"], "left").join(at("death"), [*KEY, "spec", "death_y", "death_x"], "left")
+    near = lambda n: F.coalesce(F.abs(F.col(n) - F.col(f"at_{n}")) < 2e-6, F.lit(False))
+    wrong = both.where(~(near("birth") & near("death") & (F.abs(F.col("lifetime") - F.col("death") + F.col("birth")) < 2e-6) & (F.col("lifetime") > 0))).groupBy(*KEY).agg(F.count(F.lit(1)).alias("off"))
+    return t.select(*KEY).join(wrong, KEY, "left").select(*KEY, F.coalesce("off", F.lit(0)).cast("int").alias("off"))
+
+
 POINTS = """pt AS (SELECT l_orderkey % 400 AS tile, l_returnflag AS side, CAST(l_linenumber % 2 AS INT) AS dim, CAST(l_discount AS DOUBLE) AS birth, CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01 AS death FROM lineitem WHERE l_returnflag IN ('A', 'N')),
  q AS (SELECT tile, side, dim, CASE dim WHEN 0 THEN death - birth ELSE birth END AS p FROM pt),
  n AS (SELECT tile, dim, count(*) FILTER (WHERE side = 'A') AS na, count(*) FILTER (WHERE side = 'N') AS nb FROM q GROUP BY ALL),
@@ -565,8 +662,9 @@ def a20(spark, d):
 @query("s08_score_table", duck("SELECT marker, vectors, control, CASE slice WHEN 1 THEN 'screen' ELSE 'confirm' END AS stage, count(*) AS n, round(sum(auroc * (1 + combo_no)), 4) AS s FROM scores GROUP BY ALL", "scores"))
 def s08(spark, d):
     out = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/scores-{uuid.uuid4().hex}"
-    for rows, stage in zip(halves(spark, d), ("screen", "confirm"), strict=True):
-        images.append_scores(rows.withColumn("stage", F.lit(stage)), out)
+    for _ in range(2):  # a run that is written again leaves the table as it was
+        for rows, stage in zip(halves(spark, d), ("screen", "confirm"), strict=True):
+            images.append_scores(rows.withColumn("stage", F.lit(stage)), out)
     got = spark.read.parquet(out).groupBy("marker", "vectors", "control", "stage")
     return got.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("auroc") * (1 + F.col("combo_no"))), 4).alias("s"))
 
@@ -586,7 +684,7 @@ def j07(spark, d):
 @query("x01_inference", "SELECT vec_id, round(avg(least(1.0, greatest(0.0, (0.5 * v + 0.1 + 1) / 2))), 5) AS mean_out FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id")
 def x01(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("tile"))
-    out = tiling.translate(e, "tile", lambda: lambda x: 0.5 * x + 0.1)
+    out = tiling.translate(e, "tile", lambda: lambda x: 0.5 * x + 0.1, 64)
     return out.select("vec_id", F.round(F.aggregate("out", F.lit(0.0), lambda s, x: s + x) / F.size("out"), 5).alias("mean_out"))
 
 
@@ -646,6 +744,25 @@ def a14(spark, d):
     return reports.matched_loss(costs(spark, d), "batch", "tile_a", "tile_b").select("batch", "matched", r6("mean_loss").alias("mean_loss"), r6("sum_loss").alias("sum_loss"))
 
 
+@query("a14_matched_sets", duck("""SELECT batch, CAST(least(m, k) AS BIGINT) AS matched, round(coalesce(best, 0) / greatest(1, least(m, k)), 6) AS mean_loss, round(coalesce(best, 0), 6) AS sum_loss FROM
+  (SELECT batch, max(m) AS m, max(k) AS k FROM (SELECT batch, count(*) AS m, 0 AS k FROM lf_ GROUP BY batch UNION ALL SELECT batch, 0, count(*) FROM rt_ GROUP BY batch) GROUP BY batch)
+  LEFT JOIN (SELECT batch, min(cost) AS best FROM step JOIN sizes USING (batch) WHERE i = m AND taken = least(m, k) GROUP BY batch) USING (batch)""", before=POINT_ROWS + f""",
+ lf_ AS (SELECT tile // 4 AS batch, tile, p0, p1, row_number() OVER (PARTITION BY tile // 4 ORDER BY tile) AS i FROM pk WHERE side = 'A' AND tile // 4 % 5 <> 0),
+ rt_ AS (SELECT tile // 4 AS batch, tile, p0, p1, row_number() OVER (PARTITION BY tile // 4 ORDER BY tile) AS j FROM pk WHERE side = 'N' AND tile % 3 <> 1 AND tile // 4 % 7 <> 3),
+ sizes AS (SELECT batch, m, k FROM (SELECT batch, count(*) AS m FROM lf_ GROUP BY batch) JOIN (SELECT batch, count(*) AS k FROM rt_ GROUP BY batch) USING (batch)),
+ cost AS (SELECT a.batch, a.i, b.j, {listed('a.p0', 'b.p0')} + {listed('a.p1', 'b.p1')} AS c FROM lf_ a JOIN rt_ b USING (batch)),
+ step AS (WITH RECURSIVE s(batch, i, used, taken, cost) AS (SELECT batch, 0, []::BIGINT[], 0, 0.0::DOUBLE FROM sizes
+   UNION ALL SELECT s.batch, s.i + 1, CASE WHEN o.j IS NULL THEN s.used ELSE list_append(s.used, o.j) END, s.taken + CASE WHEN o.j IS NULL THEN 0 ELSE 1 END, s.cost + coalesce(o.c, 0)
+   FROM s JOIN sizes z ON z.batch = s.batch AND s.i < z.m JOIN (SELECT batch, i, j, c FROM cost UNION ALL SELECT DISTINCT batch, i, NULL, NULL FROM cost) o ON o.batch = s.batch AND o.i = s.i + 1 AND (o.j IS NULL OR NOT list_contains(s.used, o.j)))
+   SELECT * FROM s)"""))
+def a14_sets(spark, d):
+    """Batches of up to four diagrams a side, some with an empty one, against all assignments."""
+    p = point_diagrams(spark, d)
+    left = side(p, "A", "a").withColumn("batch", F.expr("tile div 4")).where("batch % 5 <> 0").withColumnRenamed("tile", "tile_a")
+    right = side(p, "N", "b").withColumn("batch", F.expr("tile div 4")).where("tile % 3 <> 1 AND batch % 7 <> 3").withColumnRenamed("tile", "tile_b")
+    return reports.matched_sets(left, right, "batch", "tile_a", "tile_b").select("batch", "matched", r6("mean_loss").alias("mean_loss"), r6("sum_loss").alias("sum_loss"))
+
+
 ROLE = "element_at(array('real_A', 'rec_A', 'fake_B', 'real_B', 'rec_B', 'fake_A'), CAST(1 + l_linenumber % 6 AS INT))"
 ROLED = """pt AS (SELECT l_returnflag AS run, l_orderkey % 100 AS tile, list_extract(['real_A', 'rec_A', 'fake_B', 'real_B', 'rec_B', 'fake_A'], 1 + l_linenumber % 6) AS role, l_suppkey % 2 AS dim,
   CAST(l_discount AS DOUBLE) AS birth, CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.01 AS death FROM lineitem),
@@ -714,6 +831,7 @@ def j08_points(spark, d):
     both = spark.range(40).select(F.col("id").alias("ta"), F.explode(F.array(F.struct(F.col("id").alias("tb"), F.lit(False).alias("wrong")), F.struct(((F.col("id") + 1) % 40).alias("tb"), F.lit(True).alias("wrong")))).alias("p")).select("ta", "p.*")
     chosen = sweep.settings(["f0", "f1"], ["f0", "f1"], [1, 2])
     rows = sweep.setting_distances(both.join(a, "ta").join(b, "tb"), "a", "b", chosen, 6)
+    rows = rows.withColumns({"true_pairs": (~F.col("wrong")).cast("long"), "wrong_pairs": F.col("wrong").cast("long")})
     return sweep.by_setting(rows, [], chosen).select("combo_no", *sweep.COMBO, F.round("true_mean", 5).alias("true_mean"), F.round("auroc", 8).alias("auroc"))
 
 
@@ -726,6 +844,40 @@ def audited(spark, d):
     return out["decided"].select("marker", "vectors", "place", *scoring.SETTING, r6("confirm_auroc").alias("confirm_auroc"), "n_tiles", "n_candidates", "supported", "rank")
 
 
+@query("w02_audit_slices", duck("""SELECT marker, v.vectors, c.control, c.stage, c.k * half AS "offset", half AS "limit", count(*) AS n_pairs, count(*) FILTER (WHERE c.control = 'unstratified' OR near > 1) AS n_tiles, CASE WHEN c.control = 'strict' THEN count(DISTINCT slide) ELSE 0 END AS groups
+  FROM (SELECT *, count(*) OVER (PARTITION BY marker, slide, pair_idx // half) AS near FROM (SELECT *, greatest(1, count(*) OVER (PARTITION BY marker) // 2) AS half FROM tp))
+  JOIN (VALUES ('screen', 'strict', 0), ('screen', 'unstratified', 0), ('confirm', 'strict', 1)) c(stage, control, k) ON pair_idx // half = c.k CROSS JOIN (VALUES ('fixed'), ('estimated')) v(vectors) GROUP BY marker, v.vectors, c.control, c.stage, c.k, half""", "tiles", before=PAIRS))
+def w02_audit(spark, d):
+    """The audit's slices, each half of its marker's own pairs, with the vectors of the literature and a table of each marker's own."""
+    t = stored(tile_images(spark, d))
+    _, vectors = jobs.estimate_stains(t, pixels=16, limit=40, least=100)
+    one = lambda a, b: sweep.settings([a], [b], [2], ["0"], ["auto"])
+    got = jobs.audit(t, {"fixed": (one("gray", "gray"), None), "estimated": (one("stain1/stain2", "stain2/stain1"), stored(vectors))}, seed=7, decimals=6)
+    both = got["screen"].withColumn("stage", F.lit("screen")).unionByName(got["second"].withColumn("stage", F.lit("confirm")))
+    return both.select("marker", "vectors", "control", "stage", "offset", "limit", "n_pairs", "n_tiles", F.coalesce("groups", F.lit(0)).alias("groups"))
+
+
+@query("estimate_and_score")
+def estimated(spark, d):
+    """Vectors from the slides that a seeded draw leaves for training, scores on the slides held out."""
+    t = stored(pairing.holdout(tile_images(spark, d), 0.5, 7))
+    train, val = (t.where(F.col("split") == x).drop("split") for x in ("train", "val"))
+    got = jobs.estimate_and_score(train, val, estimate={"pixels": 48, "limit": 0}, shuffles=3, seed=7, decimals=6)["scores"]
+    return got.select("marker", "vectors", "combo_no", *sweep.COMBO, *[r6(c).alias(c) for c in ("true_mean", "wrong_mean", "auroc", "auroc_se")], "n_tiles", "n_wrong", "n_pairs", "groups", "sample", "slide_regex", "image_size", "invert")
+
+
+@query("x02_pair_vectors", duck(f"""SELECT regexp_extract(marker, '^[^/]+') AS marker, CAST(regexp_extract(marker, '[0-9]+$') AS BIGINT) AS pair_idx, round({degrees3('f', 'g')}, 3) AS separation_a, round({degrees3('h', 'k')}, 3) AS separation_b, round({degrees3('f', 'h')}, 3) AS shared_angle FROM ob""", "tiles", "pixels",
+   before=TISSUE + ", shown AS (SELECT tiles.* FROM tiles JOIN t USING (vec_id, domain) WHERE tissue >= 0.5), " + PAIRS.replace("FROM tiles a JOIN tiles b", "FROM shown a JOIN shown b") + """,
+  px AS (SELECT concat(tp.marker, '/', CAST(pair_idx AS VARCHAR)) AS marker, p.domain, r, g, b FROM tp JOIN shown s ON s.marker = tp.marker AND s.stem = tp.stem JOIN pixels p ON p.vec_id = s.vec_id AND p.domain = s.domain WHERE pair_idx < 40), """ + PLANE))
+def x02_vectors(spark, d):
+    """Stain vectors of inspected pairs, estimated from each pair's own two tiles."""
+    shown = tiling.tissue(tile_images(spark, d)).where("tissue >= 0.5").drop("tissue")
+    got = jobs.inspect_pairs(shown, "stain1/stain2", "stain1+stain2", 40, seed=7, vectors="pair", least=2)
+    a, b = (got["vectors"].where(F.col("domain") == x).select("marker", "pair_idx", F.col("stain1").alias(f"first_{x}"), F.col("separation_deg").alias(f"separation_{x.lower()}")) for x in "AB")
+    angle = optics.angle(F.col("first_A"), F.col("first_B"))
+    return a.join(b, ["marker", "pair_idx"]).select("marker", "pair_idx", *[F.round(c, 3).alias(c) for c in ("separation_a", "separation_b")], F.round(angle, 3).alias("shared_angle"))
+
+
 def inspection(spark, d):
     return jobs.inspect_pairs(tile_images(spark, d), "hematoxylin/eosin", "dab+hematoxylin", 40, seed=7)
 

@@ -242,10 +242,11 @@ def test_vectors_and_scores_are_read_as_written(spark, tmp_path):
     v = spark.createDataFrame([("ER", "fixed", "A", [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 90.0), ("ER", "fixed", "B", [1.0, 0.0, 0.0], None, None)], images.VECTORS)
     images.write_vectors(v, str(tmp_path / "v"))
     assert [r["domain"] for r in images.read_vectors(spark, str(tmp_path / "v")).collect()] == ["A"]
-    s = spark.createDataFrame([("ER", "fixed", "strict", "screen", 0.6)], "marker string, vectors string, control string, stage string, auroc double")
-    for _ in range(2):
-        images.append_scores(s, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).where("marker = 'ER' AND stage = 'screen'").count() == 2
+    s = spark.createDataFrame([("ER", "fixed", "strict", "screen", 0.6, 7, None)], "marker string, vectors string, control string, stage string, auroc double, seed int, slide_regex string")
+    for rows in (s, s, s.withColumn("seed", F.lit(8)), s.withColumn("slide_regex", F.lit("x")), s):  # a run that is written again replaces itself alone
+        images.append_scores(rows, str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s")).where("marker = 'ER' AND stage = 'screen'").collect()
+    assert sorted((r["seed"], str(r["slide_regex"])) for r in got) == [(7, "None"), (7, "x"), (8, "None")]
 
 
 def test_matched_loss_is_the_best_assignment(spark):
