@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from mosaica.llm.common import block_pairs, components, forest, grouped, map_batches, per_text, ready, skew_join, stored
 
 RADIUS = 2
-#: Rows that a cell should hold; a cut whose larger side keeps more than WORST of the rows is not made.
-CELL, WORST = 128, 0.9
+#: Rows that a cell should hold; a cut whose larger side keeps more than WORST of the rows is not made. A further cut makes 1.2 rows of one and leaves
+#: 0.6 of a cell, so it pays while comparing a row with half its cell costs more than dealing it out, which is about a thousand comparisons in numpy.
+#: Copies grow as the power 0.39 of the distinct fingerprints (2.0 at 10,000, 15 at a million, 213 at a billion), comparisons for each copy stay alike.
+CELL, WORST = 2048, 0.9
 SHINGLE = 3
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs little memory.

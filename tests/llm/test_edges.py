@@ -102,3 +102,17 @@ def test_every_operator_that_keeps_columns_keeps_odd_ones(spark):
         at = {c: k for k, c in enumerate(out.columns)}
         assert all(row[at[n]] == row[at["doc_id"]] for row in rows for n in NAMES), name
     assert r
+
+
+def test_copies_of_many_fingerprints_stay_few():
+    from math import comb
+
+    share = np.array([comb(64, d) / 2**64 for d in range(65)])
+    for n, most in ((10**6, 15), (10**9, 220)):
+        counts = np.tile(np.round(share * n).astype(np.int64), (64, 1))
+        chosen = simhash.cuts(counts, 2)
+        below = np.cumsum(share)
+        copies = np.prod([below[c] + 1 - below[c - 2] for _, c in chosen])
+        cell = n * np.prod([max(below[c], 1 - below[c - 2]) for _, c in chosen])
+        print(n, len(chosen), round(copies, 1), round(cell))
+        assert copies < most and cell <= simhash.CELL
