@@ -78,7 +78,7 @@ def running(rows: DataFrame, order: list[str], amount: Column, name: str) -> Dat
 
 
 def prefix_tree(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, members) of the conversations of rows, in order of `turn` (ties: role, text).
+    """(nodes, members) of the conversations of rows, in order of `turn` (ties: role, then a digest of the text).
 
     nodes: node long, depth int (0: first turn), role, header, body (escaped text and end mark), loss boolean (assistant turns),
     start, end long (tokens in the emitted sequence), position long (position id of its first token), attends
