@@ -25,7 +25,7 @@ def sampled_tiles(tiles: DataFrame, keys: list[str], limit: int = LIMIT, seed: i
     """At most `limit` tiles of each key, in an order that depends on seed and names alone; all for 0."""
     if not limit:
         return tiles
-    picked = ranked(tiles.select(*keys, name, seeded(seed, name).alias("_seeded")), ["_seeded", name], "_at", keys).where(F.col("_at") < limit)
+    picked = ranked(tiles.select(*keys, name, seeded(seed, name).alias("_seeded")), ["_seeded", name], "_at", keys, strict=True).where(F.col("_at") < limit)
     return tiles.join(picked.select(*keys, name), [*keys, name], "left_semi")
 
 

@@ -74,12 +74,14 @@ def p01(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query("p02_crop_estimate", duck("""SELECT marker AS split, count(*) AS n_images, count(*) * 4 AS crops, 0 AS edge, 2.0 AS scale FROM
-  (SELECT marker, slide FROM tiles WHERE domain = 'A' GROUP BY marker, slide HAVING count(*) = 4) GROUP BY marker""", "tiles"))
+@query("p02_crop_estimate", duck("""SELECT marker AS split, count(*) AS n_images, count(*) * (greatest(0, arg_min(h, slide) - 8) // 8 + 1) * (greatest(0, arg_min(w, slide) - 8) // 8 + 1) AS crops,
+  CAST(arg_min(h, slide) % 8 + arg_min(w, slide) % 8 AS INT) AS edge, 2.0 AS scale FROM
+  (SELECT marker, slide, CAST(9 + CAST(substr(slide, 2) AS INT) * 7 % 40 AS INT) AS h, CAST(9 + CAST(substr(slide, 2) AS INT) * 5 % 30 AS INT) AS w FROM tiles WHERE domain = 'A' GROUP BY marker, slide) GROUP BY marker""", "tiles"))
 def p02(spark, d):
-    src = tiles(spark, d).where("domain = 'A'").groupBy("marker", "slide").count().where("count = 4")
-    src = src.select(F.col("marker").alias("split"), F.col("slide").alias("name"), F.lit(16).alias("h"), F.lit(16).alias("w"))
-    return tiling.crop_estimate(src, 8, 4)
+    """Images of many sizes: the first by name counts."""
+    src = tiles(spark, d).where("domain = 'A'").select(F.col("marker").alias("split"), F.col("slide").alias("name")).distinct()
+    number = F.expr("CAST(substr(name, 2) AS INT)")
+    return tiling.crop_estimate(src.select("split", "name", (9 + number * 7 % 40).alias("h"), (9 + number * 5 % 30).alias("w")), 8, 4)
 
 
 @query("p03_p04_tissue", duck("""SELECT vec_id, domain, avg(CASE WHEN ((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16) < 220 THEN 1.0 ELSE 0.0 END) AS tissue
@@ -95,14 +97,16 @@ def p07(spark, d):
     return got.select(*KEY, F.expr("p div _w").alias("y"), F.expr("CAST(p % _w AS BIGINT)").alias("x"), *[r6(F.col("v")[c]).alias(c) for c in "rgb"])
 
 
-@query("p05_lanczos", duck("""WITH_ SELECT vec_id, domain, CAST(i AS INT) AS y, CAST(j AS INT) AS x, CAST(least(255.0, greatest(0.0, round_even(sum(a.w * b.w * r), 0))) AS INT) AS r FROM pixels
+@query("p05_lanczos", duck("""WITH_ SELECT vec_id, domain, CAST(i AS INT) AS y, CAST(j AS INT) AS x, CAST(least(255.0, greatest(0.0, round_even(sum(a.w * b.w * r), 0))) AS INT) AS r,
+  CAST(least(255.0, greatest(0.0, round_even(sum(a.w * b.w * g), 0))) AS INT) AS g, CAST(least(255.0, greatest(0.0, round_even(sum(a.w * b.w * b_), 0))) AS INT) AS b FROM (SELECT vec_id, domain, y, x, r, g, b AS b_ FROM pixels)
   JOIN k a ON a.n = y JOIN (SELECT i AS j, n AS m, w FROM k) b ON b.m = x GROUP BY ALL""".replace("WITH_ ", ""), "pixels", before="""raw AS (SELECT i, n, ((n + 0.5) - (i + 0.5) * 8 / 5.0) / 1.6 AS t FROM range(5) a(i) CROSS JOIN range(8) b(n)),
   kk AS (SELECT i, n, CASE WHEN abs(t) >= 3 THEN 0.0 WHEN t = 0 THEN 1.0 ELSE sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) END AS w FROM raw),
   k AS (SELECT i, n, w / sum(w) OVER (PARTITION BY i) AS w FROM kk)"""))
 def p05(spark, d):
     small = tiling.resized(fixtures.images(spark, d), 5)
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda p: F.conv(F.hex(F.substring("rgb", 3 * p + 1, 1)), 16, 10).cast("int"))).alias("p", "r")
-    return small.select(*KEY, at).select(*KEY, F.expr("p div 5").cast("int").alias("y"), F.expr("p % 5").alias("x"), "r")
+    level = lambda p, c: F.conv(F.hex(F.substring("rgb", 3 * p + 1 + c, 1)), 16, 10).cast("int")
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda p: F.struct(*[level(p, i).alias(c) for i, c in enumerate("rgb")]))).alias("p", "v")
+    return small.select(*KEY, at).select(*KEY, F.expr("p div 5").cast("int").alias("y"), F.expr("p % 5").alias("x"), "v.*")
 
 
 @query("p06_loaded", duck("SELECT vec_id, domain, round(sum((r / 127.5 - 1) * (1 + y * 8 + x) + (g / 127.5 - 1) * (65 + y * 8 + x) + (b / 127.5 - 1) * (129 + y * 8 + x)), 4) AS s FROM pixels GROUP BY ALL", "pixels"))
@@ -791,14 +795,14 @@ def j08(spark, d):
 
 @query("j08_sweep_128_tiles")
 def j08_big(spark, d):
-    """All 324 settings over 128 pairs of larger tiles."""
+    """All 324 settings over 128 pairs of larger tiles. A tile takes as many rows of `lineitem` as the square of the smallest one; the few past that are no pixels."""
     got = sweep.score_fields(fixtures.big_images(spark, d, 128), sweep.settings(*GRID3), seed=7, decimals=6)
     return got.select("marker", "combo_no", *sweep.COMBO, "true_mean", "wrong_mean", "ratio", "auroc", "auroc_se", "n_tiles", "n_wrong")
 
 
 @query("a10_big_diagrams")
 def a10_big(spark, d):
-    """How many points the grey field of each larger tile has."""
+    """How many points the grey field of each larger tile has. A tile takes as many rows of `lineitem` as the square of the smallest one; the few past that are no pixels."""
     made = persistence.tile_diagrams(fixtures.big_images(spark, d, 36), {"A": ["gray"], "B": ["gray"]}, [1])
     one = F.col("diagrams")[0]["d"]
     return made.select("domain", "stem", "h", "w", F.size(one["birth0"]).alias("points0"), F.size(one["birth1"]).alias("points1"))
@@ -929,6 +933,16 @@ def s03(spark, d):
     return images.with_split(origins(spark, d), "/data", ["HE/train:trainA", "IHC/train", "absent:valA"]).select("vec_id", "split")
 
 
+@query("s02_tiling_counts", duck("""SELECT slide, domain, CASE WHEN slide LIKE '%3' THEN 0 ELSE count(*) FILTER (WHERE tissue >= 0.5) END AS written, CASE WHEN slide LIKE '%3' THEN 0 ELSE count(*) FILTER (WHERE tissue < 0.5) END AS skipped
+  FROM crop GROUP BY slide, domain""", "tiles", "pixels", before=CROPS))
+def s02(spark, d):
+    """Crops written and skipped of each source image; images that can't be decoded (slides that end in 3) count 0 and 0."""
+    src = fixture(spark, d, "sources").select(F.concat("slide", F.lit("/"), "domain").alias("origin"), "slide", "domain", "h", "w", F.when(~F.col("slide").endswith("3"), F.col("rgb")).alias("rgb"))
+    crops = tiling.tissue(tiling.cropped(src.where("rgb IS NOT NULL"), 8, 4)).withColumn("kept", F.col("tissue") >= 0.5)
+    got = images.tiling_counts(crops, src, "kept")
+    return got.select(F.split("origin", "/")[0].alias("slide"), F.split("origin", "/")[1].alias("domain"), "written", "skipped")
+
+
 @query("s04_case_index", duck("SELECT concat('c', CAST(vec_id % 7 AS VARCHAR)) AS case_id, concat('t', CAST(vec_id AS VARCHAR)) AS id, origin FROM f WHERE vec_id % 3 = 2", before=ORIGINS))
 def s04(spark, d):
     return images.case_index(origins(spark, d))

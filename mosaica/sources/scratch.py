@@ -44,6 +44,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what stored() wrote for this application; for when its results are written down elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what stored() wrote and what was checkpointed for this application; for when its results are written down elsewhere."""
+    folders = [_tables(spark), spark.sparkContext.getCheckpointDir()]
+    for folder in filter(None, folders):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # Spark gives each application a checkpoint folder of its own within the shared one
+        for status in files.listStatus(path) if files.exists(path) else []:
+            if folder == folders[0] or status.getPath().getName().startswith("rdd-"):
+                files.delete(status.getPath(), True)
