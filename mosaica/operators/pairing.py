@@ -27,8 +27,7 @@ def matched_pairs(tiles: DataFrame) -> DataFrame:
     """
     one = tiles.groupBy("marker", "stem").agg(F.max(F.when(F.col("domain") == "A", F.col("name"))).alias("a"), F.max(F.when(F.col("domain") == "B", F.col("name"))).alias("b"))
     stems = one.where("a is not null and b is not null").withColumn("how", F.lit("stem"))
-    markers = tiles.select("marker").distinct()
-    if markers.join(stems.select("marker").distinct(), "marker", "left_anti").isEmpty():
+    if one.groupBy("marker").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n")).where("n = 0").isEmpty():
         return stems
     left = ranked(tiles.join(stems.select("marker").distinct(), "marker", "left_anti").select("marker", "domain", "stem", "name"), ["name"], "nth", ["marker", "domain"])
     a, b = left.where("domain = 'A'").select("marker", "nth", F.col("stem"), F.col("name").alias("a")), left.where("domain = 'B'").select("marker", "nth", F.col("name").alias("b"))

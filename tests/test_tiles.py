@@ -144,7 +144,7 @@ def test_stains_are_recovered_and_ordered(spark):
     assert {x["domain"] for x in table.collect()} == {"A", "B"}
     pinned, _ = jobs.estimate_stains(tiles, pixels=900, limit=5, pin=True)
     p = pinned.first()
-    assert p["b1"] == p["a1"] and p["shared_angle"] < 1e-3 and "pinned" in p["warnings"][0]
+    assert p["b1"] == p["a1"] and p["shared_angle"] < 1e-3 and "replaced" in p["warnings"][0]
     with pytest.raises(ValueError, match="stained pixels"):
         jobs.estimate_stains(tiles, pixels=20, limit=5)
 
