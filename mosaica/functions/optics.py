@@ -97,19 +97,21 @@ def field(spec: str, combine: str = "max", vectors: dict | None = None, rgb=RGB)
 
 
 def field_array(spec: str, rgb: np.ndarray, combine: str = "max", vectors: dict | None = None) -> np.ndarray:
-    """field() of an array whose last axis is r, g, b on 0..255, whole numbers or averages."""
+    """field() of an array whose last axis is r, g, b on 0..255, whole numbers or averages. Pixels of one grey level, or of one colour, get the same number to the last bit."""
     table = STAINS | (vectors or {})
+    # not by a matrix product, whose sums depend on a pixel's place; grey levels that are equal differ by less than the rounding, others by more
+    along = lambda x, v: x[..., 0] * v[0] + x[..., 1] * v[1] + x[..., 2] * v[2]
     if spec == "gray":
-        return rgb @ np.array([0.299, 0.587, 0.114]) / 255.0
+        return np.round(along(rgb, (299.0, 587.0, 114.0)), 8) / 255_000.0
     names = spec.replace("+", "/").split("/")
     if missing := [n for n in names if n not in table]:
         raise ValueError(f"unknown stain {missing[0]!r}")
     od = -np.log10(np.clip(rgb / 255.0, 0.001, 1.0))
     v = [np.array(unit(table[n])) for n in names]
     if len(v) == 1:
-        return od @ v[0]
+        return along(od, v[0])
     c = float(v[0] @ v[1])
-    one, two = ((od @ a - c * (od @ b)) / (1 - c * c) for a, b in (v, v[::-1]))
+    one, two = ((along(od, a) - c * along(od, b)) / (1 - c * c) for a, b in (v, v[::-1]))
     return one if "/" in spec else {"max": np.maximum(one, two), "sum": one + two, "mean": (one + two) / 2}[combine]
 
 

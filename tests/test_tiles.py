@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaica.functions import optics
-from mosaica.operators import ordering, pairing, persistence, reports, scoring, sweep, tiling
+from mosaica.operators import ordering, pairing, persistence, reports, scoring, stains, sweep, tiling
 from mosaica.plans import jobs
 from mosaica.plans.queries import ORACLE, QUERIES
 from mosaica.sources import images
@@ -263,3 +263,17 @@ def test_topology_report_leaves_out_incomplete_tiles(spark):
     rows = [(1, r, [1.0 if r == "real_A" else 3.0], [0.0]) for r in reports.ROLES] + [(2, "real_A", [9.0], [9.0])]
     got = reports.topology_report(spark.createDataFrame(rows, "tile int, role string, p0 array<double>, p1 array<double>").selectExpr("'x' AS run", "*"), ["run"]).first()
     assert (got["cyc_h"], got["cyc_i"], got["trans_h"], got["trans_i"], got["n_tiles"], got["incomplete"], got["total"]) == (2.0, 0.0, 2.0, 0.0, 1, 1, 4.0)
+
+
+def test_pixels_of_one_grey_level_make_no_points():
+    field = np.zeros((1, 4, 4, 3))
+    field[:] = (129, 87, 136)
+    field[0, 1, 1] = field[0, 2, 3] = (133, 77, 177)  # the same grey level in whole numbers: 299 r + 587 g + 114 b
+    assert len(np.unique(optics.field_array("gray", field))) == 1
+    assert len(persistence.diagrams_of(-optics.field_array("gray", field))["birth"]) == 0
+    # averages of 3 x 3 pixels with the same sums of colours in another order
+    ninth = lambda k: np.tile(np.array([[129, 87, 136]] * 9 + [[133, 77, 177]] * 9, float)[k : k + 9].mean(0), (3, 1))
+    assert len(np.unique(optics.field_array("gray", np.concatenate([ninth(k) for k in range(10)])))) == 1
+    # pixels of one colour, wherever they stand
+    for spec in ("hematoxylin", "hematoxylin/eosin", "dab+hematoxylin"):
+        assert len(np.unique(optics.field_array(spec, np.tile(np.array([129.0, 87, 136]), (1, 37, 29, 1))))) == 1
