@@ -277,3 +277,12 @@ def test_pixels_of_one_grey_level_make_no_points():
     # pixels of one colour, wherever they stand
     for spec in ("hematoxylin", "hematoxylin/eosin", "dab+hematoxylin"):
         assert len(np.unique(optics.field_array(spec, np.tile(np.array([129.0, 87, 136]), (1, 37, 29, 1))))) == 1
+
+
+def test_second_vector_of_a_plane_is_accurate_where_values_are_close(spark):
+    """Two small eigenvalues 2e-7 apart: the closed form with an arc cosine is off by some 1e-5 there, so it is no yardstick."""
+    q = np.linalg.qr(np.array([[1.0, 0.3, 1.0], [1.0, -2.0, 0.1], [1.0, 0.5, -1.2]]))[0]
+    m = q @ np.diag([0.3, 2e-3 + 2e-7, 2e-3]) @ q.T
+    row = spark.createDataFrame([(1, 100, *(float(m[i, j]) for i in range(3) for j in range(i, 3)))], "k int, n long, m00 double, m01 double, m02 double, m11 double, m12 double, m22 double")
+    got = np.array(stains.plane(row, ["k"]).first()["e2"])
+    assert min(np.abs(got - q[:, 1]).max(), np.abs(got + q[:, 1]).max()) < 1e-8
