@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -20,7 +20,17 @@ OWN = ["stain1", "stain2"]
 #: Rows of a table of keys that may be broadcast, some 100 bytes each; a larger one is joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Bytes of tiles that one numpy pass takes at a time.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
+#: Rows and bytes of an Arrow batch of tiles or diagrams; a larger row is one by itself.
+ARROW_ROWS, ARROW_BYTES = 512, 1 << 22
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most ARROW_ROWS rows and some ARROW_BYTES, so that what a Python worker holds doesn't grow with a partition."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return spark
 
 
 def by_size(h: pa.Array, w: pa.Array, rgb: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -42,6 +52,15 @@ def pooled(images: np.ndarray, k: int) -> np.ndarray:
     return cut.reshape(n, h // k, k, w // k, k, c).mean((2, 4)) if k > 1 else cut
 
 
+def by_strips(images: np.ndarray, k: int, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """make(pooled(images, k)) for a `make` that takes each pixel by itself, strip by strip, so that the colours of a large tile are never all held as floats."""
+    n, h, w, _ = images.shape
+    rows = max(1, TOGETHER // max(1, 3 * n * w * k)) * k
+    if h <= rows:
+        return make(pooled(images, k))
+    return np.concatenate([make(pooled(images[:, y : y + rows], k)) for y in range(0, h // k * k, rows)], 1)
+
+
 def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """table, to be broadcast if it has at most `most` rows; else Spark chooses how to join it."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
@@ -78,6 +97,7 @@ def measured(tiles: DataFrame, name: str, kind: str, arrow: pa.DataType, measure
         one, two = first.to_pylist(), second.to_pylist()
         return filled(h, w, rgb, lambda rows, images: [(p, measure(images[p], v)) for p, v in by_stains(rows, one, two)])
 
+    ready(tiles.sparkSession)
     made = F.arrow_udf(each if own else alike, kind).asNondeterministic()
     return tiles.withColumn(name, made(*map(F.col, ["h", "w", "rgb", *(OWN if own else [])])))
 
@@ -220,6 +240,7 @@ def cropped(images: DataFrame, size: int, overlap: int = 0, done: DataFrame | No
             out.append(None if image is None else image[y : y + size, x : x + size].tobytes())
         return pa.array(out, pa.binary())
 
+    ready(images.sparkSession)
     made = F.arrow_udf(run, "binary").asNondeterministic()(F.col("w"), F.col("rgb"), F.col("top"), F.col("left"))
     return places.withColumn("rgb", made).withColumns({"h": F.lit(size), "w": F.lit(size)})
 

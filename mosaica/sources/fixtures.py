@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaica.operators.tiling import ready
+
 TILES = """
 SELECT vec_id, element AS domain,
        CASE CAST(floor(vec_id / 4) AS INT) % 3 WHEN 0 THEN 'ER' WHEN 1 THEN 'Ki67' ELSE 'PR' END AS marker,
@@ -68,6 +70,7 @@ def _bytes(vec_id: pa.Array, e: pa.Array, f: pa.Array, w: pa.Array) -> pa.Array:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, domain, h, w, rgb: the tiles of PIXELS as bytes."""
     spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    ready(spark)
     rgb = F.arrow_udf(_bytes, "binary").asNondeterministic()("vec_id", "e", "f", "w")
     return spark.sql(MIXED).select("vec_id", "domain", F.lit(8).alias("h"), F.lit(8).alias("w"), rgb.alias("rgb"))
 
@@ -75,7 +78,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def big_images(spark: SparkSession, sf_dir: str, tiles: int) -> DataFrame:
     """marker, domain, stem, name, h, w, rgb: `tiles` square tiles a domain from `lineitem`, as large as its rows allow; B's colours are mixed from A's."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        f"CAST(l_orderkey % {tiles} AS INT) AS tile", "l_orderkey", "l_linenumber", "CAST(1 + (l_partkey * 7) % 200 AS INT) AS r", "CAST(1 + (l_suppkey * 13 + l_partkey) % 200 AS INT) AS g", "CAST(1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS INT) AS b"
+        f"CAST(l_orderkey % {tiles} AS INT) AS tile", "l_orderkey", "l_linenumber", "CAST(1 + (l_partkey * 7) % 200 AS SMALLINT) AS r", "CAST(1 + (l_suppkey * 13 + l_partkey) % 200 AS SMALLINT) AS g", "CAST(1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS SMALLINT) AS b"
     )
     side = int((rows.groupBy("tile").count().agg(F.min("count")).first()[0] or 0) ** 0.5)
     held = rows.groupBy("tile").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r", "g", "b"))), 1, side * side).alias("p"))
@@ -84,10 +87,14 @@ def big_images(spark: SparkSession, sf_dir: str, tiles: int) -> DataFrame:
     def pixels(domain: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for d, *c in zip(domain.to_pylist(), r, g, b, strict=True):
-            v = np.stack([x.values.to_numpy() for x in c], 1)
-            out.append(np.ascontiguousarray(v if d == "A" else (3 * v + np.roll(v, 1, 1)) // 4, np.uint8).tobytes())
+            c = [x.values.to_numpy() for x in c]
+            v = np.empty((len(c[0]), 3), np.uint8)
+            for i in range(3):
+                v[:, i] = c[i] if d == "A" else (3 * c[i] + c[i - 1]) // 4
+            out.append(v.tobytes())
         return pa.array(out, pa.binary())
 
+    ready(spark)
     rgb = F.arrow_udf(pixels, "binary").asNondeterministic()("domain", *"rgb")
     stem = F.format_string("s%06d_r%dc%d", F.expr("tile div 4"), F.expr("tile % 4 div 2"), F.expr("tile % 2"))
     return held.select(F.lit("ER").alias("marker"), "domain", stem.alias("stem"), F.concat(stem, F.lit(".png")).alias("name"), F.lit(side).alias("h"), F.lit(side).alias("w"), rgb.alias("rgb"))
