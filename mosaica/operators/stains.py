@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from mosaica.functions.optics import angle, od_estimation
 from mosaica.operators.ordering import percentiles, ranked
 from mosaica.operators.pairing import seeded
-from mosaica.operators.tiling import OWN, bilinear, by_size, resize, small
+from mosaica.operators.tiling import OWN, bilinear, by_size, ready, resize, small
 
 MIN_OD, MAX_OD, LEAST = 0.05, 1.0, 1000
 #: Tiles of a domain, longest side of a tile and pixels of a tile that an estimate takes.
@@ -47,6 +47,7 @@ def tile_pixels(tiles: DataFrame, keys: list[str], name: str = "name", cap: int
                 out[i] = image.astype(np.int32).ravel()
         return pa.array(out, pa.list_(pa.int32()))
 
+    ready(tiles.sparkSession)
     made = F.arrow_udf(run, "array<int>").asNondeterministic()(F.col(name), F.col("h"), F.col("w"), F.col("rgb"))
     place = F.explode(F.sequence(F.lit(0), F.floor(F.size("_px") / 3).cast("int") - 1)).alias("_i")
     rows = tiles.select(*keys, made.alias("_px")).where("size(_px) > 0").select(*keys, "_px", place)
@@ -54,7 +55,11 @@ def tile_pixels(tiles: DataFrame, keys: list[str], name: str = "name", cap: int
 
 
 def sampled_pixels(pixels: DataFrame, keys: list[str], cap: int, seed: int) -> DataFrame:
-    """At most `cap` pixels of a tile, in seeded order."""
+    """At most `cap` pixels of a tile, in seeded order.
+
+    Pixels are dealt by tile before they are sorted: where many come from few input rows, a task would otherwise sort all that its own rows give.
+    """
+    pixels = pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     w = Window.partitionBy(*keys).orderBy(seeded(seed, *keys, "y", "x"), "y", "x")
     return pixels.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
