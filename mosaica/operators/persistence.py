@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaica.functions import optics
-from mosaica.operators.tiling import OWN, bilinear, by_size, by_stains, pooled, resize
+from mosaica.operators.tiling import OWN, bilinear, by_size, by_stains, by_strips, ready, resize
 
 
 #: Pixels that are worked on together: several small tiles, or one large one.
 TOGETHER = 1 << 18
+#: Places that one numpy step takes at a time where it makes several numbers of each.
+PART = 1 << 17
 
 
 def _merges(rank: np.ndarray, steps: list[int], outside: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -25,54 +29,79 @@ def _merges(rank: np.ndarray, steps: list[int], outside: bool) -> tuple[np.ndarr
     them; passes are few, and they are taken in order.
     """
     tiles, h, w = rank.shape
-    flat, never = rank.ravel(), np.iinfo(rank.dtype).max
-    to = np.arange(flat.size)
-    if outside:
-        frame = np.ones((h, w), bool)
-        frame[1:-1, 1:-1] = False
-        at = np.flatnonzero(np.tile(frame.ravel(), tiles))
-        to[at] = at // (h * w) * (h * w)
-    inner = np.arange(flat.size).reshape(rank.shape)[:, 1:-1, 1:-1].ravel()
-    best, low = flat[inner], inner
+    size, flat, never = rank.size, rank.ravel(), np.iinfo(rank.dtype).max
+    index = np.int32 if size <= np.iinfo(np.int32).max else np.int64
+    m = w + 1  # the longest step; what is taken of the frame on the way is put right or left out
+    low, best = np.zeros(size - 2 * m, index), flat[m : size - m].copy()
     for d in [*steps, *(-d for d in steps)]:
-        r = flat[inner + d]
-        low = np.where(r < best, inner + d, low)
-        best = np.minimum(best, r)
-    to[inner] = low
-    while True:
-        further = to[to]
-        if (further == to).all():
-            break
-        to = further
-    basins = np.flatnonzero(to == np.arange(flat.size))
-    number = np.zeros(flat.size, np.int64)
+        r = flat[m + d : size - m + d]
+        np.copyto(low, d, where=r < best)
+        np.minimum(best, r, out=best)
+    to = np.arange(size, dtype=index)
+    to[m : size - m] += low
+    del low, best
+    frame = np.ones((h, w), bool)
+    frame[1:-1, 1:-1] = False
+    at = (np.arange(tiles)[:, None] * (h * w) + np.flatnonzero(frame)).ravel()
+    to[at] = at // (h * w) * (h * w) if outside else at
+    parts = [slice(i, i + PART) for i in range(0, size, PART)]
+    moved = True
+    while moved:
+        moved = False
+        for x in parts:
+            further = to[to[x]]
+            moved = moved or bool((further != to[x]).any())
+            to[x] = further
+    basins = np.concatenate([x.start + np.flatnonzero(to[x] == np.arange(x.start, min(x.stop, size))) for x in parts])
+    number = np.zeros(size, index)
     number[basins] = np.arange(len(basins))
-    a, b, late = [], [], []
-    for d in steps:
-        p, q = number[to[inner]], number[to[inner + d]]
-        some = (p != q) & (flat[inner + d] < never)
-        p, q, x, y = p[some], q[some], inner[some], inner[some] + d
-        a.append(np.minimum(p, q))
-        b.append(np.maximum(p, q))
-        late.append(np.where(flat[x] > flat[y], x, y))
-    a, b, late = map(np.concatenate, (a, b, late))
+    for x in parts:
+        to[x] = number[to[x]]
+    del number
+    # of the passes between two basins the lowest, part by part, as basins are small, and then of all
+    key, late = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = []
+    for lo in range(m, size - m, PART):
+        hi = min(lo + PART, size - m)
+        found = []
+        for d in steps:
+            x, y = flat[lo:hi], flat[lo + d : hi + d]
+            p, q = to[lo:hi], to[lo + d : hi + d]
+            some = np.flatnonzero((p != q) & (x >= 0) & (x < never) & (y < never))
+            p, q = p[some].astype(np.int64), q[some]
+            found.append((np.minimum(p, q) * len(basins) + np.maximum(p, q), lo + some + np.where(x[some] > y[some], 0, d)))
+        held.append(_lowest(*map(np.concatenate, zip(*found, strict=True)), flat))
+    if held:
+        key, late = held[0] if len(held) == 1 else _lowest(*map(np.concatenate, zip(*held, strict=True)), flat)
+    del held, to
     order = np.argsort(flat[late], kind="stable")  # tiles share no basins, so their order among each other is of no account
-    a, b, late = a[order], b[order], late[order]
-    first = np.sort(np.unique(a * len(basins) + b, return_index=True)[1])
-    root, age = list(range(len(basins))), flat[basins].tolist()
-    start, end = [], []
-    for i, j, k in zip(a[first].tolist(), b[first].tolist(), first.tolist(), strict=True):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            if age[i] < age[j]:
-                i, j = j, i
-            root[i] = j
-            start.append(i)
-            end.append(k)
-    return basins[start] if start else np.zeros(0, np.int64), late[end] if end else np.zeros(0, np.int64)
+    root, age = range(len(basins)), flat[basins].astype(np.int64)
+    root, age = (list(root), age.tolist()) if len(basins) <= PART else (array("q", root), array("q", age.tobytes()))  # lists are faster, and larger
+    start, end = array("q"), array("q")
+    for at in range(0, len(order), PART):
+        some = order[at : at + PART]
+        one, two = np.divmod(key[some], max(1, len(basins)))
+        for i, j, k in zip(one.tolist(), two.tolist(), late[some].tolist(), strict=True):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            while root[j] != j:
+                root[j] = j = root[root[j]]
+            if i != j:
+                if age[i] < age[j]:
+                    i, j = j, i
+                root[i] = j
+                start.append(i)
+                end.append(k)
+    return basins[np.array(start, np.int64)], np.array(end, np.int64)
+
+
+def _lowest(key: np.ndarray, late: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the place of lowest rank among its own."""
+    order = np.lexsort((flat[late], key))
+    key, late = key[order], late[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return key[first], late[first]
 
 
 def diagrams_of(fields: np.ndarray) -> dict[str, np.ndarray]:
@@ -83,14 +112,15 @@ def diagrams_of(fields: np.ndarray) -> dict[str, np.ndarray]:
         parts = [(at, diagrams_of(fields[at : at + n])) for at in range(0, tiles, n)]
         return {k: np.concatenate([p[k] + at if k == "tile" else p[k] for at, p in parts]) for k in parts[0][1]}
     order = np.argsort(fields.reshape(tiles, -1), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(h * w), order.shape), 1)
-    place = place.reshape(fields.shape).astype(np.int32)
+    place = np.empty(order.shape, np.int32)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(h * w, dtype=np.int32), order.shape), 1)
+    place = place.reshape(fields.shape)
+    del order
     wide, found = w + 2, []
     # holes: components of what lies above, with the outside at infinity there from the start
-    for dim, rank, steps in ((0, place, [1, wide - 1, wide, wide + 1]), (1, h * w - 1 - place, [1, wide])):
+    for dim, steps in ((0, [1, wide - 1, wide, wide + 1]), (1, [1, wide])):
         framed = np.full((tiles, h + 2, wide), -1 if dim else np.iinfo(np.int32).max, np.int32)
-        framed[:, 1:-1, 1:-1] = rank
+        framed[:, 1:-1, 1:-1] = h * w - 1 - place if dim else place
         start, end = _merges(framed, steps, bool(dim))
         tile, at = np.divmod(start, (h + 2) * wide)
         (y0, x0), (y1, x1) = (np.divmod(p % ((h + 2) * wide), wide) for p in (start, end))
@@ -99,9 +129,10 @@ def diagrams_of(fields: np.ndarray) -> dict[str, np.ndarray]:
             y0, x0, y1, x1 = y1, x1, y0, x0
         birth, death = fields[tile, y0, x0], fields[tile, y1, x1]
         some = birth != death
-        found.append([v[some] for v in (tile, np.full(len(tile), dim), birth, death, y0, x0, y1, x1)])
+        found.append([tile[some].astype(np.int32), np.full(some.sum(), dim, np.int8), birth[some], death[some], *(v[some].astype(np.int32) for v in (y0, x0, y1, x1))])
+        del framed, start, end, tile, at, y0, x0, y1, x1, birth, death
     names = ("tile", "dim", "birth", "death", "birth_y", "birth_x", "death_y", "death_x")
-    return {n: np.concatenate(c) for n, c in zip(names, zip(*found, strict=True), strict=True)}
+    return {n: np.concatenate([f.pop(0) for f in found]) for n in names}
 
 
 def diagram(field: np.ndarray) -> list[tuple]:
@@ -151,12 +182,12 @@ def tile_diagrams(
             images = images if not size or images.shape[1:3] == (size, size) else resize(images, size, bilinear)
             parts = list(by_stains(rows, first, second)) if own else [(np.arange(len(rows)), {})]
             for k in downsamples:
-                small = pooled(images, k)
                 for part, stains in parts:
                     for d, names in specs.items():
                         at = part[who[rows[part]] == d]
                         for spec in dict.fromkeys(names) if len(at) else ():
-                            f = optics.field_array(spec, small[at], combine, (vectors or {}).get(d, {}) | stains)
+                            held = (vectors or {}).get(d, {}) | stains
+                            f = by_strips(images[at], k, lambda x: optics.field_array(spec, x, combine, held))  # noqa: B023
                             f = -f if invert else f
                             f = f if decimals is None else np.round(f, decimals)
                             for row, found in zip(rows[at], _by_tile(diagrams_of(f), len(at), places), strict=True):
@@ -169,6 +200,7 @@ def tile_diagrams(
     def each(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
         return points(domains, h, w, rgb, first.to_pylist(), second.to_pylist())
 
+    ready(tiles.sparkSession)
     made = F.arrow_udf(each if own else alike, f"array<struct<spec: string, downsample: int, d: {kind}>>").asNondeterministic()
     return tiles.withColumn(name, made(*map(F.col, [domain, "h", "w", "rgb", *(OWN if own else [])])))
 

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,52 @@ def test_second_vector_of_a_plane_is_accurate_where_values_are_close(spark):
     row = spark.createDataFrame([(1, 100, *(float(m[i, j]) for i in range(3) for j in range(i, 3)))], "k int, n long, m00 double, m01 double, m02 double, m11 double, m12 double, m22 double")
     got = np.array(stains.plane(row, ["k"]).first()["e2"])
     assert min(np.abs(got - q[:, 1]).max(), np.abs(got + q[:, 1]).max()) < 1e-8
+
+
+def test_pixels_are_dealt_by_tile_before_they_are_sorted(spark):
+    rows = spark.range(1).selectExpr("explode(sequence(0, 99)) AS p").selectExpr("p % 4 AS tile", "p AS y", "0 AS x")
+    got = stains.sampled_pixels(rows, ["tile"], 3, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("Sort [")  # the deepest of them comes last
+    assert got.count() == 12
+
+
+def test_a_worker_gets_few_tiles_at_a_time(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    rows = spark.range(0, 1500, 1, 1).selectExpr("'A' AS domain", "1 AS h", "1 AS w", "unhex('010203') AS rgb")
+    for made in (
+        lambda: tiling.measured(rows, "n", "int", pa.int32(), lambda x: [len(x)] * len(x)),
+        lambda: persistence.tile_diagrams(rows, {"A": ["gray"]}, [1]),
+        lambda: tiling.cropped(rows, 1),
+        lambda: stains.tile_pixels(rows.withColumn("name", F.lit("a")), ["domain"]),
+        lambda: sweep.setting_distances(spark.range(1).selectExpr("null AS a", "null AS b"), "a", "b", []),
+    ):
+        for k in was:
+            spark.conf.set(k, str((1 << 31) - 1) if "Bytes" in k else "10000")
+        df = made()
+        assert all(int(spark.conf.get(k)) <= most for k, most in zip(was, (tiling.ARROW_ROWS, tiling.ARROW_BYTES), strict=True))
+        if "n" in df.columns:
+            assert max(r.n for r in df.select("n").collect()) <= tiling.ARROW_ROWS
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_large_fields_take_bounded_memory():
+    """Some 90 bytes a pixel of noise in numpy; 220 with eight-byte places and passes of the whole field at once."""
+    import tracemalloc
+
+    field = np.random.default_rng(0).random((1, 700, 700))
+    tracemalloc.start()
+    got = persistence.diagrams_of(field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got["birth"]) > 100_000 and peak < 110 * field.size
+
+
+def test_strips_give_the_field_of_the_whole():
+    images = np.random.default_rng(1).integers(0, 256, (2, 1003, 401, 3)).astype(np.uint8)
+    for k in (1, 3):
+        for spec in ("gray", "hematoxylin/eosin"):
+            make = lambda x: optics.field_array(spec, x)  # noqa: B023, E731
+            assert np.array_equal(tiling.by_strips(images, k, make), make(tiling.pooled(images, k)))
+    assert tiling.by_strips(images[:, :2], 3, lambda x: x[..., 0]).shape == (2, 0, 133)
