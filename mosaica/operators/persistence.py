@@ -145,10 +145,15 @@ VALUES = [f"{n}{k}" for k in (0, 1) for n in ("birth", "death")]
 PLACES = [f"{n}_{c}{k}" for k in (0, 1) for n in ("birth", "death") for c in "yx"]
 
 
-def packed_type(places: bool = False) -> tuple[str, pa.DataType]:
-    """The type of a packed diagram, for Spark and for Arrow: lists of births and deaths of each dimension and, with `places`, of the pixels that give them."""
-    spark = ", ".join([*(f"{n}: array<double>" for n in VALUES), *(f"{n}: array<int>" for n in PLACES if places)])
-    return f"struct<{spark}>", pa.struct([*((n, pa.list_(pa.float64())) for n in VALUES), *((n, pa.list_(pa.int32())) for n in PLACES if places)])
+#: What is compared of a diagram, as sorted lists of each dimension.
+SORTED = [f"{n}{k}" for k in (0, 1) for n in ("birth", "death", "lifetime")]
+
+
+def packed_type(places: bool = False, ordered: bool = False) -> tuple[str, pa.DataType]:
+    """The type of a packed diagram, for Spark and for Arrow: lists of births and deaths of each dimension and, with `places`, of the pixels that give them; SORTED instead if `ordered`."""
+    values, places = (SORTED, []) if ordered else (VALUES, PLACES if places else [])
+    spark = ", ".join([*(f"{n}: array<double>" for n in values), *(f"{n}: array<int>" for n in places)])
+    return f"struct<{spark}>", pa.struct([*((n, pa.list_(pa.float64())) for n in values), *((n, pa.list_(pa.int32())) for n in places)])
 
 
 def tile_diagrams(
@@ -164,15 +169,16 @@ def tile_diagrams(
     size: int = 0,
     invert: bool = True,
     places: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """tiles (domain, h, w, rgb binary, and more) with an array of (spec, downsample, d): a diagram for each field of the tile's domain and each downsampling.
 
     Fields are inverted (strong stains come first) unless `invert` is false; `decimals` rounds them; `vectors` are each domain's stains, and with `own` a tile's columns stain1
     and stain2 are its stains of these names (null: none). `size` makes tiles squares of that side first. Then colours are pooled and the field is
     taken, which drops what is left at the right and bottom. With `places` the pixels (of the pooled field) that give each birth and death are
-    kept. One pass from the bytes to the points, tile by tile: nothing is shuffled, and no pixel becomes a row. A tile of a domain without specs gets an empty array.
+    kept; with `ordered` a diagram is the sorted lists that sweep.sorted_projections() makes. One pass from the bytes to the points, tile by tile: nothing is shuffled, and no pixel becomes a row. A tile of a domain without specs gets an empty array.
     """
-    kind, arrow = packed_type(places)
+    kind, arrow = packed_type(places, ordered)
     arrow = pa.list_(pa.struct([("spec", pa.string()), ("downsample", pa.int32()), ("d", arrow)]))
 
     def points(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array, first: list, second: list) -> pa.Array:
@@ -191,7 +197,7 @@ def tile_diagrams(
                             f = -f if invert else f
                             f = f if decimals is None else np.round(f, decimals)
                             for row, found in zip(rows[at], _by_tile(diagrams_of(f), len(at), places), strict=True):
-                                out[row].append({"spec": spec, "downsample": k, "d": found})
+                                out[row].append({"spec": spec, "downsample": k, "d": _ordered(found) if ordered else found})
         return pa.array(out, arrow)
 
     def alike(domains: pa.Array, h: pa.Array, w: pa.Array, rgb: pa.Array) -> pa.Array:
@@ -219,6 +225,11 @@ def _by_tile(found: dict[str, np.ndarray], tiles: int, places: bool = False) ->
     return out
 
 
+def _ordered(d: dict) -> dict:
+    """SORTED of a packed diagram."""
+    return {f"{n}{k}": np.sort(d[f"death{k}"] - d[f"birth{k}"] if n == "lifetime" else d[f"{n}{k}"]) for k in (0, 1) for n in ("birth", "death", "lifetime")}
+
+
 def diagram_rows(tiles: DataFrame, keys: list[str], name: str = "diagrams", places: bool = False) -> DataFrame:
     """The points of tile_diagrams() as rows: keys, spec, downsample, dim, birth, death and, with `places`, birth_y, birth_x, death_y, death_x."""
     each = tiles.select(*keys, F.explode(name).alias("x")).select(*keys, "x.spec", "x.downsample", F.col("x.d").alias("d"))

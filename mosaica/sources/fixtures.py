@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.operators.tiling import ready
+from mosaica.sources.scratch import stored
 
 TILES = """
 SELECT vec_id, element AS domain,
@@ -76,28 +78,43 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def big_images(spark: SparkSession, sf_dir: str, tiles: int) -> DataFrame:
-    """marker, domain, stem, name, h, w, rgb: `tiles` square tiles a domain from `lineitem`, as large as its rows allow; B's colours are mixed from A's."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        f"CAST(l_orderkey % {tiles} AS INT) AS tile", "l_orderkey", "l_linenumber", "CAST(1 + (l_partkey * 7) % 200 AS SMALLINT) AS r", "CAST(1 + (l_suppkey * 13 + l_partkey) % 200 AS SMALLINT) AS g", "CAST(1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200 AS SMALLINT) AS b"
-    )
+    """marker, domain, stem, name, h, w, rgb: `tiles` square tiles a domain from `lineitem`, as large as its rows allow, written down; B's colours are mixed from A's.
+
+    A tile's pixels are sorted by Spark and pass through its task in Arrow batches, so only the bytes of one tile are held.
+    """
+    colour = "(1 + (l_partkey * 7) % 200) * 65536 + (1 + (l_suppkey * 13 + l_partkey) % 200) * 256 + 1 + (CAST(l_quantity AS INT) * 3 + l_partkey) % 200"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"CAST(l_orderkey % {tiles} AS INT) AS tile", "l_orderkey", "l_linenumber", f"CAST({colour} AS INT) AS rgb")
     side = int((rows.groupBy("tile").count().agg(F.min("count")).first()[0] or 0) ** 0.5)
-    held = rows.groupBy("tile").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r", "g", "b"))), 1, side * side).alias("p"))
-    held = held.select("tile", *[F.col(f"p.{c}").alias(c) for c in "rgb"], F.explode(F.array(F.lit("A"), F.lit("B"))).alias("domain"))
-
-    def pixels(domain: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for d, *c in zip(domain.to_pylist(), r, g, b, strict=True):
-            c = [x.values.to_numpy() for x in c]
-            v = np.empty((len(c[0]), 3), np.uint8)
-            for i in range(3):
-                v[:, i] = c[i] if d == "A" else (3 * c[i] + c[i - 1]) // 4
-            out.append(v.tobytes())
-        return pa.array(out, pa.binary())
+
+    def both(tile: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        v = np.concatenate(parts)
+        mixed = np.empty_like(v)
+        for i in range(3):
+            mixed[:, i] = (3 * v[:, i].astype(np.int16) + v[:, i - 1]) // 4
+        return pa.RecordBatch.from_arrays([pa.array([tile] * 2, pa.int32()), pa.array(["A", "B"]), pa.array([v.tobytes(), mixed.tobytes()], pa.binary())], names=["tile", "domain", "rgb"])
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, room = None, [], 0
+        for batch in batches:
+            tile, rgb = (c.to_numpy() for c in batch.columns)
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(tile)), bool), tile[1:] != tile[:-1]]))
+            for lo, hi in zip(starts, [*starts[1:], len(tile)], strict=True):
+                if tile[lo] != at:
+                    if parts:
+                        yield both(at, parts)
+                    at, parts, room = int(tile[lo]), [], side * side
+                c = rgb[lo : min(hi, lo + room)]
+                room -= len(c)
+                parts.append(np.stack([c >> 16, c >> 8 & 255, c & 255], 1).astype(np.uint8))
+        if parts:
+            yield both(at, parts)
 
     ready(spark)
-    rgb = F.arrow_udf(pixels, "binary").asNondeterministic()("domain", *"rgb")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = rows.repartition(n, "tile").sortWithinPartitions("tile", "l_orderkey", "l_linenumber", "rgb").select("tile", "rgb")
+    made = order.mapInArrow(pixels, "tile int, domain string, rgb binary")
     stem = F.format_string("s%06d_r%dc%d", F.expr("tile div 4"), F.expr("tile % 4 div 2"), F.expr("tile % 2"))
-    return held.select(F.lit("ER").alias("marker"), "domain", stem.alias("stem"), F.concat(stem, F.lit(".png")).alias("name"), F.lit(side).alias("h"), F.lit(side).alias("w"), rgb.alias("rgb"))
+    return stored(made.select(F.lit("ER").alias("marker"), "domain", stem.alias("stem"), F.concat(stem, F.lit(".png")).alias("name"), F.lit(side).alias("h"), F.lit(side).alias("w"), "rgb"), wide=True)
 
 
 #: Source images of 16 x 16 pixels: the four tiles of a slide, where all are there.

@@ -267,3 +267,52 @@ def test_files_that_place_tiles(spark):
     index = spark.createDataFrame([(d, "c", i) for d in "AB" for i in "12"], "domain string, case_id string, id string")
     pairs = registration.registered_pairs(registration.located(none.withColumn("domain", F.lit("A")), index), "tile_size", index, "line")
     assert sorted((r["id_a"], r["how"], r["name"]) for r in pairs.collect()) == [("1", "id", "c_1"), ("2", "id", "c_2")]
+
+
+def test_distances_travel_list_by_list(spark, monkeypatch):
+    """No row of a score holds the whole diagrams of two tiles, and the distances are those of such rows to the last bit."""
+    tiles = paired_tiles(spark, {"ER": 8})
+    for dims, projections in ((["0,1"], ["auto"]), (["0", "1", "0,1"], sweep.PROJECTIONS)):
+        chosen = sweep.settings(["gray", "hematoxylin/eosin"], ["gray", "dab+hematoxylin"], [1, 2], dims, projections)
+        pairs = sweep.sampled_pairs(tiles)
+        made = sweep.pair_diagrams(tiles, pairs, chosen)
+        meeting = pairs.selectExpr("marker", "pair_idx", "(pair_idx + 1) % 8 AS partner_idx")
+        key, lists = ["pair_idx", "partner_idx", "distances"], sweep.tile_lists(made, sweep.lists_needed(chosen))
+        a, b = (pairs.select("marker", F.col("pair_idx").alias(i), F.col(x.lower()).alias("name")).join(lists.where(F.col("domain") == x).drop("domain"), ["marker", "name"]).drop("name") for x, i in (("A", "pair_idx"), ("B", "partner_idx")))
+        plain = sweep.setting_distances(sweep.paired_diagrams(pairs, made, meeting), "a", "b", chosen, 6)
+        got = sweep.setting_distances(meeting, a, b, chosen, 6)
+        assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, plain.select(*key).collect())) and got.count() == 8
+    monkeypatch.delattr(sweep, "paired_diagrams")
+    assert sweep.score_fields(tiles, chosen[:2]).count() == 2
+
+
+def test_wide_rows_are_written_and_read_few_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from mosaica.sources.scratch import stored
+
+    rows = spark.range(24).coalesce(1).selectExpr("id", "transform(sequence(1, 400000), i -> rand(7)) AS v")
+    path = stored(rows, wide=True).inputFiles()[0].removeprefix("file://")
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(path)]
+    sizes = [g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)]
+    assert sum(sizes) == 24 and max(sizes) <= 8  # 3.2 MB a row; all 24 in one group before
+
+
+def test_large_tiles_are_made_in_passing(spark, tmp_path, monkeypatch):
+    """The pixels of a tile are not collected as a list, and come in the order of the rows' keys, whatever order the rows have."""
+    from mosaica.sources import fixtures
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(n), int(p), int(s), float(q)) for k, n, p, s, q in zip(rng.permutation(2700), *(rng.integers(1, 99, (4, 2700))), strict=True)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.delattr(F, "collect_list")
+    got = {(r["stem"], r["domain"]): (r["h"], r["w"], bytes(r["rgb"])) for r in fixtures.big_images(spark, str(tmp_path), 4).collect()}
+    side = int((2700 // 4) ** 0.5)
+    for t in range(4):
+        a = [(1 + p * 7 % 200, 1 + (s * 13 + p) % 200, 1 + (int(q) * 3 + p) % 200) for k, _, p, s, q in sorted(rows) if k % 4 == t][: side * side]
+        b = [tuple((3 * c[i] + c[i - 1]) // 4 for i in range(3)) for c in a]
+        for domain, pixels in (("A", a), ("B", b)):
+            assert got.pop((f"s000000_r{t // 2}c{t % 2}", domain)) == (side, side, bytes(v for c in pixels for v in c))
+    assert not got
